@@ -1 +1,6 @@
-"""See the README for what lives here."""
+"""Registered queries."""
+
+from corpusmill.plans import data
+from corpusmill.plans.registry import CORE as core
+
+__all__ = ["core", "data"]
