@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.tries import Trie, bound_for
+from corpusmill.llm.tries import Trie
 from corpusmill.functions.text import strip
 
 #: Entries of a reference list that may be sent to every task.
@@ -94,7 +94,7 @@ class Reference:
         for query in dict.fromkeys([_plain(words), *self._turned(words)]):
             if not query:
                 continue
-            for (value, length), distance in self.trie.near(query, bound_for(max(len(query) - 1, 0)) or bound_for(len(query) + 1)):
+            for (value, length), distance in self.trie.near(query, self.bound(len(query) + 2)):  # of the longest entry in reach
                 if distance <= self.bound(length) and distance < best.get(value, 99):
                     best[value] = distance
         return sorted(best.items(), key=lambda x: (x[1], x[0]))

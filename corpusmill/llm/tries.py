@@ -56,7 +56,3 @@ class Trie:
                 if best <= bound or (min(row) <= bound - 1):
                     stack.append((child, new, row, ch, last))
 
-
-def bound_for(length: int) -> int:
-    """Edits that are allowed for a word of this length: none below 4 letters, 1 below 9, else 2."""
-    return 0 if length < 4 else 1 if length < 9 else 2

@@ -23,8 +23,8 @@ from corpusmill.llm.names import streamed
 from corpusmill.llm.tries import Trie
 from corpusmill.session import keep
 
-#: Times that a word, an opening or a length has to occur to be known.
-KNOWN, OPENINGS, LIMIT_TEXTS = 3, 4, 4
+#: Times that a word, an opening, a whole last line or a length has to occur to be known.
+KNOWN, OPENINGS, CLOSINGS, LIMIT_TEXTS = 3, 4, 2, 4
 #: Distinct entries that a task counts before it passes them on.
 FLUSH = 200_000
 
@@ -79,14 +79,15 @@ def ending(text: str) -> dict | None:
         "token": clean(token) if token[-1:].isalpha() else "",
         "opening": " ".join(words[:2]).lower(),
         "n_words": len(words),
-        "line": last.strip().lower() if len(words) <= 5 else "",
+        # a short paragraph of its own may be a closing note
+        "line": last.strip().lower() if len(words) <= 6 and (len(lines) < 2 or not lines[-2].strip()) else "",
     }
 
 
 def _scan(docs: DataFrame) -> DataFrame:
     """One pass over the texts: a row for each ending, and counts of words, openings and whole last lines."""
-    names = ["what", "doc_id", "source", "length", "text_hash", "mark", "kind", "done", "token", "opening", "n_words", "n", "m"]
-    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+    names = ["what", "doc_id", "source", "length", "text_hash", "mark", "kind", "done", "token", "opening", "line", "n_words", "n", "m"]
+    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[str] = Counter()
@@ -106,9 +107,9 @@ def _scan(docs: DataFrame) -> DataFrame:
             for w, n in ends.items():
                 if (c := clean(w)) and w[-1:] not in ".!?;:":
                     clean_ends[c] += n
-            rows = [("word", None, None, None, None, None, None, None, w, None, None, n, clean_ends[w]) for w, n in clean_words.items()]
-            rows += [("opening", None, None, None, None, None, None, None, None, o, None, n, finished[o]) for o, n in openings.items()]
-            rows += [("closing", None, None, None, None, None, None, None, None, o, None, n, 0) for o, n in closings.items()]
+            rows = [("word", None, None, None, None, None, None, None, w, None, None, None, n, clean_ends[w]) for w, n in clean_words.items()]
+            rows += [("opening", None, None, None, None, None, None, None, None, o, None, None, n, finished[o]) for o, n in openings.items()]
+            rows += [("closing", None, None, None, None, None, None, None, None, None, o, None, n, 0) for o, n in closings.items()]
             for c in (words, ends, openings, finished, closings):
                 c.clear()
             return rows
@@ -122,7 +123,7 @@ def _scan(docs: DataFrame) -> DataFrame:
                 e = ending(text) if text else None
                 if e is None:
                     continue
-                rows.append(("end", doc_id, source, len(text), text_hash, e["mark"], e["kind"], e["done"], e["token"], e["opening"], e["n_words"], 0, 0))
+                rows.append(("end", doc_id, source, len(text), text_hash, e["mark"], e["kind"], e["done"], e["token"], e["opening"], e["line"], e["n_words"], 0, 0))
                 if e["line"]:
                     closings[e["line"]] += 1
                 tokens = text.split()
@@ -146,7 +147,7 @@ def _scan(docs: DataFrame) -> DataFrame:
         if rows := flush():
             yield batch_of(rows)
 
-    schema = "what string, doc_id long, source string, length long, text_hash long, mark string, kind string, done boolean, token string, opening string, n_words int, n long, m long"
+    schema = "what string, doc_id long, source string, length long, text_hash long, mark string, kind string, done boolean, token string, opening string, line string, n_words int, n long, m long"
     return docs.select(
         F.col("doc_id").cast("long"), "text", strip(F.col("source")).alias("source"), F.xxhash64("text").alias("text_hash")
     ).mapInArrow(run, schema)
@@ -213,7 +214,7 @@ def truncated(docs: DataFrame) -> DataFrame:
     ends = seen.where("what = 'end'").drop("what", "n", "m")
     vocabulary = seen.where("what = 'word'").groupBy("token").agg(F.sum("n").alias("n"), F.sum("m").alias("at_end"))
     openings = seen.where("what = 'opening'").groupBy("opening").agg(F.sum("n").alias("n_open"), F.sum("m").alias("n_done"))
-    closings = seen.where("what = 'closing'").groupBy("opening").agg(F.sum("n").alias("n_closing")).where(F.col("n_closing") >= OPENINGS)
+    closings = seen.where("what = 'closing'").groupBy("line").agg(F.sum("n").alias("n_closing")).where(F.col("n_closing") >= CLOSINGS)
     doubtful = ends.where("mark <> '' or (not done and kind not in ('code', 'row', 'link'))")
     inside = cut_words(doubtful.select("token").distinct(), vocabulary).withColumn("inside", F.lit(True))
     first = openings.select(F.element_at(F.split("opening", " "), 1).alias("first"), "n_open", "n_done").groupBy("first").agg(
@@ -226,7 +227,7 @@ def truncated(docs: DataFrame) -> DataFrame:
         .join(openings, "opening", "left")
         .join(first, "first", "left")
         .join(field_limits(ends), "length", "left")
-        .join(closings.withColumnRenamed("opening", "closing"), F.col("closing") == F.col("opening"), "left")
+        .join(closings, "line", "left")
     )
     inside_word = F.coalesce("inside", F.lit(False))
     at_limit = F.col("n_texts").isNotNull()
@@ -240,7 +241,7 @@ def truncated(docs: DataFrame) -> DataFrame:
     bracket = F.col("mark").rlike(r"^[\[(<]")
     reason = (
         F.when(bracket, "mark")
-        .when((F.col("mark") != "") & (F.col("n_words") <= 5) & F.col("n_closing").isNotNull() & (F.col("kind") == "prose"), None)
+        .when((F.col("mark") != "") & F.col("n_closing").isNotNull() & (F.col("kind") == "prose"), None)
         .when(F.col("mark") != "", "mark")
         .when(F.col("kind").isin("open row", "open link"), "sentence")
         .when(inside_word & (F.col("kind").isin("prose", "item", "open code") | at_limit), "word")
