@@ -37,10 +37,10 @@ FLUSH, MAX_SENT = 200_000, 400_000
 #: Times that a word has to occur to be known.
 KNOWN = 5
 
-_FORM = re.compile(r"^\s*(?:[-–—~•|\[(]*\s*)(?:(?:page|seite|página|pagina|pág\.|p\.|s\.|blatt|sheet|folio)\s*[\dlIoOS]{1,4}(?:\s*(?:of|von|de|sur|/|\|)\s*[\dlIoOS]{1,4})?|[\dlIoOS]{1,4}\s*(?:/|of|von|sur)\s*[\dlIoOS]{1,4}|[-–—~•|\[(]+\s*[\dlIoOS]{1,4}\s*[-–—~•|\])]+)\s*$", re.I)
+_FORM = re.compile(r"^\s*(?:[-–—~•|\[(]*\s*)(?:(?:page|seite|página|pagina|pág\.|pag\.|pg\.?|p\.|s\.|blatt|sheet|folio)\s*[\dlIoOS]{1,4}(?:\s*(?:of|von|de|sur|/|\|)\s*[\dlIoOS]{1,4})?|[\dlIoOS]{1,4}\s*(?:/|of|von|sur)\s*[\dlIoOS]{1,4}|[-–—~•|\[(]+\s*[\dlIoOS]{1,4}\s*[-–—~•|\])]+)\s*$", re.I)
 _BARE = re.compile(r"^\s*\d{1,4}\s*$")
 _ROMAN = re.compile(r"^\s*(?=[ivxl])x{0,4}(?:ix|iv|v?i{0,3})\s*$|^\s*(?=[IVXL])X{0,4}(?:IX|IV|V?I{0,3})\s*$")
-_TRAILING = re.compile(r"(?:\s{2,}|\t|\s[|·•–—-]\s*)(?:(?:page|seite|página|p\.|s\.)\s*)?([\dlIoOS]{1,4})\s*$|^\s*(?:(?:page|seite|página|p\.|s\.)\s*)?(\d{1,4})(?:\s{2,}|\t|\s[|·•–—-]\s)\S", re.I)
+_TRAILING = re.compile(r"(?:\s{2,}|\t|\s[|·•–—-]\s*)(?:(?:page|seite|página|pg\.?|p\.|s\.)\s*)?([\dlIoOS]{1,4})\s*$|^\s*(?:(?:page|seite|página|pg\.?|p\.|s\.)\s*)?(\d{1,4})(?:\s{2,}|\t|\s[|·•–—-]\s)\S", re.I)
 _STOP = re.compile(r"[.!?:;…][\"'”’»)\]]*$")
 _LIST = re.compile(r"^\s*(?:[-•*+–]|\d{1,3}[.)])\s|^\s*\|")
 _EDGE = ".,;:!?\"'“”‘’«»()[]{}*_`#…<>="
@@ -330,13 +330,16 @@ def repair(text: str, repeats: dict[int, int], path: str | None, page: int | Non
         repeated, _, _, end, number, start = facts[i]
         if repeated == "heading" and label == "header":
             label = labels[i] = "break"
+        if label == "page" and number == "trailing":
+            label = labels[i] = "header"
         if label == "page" and number in ("none", "list"):
             label = labels[i] = "body"
-        if label == "page" and number in ("bare", "roman") and page is not None:
-            value = _value(lines[i]) if number == "bare" else None
-            if value is not None and not page - 2 <= value <= page + 20:
+        if label == "page" and number in ("bare", "roman"):
+            # A number alone is a page's only near the page that the chunk is from.
+            value = _value(lines[i]) if number == "bare" else page
+            if page is None or value is None or not page - 2 <= value <= page + 20:
                 label = labels[i] = "body"
-        if label == "header" and (_LIST.match(lines[i]) or end == "stop" or start.startswith("lower")):
+        if label in ("header", "page") and number != "form" and (_LIST.match(lines[i]) or end == "stop" or start.startswith("lower") and number != "roman"):
             label = labels[i] = "body"
         if label == "page":
             noise.add("page_number")
