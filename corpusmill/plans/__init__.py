@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from corpusmill.plans import data
+from corpusmill.plans import chunks, data, manifest
 from corpusmill.plans.registry import CORE as core
 
-__all__ = ["core", "data"]
+__all__ = ["chunks", "core", "data", "manifest"]
