@@ -9,7 +9,7 @@ from corpusmill.operators import chunking as C
 from corpusmill.plans.registry import CORE
 from corpusmill.session import table
 
-WORDS = "list_filter(regexp_split_to_array({0}, '[\\s\\p{{Z}}\\x{{85}}]+'), lambda x: x <> '')"
+WORDS = "list_filter(regexp_split_to_array({0}, '[\\s\\x0B\\p{{Z}}\\x{{85}}]+'), lambda x: x <> '')"
 
 
 @CORE.query(
@@ -23,8 +23,8 @@ def token_count(spark, d):
 @CORE.query(
     "sentence_split",
     """SELECT doc_id, len(s) AS n_sentences, coalesce(list_max(list_transform(s, lambda x: length(x))), 0) AS longest FROM (
-         SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[\\s\\p{Z}\\x{85}]+([A-Z("''])', '\\1\x01\\2', 'g'), '\x01'),
-                lambda x: regexp_replace(x, '^[\\s\\p{Z}\\x{85}]+|[\\s\\p{Z}\\x{85}]+$', '', 'g')), lambda x: x <> '') AS s
+         SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[\\s\\x0B\\p{Z}\\x{85}]+([A-Z("''])', '\\1\x01\\2', 'g'), '\x01'),
+                lambda x: regexp_replace(x, '^[\\s\\x0B\\p{Z}\\x{85}]+|[\\s\\x0B\\p{Z}\\x{85}]+$', '', 'g')), lambda x: x <> '') AS s
          FROM documents WHERE text IS NOT NULL)""",
 )
 def sentence_split(spark, d):
@@ -136,8 +136,8 @@ def marker_roundtrip(spark, d):
 
 @CORE.query(
     "processed_roundtrip",
-    """SELECT doc_key, count(*) AS n_chunks, CAST(sum(length(regexp_replace(text, '^[\\s\\p{Z}\\x{85}]+|[\\s\\p{Z}\\x{85}]+$', '', 'g'))) AS BIGINT) AS n_chars
-       FROM chunk WHERE regexp_replace(coalesce(text, ''), '^[\\s\\p{Z}\\x{85}]+|[\\s\\p{Z}\\x{85}]+$', '', 'g') <> '' GROUP BY doc_key""",
+    """SELECT doc_key, count(*) AS n_chunks, CAST(sum(length(regexp_replace(text, '^[\\s\\x0B\\p{Z}\\x{85}]+|[\\s\\x0B\\p{Z}\\x{85}]+$', '', 'g'))) AS BIGINT) AS n_chars
+       FROM chunk WHERE regexp_replace(coalesce(text, ''), '^[\\s\\x0B\\p{Z}\\x{85}]+|[\\s\\x0B\\p{Z}\\x{85}]+$', '', 'g') <> '' GROUP BY doc_key""",
 )
 def processed_roundtrip(spark, d):
     """Chunks written to one file a document and read back: how many, and their characters."""

@@ -70,7 +70,7 @@ NAME = "regexp_extract(path, '[^/]*$')"
                lower(regexp_extract({NAME}, '[^.]\\.([^./]+)$', 1)) IN ('pptx','pdf','docx')
                  AND NOT starts_with({NAME}, '~$') AND NOT starts_with({NAME}, '.') AS supported,
                coalesce(len(list_filter(c.exclude, lambda x: {NAME} GLOB x)) > 0, false) AS excluded
-        FROM manifest_event e LEFT JOIN source_config c ON c.name = e.location""",
+        FROM (SELECT path, location FROM manifest_event) e LEFT JOIN (SELECT name, exclude FROM source_config) c ON c.name = e.location""",
 )
 def source_filter(spark, d):
     return M.excluded_files(events(spark, d).select("path", "location").distinct(), table(spark, d, "source_config"))
