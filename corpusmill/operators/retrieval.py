@@ -7,6 +7,7 @@ the best k before they meet in a ranking.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -108,3 +109,56 @@ def fuse(lexical: DataFrame, vector: DataFrame, k: int = 5) -> DataFrame:
     both = lexical.select("query_id", "item", "rank").unionByName(vector.select("query_id", "item", "rank"))
     scored = both.groupBy("query_id", "item").agg(F.round(F.sum(F.lit(1.0) / (RRF_K + F.col("rank"))), 8).alias("score"))
     return top(scored, k, "query_id", "item")
+
+
+def similar(a: str, b: str, least: float = 0.6) -> bool:
+    """Ratcliff-Obershelp ratio of at least ``least``, or an equal first word of over three letters.
+
+    The ratio isn't symmetric; ``a`` is the earlier of the two. Cheaper bounds on it are tried first.
+    """
+    first = a.split(" ", 1)[0]
+    if len(first) > 3 and first == b.split(" ", 1)[0]:
+        return True
+    if 2 * min(len(a), len(b)) < least * (len(a) + len(b)):
+        return False
+    m = SequenceMatcher(None, a, b)
+    return m.quick_ratio() >= least and m.ratio() >= least
+
+
+def similar_names(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """query_id, page_id of pages with a name similar to one of a query's; both: page_id, name.
+
+    Queries are sent to the tasks in blocks of BLOCK names, and each block meets every name once. A query
+    isn't compared with itself.
+    """
+    spark = names.sparkSession
+    asked = queries.select("page_id", "name").orderBy("page_id", "name").toLocalIterator()
+
+    def against(block: list[tuple[int, str]]) -> DataFrame:
+        sent = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                out = {
+                    (q, p)
+                    for p, name in zip(b["page_id"], b["name"])
+                    for q, asked_name in sent.value
+                    if q != p and (similar(asked_name, name) if q < p else similar(name, asked_name))
+                }
+                yield pd.DataFrame(sorted(out), columns=["query_id", "page_id"], dtype="int64")
+
+        return names.select("page_id", "name").mapInPandas(run, "query_id long, page_id long")
+
+    parts: list[DataFrame] = []
+    held: list[tuple[int, str]] = []
+    for row in asked:
+        held.append((row["page_id"], row["name"]))
+        if len(held) == BLOCK:
+            parts.append(against(held))
+            held = []
+    if held or not parts:
+        parts.append(against(held))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()

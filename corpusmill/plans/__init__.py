@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from corpusmill.plans import chunks, data, manifest, wiki
+from corpusmill.plans import chunks, data, manifest, search, wiki
 from corpusmill.plans.registry import CORE as core
 
-__all__ = ["chunks", "core", "data", "manifest", "wiki"]
+__all__ = ["chunks", "core", "data", "manifest", "search", "wiki"]

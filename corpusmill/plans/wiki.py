@@ -31,6 +31,16 @@ def pages(spark, d):
     return W.unique_pages(table(spark, d, "wiki_page"))
 
 
+#: Bodies that may hold links: those of pages, and the texts of documents under negative ids.
+BODIES = """pages AS (SELECT page_id, slug, body, title FROM wiki_page QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY rel_path) = 1
+    UNION ALL SELECT -doc_id - 1, NULL, text, NULL FROM documents)"""
+
+
+def bodies(spark, d):
+    texts = table(spark, d, "documents").select((-F.col("doc_id") - 1).alias("page_id"), F.lit(None).cast("string").alias("slug"), F.col("text").alias("body"))
+    return pages(spark, d).select("page_id", "slug", "body").unionByName(texts)
+
+
 def vocab(spark, d):
     return table(spark, d, "vocab")
 
@@ -57,19 +67,19 @@ def orphan_pages(spark, d):
 BROKEN = "broken AS (SELECT page_id, ord, target FROM links WHERE target NOT IN (SELECT target FROM known))"
 
 
-@CORE.query("broken_links", f"WITH {PAGES}, {LINKS}, {KNOWN}, {BROKEN} SELECT * FROM broken")
+@CORE.query("broken_links", f"WITH {BODIES}, {LINKS}, {KNOWN}, {BROKEN} SELECT * FROM broken")
 def broken_links(spark, d):
-    return W.broken_links(pages(spark, d))
+    return W.broken_links(bodies(spark, d))
 
 
-@CORE.query("broken_targets", f"WITH {PAGES}, {LINKS}, {KNOWN}, {BROKEN} SELECT target, count(*) AS n_links FROM broken GROUP BY target")
+@CORE.query("broken_targets", f"WITH {BODIES}, {LINKS}, {KNOWN}, {BROKEN} SELECT target, count(*) AS n_links FROM broken GROUP BY target")
 def broken_targets(spark, d):
-    return W.broken_links(pages(spark, d)).groupBy("target").agg(F.count("*").alias("n_links"))
+    return W.broken_links(bodies(spark, d)).groupBy("target").agg(F.count("*").alias("n_links"))
 
 
-def _rewritten(lookup: str) -> str:
+def _rewritten(lookup: str, pages: str = PAGES) -> str:
     """A body put together again from what stands between links and what the links become."""
-    return f"""WITH {PAGES}, {LINKS}, {KNOWN}, lookup AS ({lookup}),
+    return f"""WITH {pages}, {LINKS}, {KNOWN}, lookup AS ({lookup}),
       parts AS (SELECT page_id, body, regexp_split_to_array(body, {LINK}) AS between, regexp_extract_all(body, {LINK}, 0) AS whole FROM pages),
       spread AS (SELECT page_id, between, whole, unnest(range(1, len(between) + 1)) AS i FROM parts WHERE body IS NOT NULL),
       changed AS (SELECT s.page_id, s.i, s.between[s.i] || coalesce(CASE WHEN k.target IS NOT NULL THEN coalesce(k.text, l.shown) END, s.whole[s.i], '') AS piece, k.target IS NOT NULL AS hit
@@ -82,9 +92,9 @@ def _hashed(df):
     return df.select("page_id", F.md5(F.col("body").cast("binary")).alias("body_hash"), "n_changed")
 
 
-@CORE.query("unlink_unresolved", _rewritten("SELECT DISTINCT target, NULL::VARCHAR AS text FROM links WHERE target NOT IN (SELECT target FROM known)"))
+@CORE.query("unlink_unresolved", _rewritten("SELECT DISTINCT target, NULL::VARCHAR AS text FROM links WHERE target NOT IN (SELECT target FROM known)", BODIES))
 def unlink_unresolved(spark, d):
-    return _hashed(W.unlink_unresolved(pages(spark, d)))
+    return _hashed(W.unlink_unresolved(bodies(spark, d)))
 
 
 RENAMES = f"SELECT {key_sql('slug')} AS target, '[[' || first || ']]' AS text FROM (SELECT slug, min(slug) OVER (PARTITION BY {key_sql('title')}) AS first FROM pages WHERE {key_sql('title')} <> '') WHERE slug <> first"
@@ -272,8 +282,7 @@ def alias_collisions(spark, d):
     return W.alias_collisions(pages(spark, d))
 
 
-LOG = "log AS (SELECT seq AS line_no, timestamp || ' ' || event || ' ' || display_name AS line FROM manifest_event WHERE timestamp IS NOT NULL AND event IS NOT NULL AND display_name IS NOT NULL)"
-#: The oracle joins on whole names, which is what a title in these lines is, and checks the containment.
+LOG = "log AS (SELECT page_id AS line_no, updated_at || ' wrote ' || rel_path || ' - ' || title AS line FROM pages WHERE updated_at IS NOT NULL AND title IS NOT NULL)"
 STALE = f"""dated AS (SELECT line_no, lower(line) AS line, regexp_extract(line, '\\d{{4}}-\\d{{2}}-\\d{{2}}') AS log_date FROM log WHERE regexp_matches(line, '\\d{{4}}-\\d{{2}}-\\d{{2}}')),
     lines AS (SELECT line_no, line, log_date FROM dated),
     named AS (SELECT page_id, lower(title) AS title, updated_at[1:10] AS updated FROM pages WHERE title <> '' AND updated_at <> ''),
@@ -281,19 +290,20 @@ STALE = f"""dated AS (SELECT line_no, lower(line) AS line, regexp_extract(line,
 
 
 def _log(spark, d):
-    e = table(spark, d, "manifest_event").where("timestamp is not null and event is not null and display_name is not null")
-    return e.select(F.col("seq").alias("line_no"), F.concat_ws(" ", "timestamp", "event", "display_name").alias("line"))
+    """The log of operations: a line for each page as it was written."""
+    p = pages(spark, d).where("updated_at is not null and title is not null")
+    return p.select(F.col("page_id").alias("line_no"), F.concat("updated_at", F.lit(" wrote "), "rel_path", F.lit(" - "), "title").alias("line"))
 
 
 @CORE.query("stale_pages", f"WITH {PAGES}, {LOG}, {STALE} SELECT * FROM stale")
 def stale_pages(spark, d):
-    """Pages that the log of the feed mentions after their last update."""
+    """Pages that the log mentions after their last update."""
     return W.stale(pages(spark, d), _log(spark, d))
 
 
 @CORE.query(
     "log_dates",
-    "WITH " + LOG + " SELECT regexp_extract(line, '\\d{4}-\\d{2}-\\d{2}') AS log_date, count(*) AS n_lines FROM log GROUP BY 1",
+    "WITH " + PAGES + ", " + LOG + " SELECT regexp_extract(line, '\\d{4}-\\d{2}-\\d{2}') AS log_date, count(*) AS n_lines FROM log GROUP BY 1",
 )
 def log_dates(spark, d):
     return _log(spark, d).groupBy(F.regexp_extract("line", r"\d{4}-\d{2}-\d{2}", 0).alias("log_date")).agg(F.count("*").alias("n_lines"))
