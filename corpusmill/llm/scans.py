@@ -30,7 +30,8 @@ MISREAD = (
     ("cl", "d"), ("l", "t"), ("l", "i"), ("i", "l"), ("c", "e"), ("b", "h"), ("h", "b"), ("e", "c"), ("t", "l"), ("u", "n"), ("n", "u"), ("f", "t"), ("3", "e"), ("4", "a"),
     ("in", "m"), ("m", "rn"), ("d", "cl"), ("w", "vv"), ("u", "ii"), ("li", "h"),
 )
-_ROUGH = str.maketrans({"0": "o", "1": "l", "i": "l", "t": "l", "†": "l", "|": "l", "5": "s", "c": "e", "b": "h", "8": "h", "6": "h", "f": "l", "n": "u"})
+#: Characters that are taken for each other, as one spelling of all of them.
+_ROUGH = str.maketrans({"0": "o", "1": "l", "i": "l", "t": "l", "†": "l", "|": "l", "f": "l", "5": "s", "c": "e", "b": "h", "8": "h", "6": "h", "n": "ll", "u": "ll", "m": "rll", "w": "vv", "d": "el"})
 HYPHENS = "-‐‑¬­"
 #: Words that a task counts before it passes them on, and entries of a table that may be sent to every task.
 FLUSH, MAX_SENT = 200_000, 400_000
@@ -54,8 +55,6 @@ def skeleton(line: str) -> str:
     """A line as scanning leaves it recognisable: case, spaces, numbers and misread characters set aside."""
     t = re.sub(r"[^\w†|]+", " ", line.lower())
     t = re.sub(r"\b[\dloisxv]{1,4}\b", " ", t)
-    for a, b in (("rn", "m"), ("ii", "u"), ("vv", "w"), ("cl", "d")):
-        t = t.replace(a, b)
     return re.sub(r"[\s\d]+", "", t.translate(_ROUGH))
 
 
@@ -105,7 +104,7 @@ def _wrapped(lines: list[str]) -> tuple[int, int]:
     for a, b in zip(lines, lines[1:]):
         if a.strip() and b.strip() and not _LIST.match(a) and not _LIST.match(b):
             all_ += 1
-            inside += not _STOP.search(a.rstrip()) and len(a.split()) > 2 and len(a) <= 110
+            inside += 30 <= len(a) <= 110 and not _STOP.search(a.rstrip())  # shorter ones are headings
     return inside, all_
 
 
@@ -215,24 +214,42 @@ class Layout:
             self.seen.append({(s, v): math.log((seen.get((s, f, v), 0) + 0.5) / (totals[s] + 0.5 * len(kinds))) for s in STATES for v in kinds})
         out = {s: sum(moves.get((s, t), 0) for t in STATES) for s in (*STATES, "start")}
         self.moves = {(s, t): math.log((moves.get((s, t), 0) + 0.5) / (out[s] + 0.5 * len(STATES))) for s in (*STATES, "start") for t in STATES}
+        self.into = [[self.moves[(s, t)] for s in STATES] for t in STATES]
+        self.cache: dict[tuple[str, ...], list[float]] = {}
 
-    def emission(self, state: str, features: tuple[str, ...]) -> float:
-        return sum(self.seen[f].get((state, v), self.seen[f][(state, "?")]) for f, v in enumerate(features))
+    def emission(self, features: tuple[str, ...]) -> list[float]:
+        found = self.cache.get(features)
+        if found is None:
+            found = self.cache[features] = [sum(self.seen[f].get((s, v), self.seen[f][(s, "?")]) for f, v in enumerate(features)) for s in STATES]
+        return found
 
     def label(self, lines: list[tuple[str, ...]]) -> list[str]:
         if not lines:
             return []
-        best = {s: (self.moves[("start", s)] + self.emission(s, lines[0]), [s]) for s in STATES}
+        n = range(len(STATES))
+        best = [self.moves[("start", s)] + e for s, e in zip(STATES, self.emission(lines[0]))]
+        ways: list[list[int]] = []
         for features in lines[1:]:
-            best = {
-                t: max(((score + self.moves[(s, t)], way) for s, (score, way) in best.items()), key=lambda x: x[0]) for t in STATES
-            }
-            best = {t: (score + self.emission(t, features), [*way, t]) for t, (score, way) in best.items()}
-        return max(best.values(), key=lambda x: x[0])[1]
+            came, new = [], []
+            for t, e in zip(n, self.emission(features)):
+                scores = [b + m for b, m in zip(best, self.into[t])]
+                at = scores.index(max(scores))
+                came.append(at)
+                new.append(scores[at] + e)
+            ways.append(came)
+            best = new
+        at = best.index(max(best))
+        out = [STATES[at]]
+        for came in reversed(ways):
+            at = came[at]
+            out.append(STATES[at])
+        return out[::-1]
 
 
 def number_kind(line: str, alone: bool) -> str:
-    if _FORM.match(line):
+    if not any(ch.isdigit() for ch in line) and len(line.strip()) > 8:
+        return "none"
+    if len(line) <= 60 and _FORM.match(line):
         return "form"
     if _BARE.match(line):
         return "bare" if alone else "list"
@@ -380,8 +397,8 @@ def repair(text: str, repeats: dict[int, int], path: str | None, page: int | Non
     for p in paragraphs:
         words = []
         for w in p.split(" "):
-            c = clean(w)
-            if c and c in meant:
+            c = clean(w) if meant else ""
+            if c in meant:
                 noise.add("character")
                 core = w.strip(_EDGE)
                 right = meant[c]
@@ -406,7 +423,7 @@ def _sent(df: DataFrame, what: str) -> list:
 def clean_scans(chunks: DataFrame) -> DataFrame:
     """chunk_id, noise (sorted list of kinds), text (repaired) of every chunk of a scanned PDF.
 
-    A PDF is scanned if most of its lines that go on in the next one end inside a sentence. Chunks of other
+    A PDF is scanned if in most of its chunks most lines that another one follows end inside a sentence. Chunks of other
     documents, and null and empty texts, give no row. Repeated rows give one each. Columns of ``chunks``
     other than chunk_id, doc_key, text and meta are ignored.
     """
@@ -417,7 +434,7 @@ def clean_scans(chunks: DataFrame) -> DataFrame:
     meant = spark.sparkContext.broadcast({r["word"]: r["meant"] for r in _sent(misread_words(vocabulary), "misread words")})
     divided = spark.sparkContext.broadcast({(r["joined"], r["hyphened"]): r["divided"] for r in _sent(divided_words(pairs, vocabulary), "divided words")})
 
-    scanned = seen.where("what = 'chunk'").groupBy("doc").agg((F.sum("n") * 2 > F.sum("m")).alias("scanned")).where("scanned").select("doc")
+    scanned = seen.where("what = 'chunk'").groupBy("doc").agg((F.count_if((F.col("n") * 2 > F.col("m")) & (F.col("m") > 1)) * 2 > F.count("*")).alias("scanned")).where("scanned").select("doc")
     lines = seen.where("what = 'line'").select("chunk_id", "line", "doc", "skeleton")
     repeated = lines.groupBy("doc", "skeleton").agg(F.count("*").alias("times")).where("times > 1").join(scanned, "doc")
     flags = lines.join(repeated, ["doc", "skeleton"]).groupBy("chunk_id").agg(F.collect_list(F.col("line") * 1_048_576 + F.least("times", F.lit(1_048_575))).alias("repeats"))
