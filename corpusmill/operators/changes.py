@@ -58,45 +58,55 @@ def latest_changes(changes: DataFrame) -> DataFrame:
     content, so that a result never depends on the order of rows.
     """
     deleted = F.col("kind") == "deleted"
+    last = F.struct("kind", "content", "at", "row")
+    # Each change stands with the content it brought in, and with the one it replaced or removed.
     ends = changes.select(
         "key",
         F.explode(
-            F.array(
-                F.struct(F.when(~deleted, F.col("content")).alias("c"), F.lit(1).alias("brought")),
-                F.struct(F.when(deleted, F.col("content")).otherwise(F.col("replaced")).alias("c"), F.lit(0).alias("brought")),
+            F.array_compact(
+                F.array(
+                    F.when(~deleted, F.struct(F.col("content").alias("c"), F.lit(1).alias("brought"), last.alias("last"))),
+                    F.when(deleted, F.struct(F.col("content").alias("c"), F.lit(0).alias("brought"), last.alias("last"))),
+                    F.when(~deleted & F.col("replaced").isNotNull(), F.struct(F.col("replaced").alias("c"), F.lit(0).alias("brought"), F.lit(None).alias("last"))),
+                )
             )
         ).alias("e"),
-        "at",
-    ).where("e.c is not null")
-    # An identical change whose timestamp was lost is a repeat when its twin has one; it must not count twice.
-    balance = ends.groupBy("key", F.col("e.c").alias("c")).agg(
-        F.sum("e.brought").alias("n_brought"),
-        F.sum(1 - F.col("e.brought")).alias("n_consumed"),
-        F.sum(F.when(F.col("at").isNotNull(), F.col("e.brought"))).alias("n_dated"),
-        F.max(F.when(F.col("e.brought") == 1, F.col("at"))).alias("brought_at"),
-    )
-    linked = changes.join(
-        balance.select("key", F.col("c").alias("content"), "n_brought", "n_consumed", "n_dated", "brought_at"),
-        ["key", "content"],
-        "left",
-    )
-    open_ = F.col("content").isNull() | (F.col("n_brought") > F.col("n_consumed"))
-    never = F.lit(-(1 << 62))
-    # A deletion is not before what it deletes; a change without an instant that brought in an open
-    # content has to be the last, for nothing replaced it.
-    order = F.when(deleted, F.greatest(F.coalesce("at", never), F.when(F.col("n_brought") == 1, F.col("brought_at")), never)).otherwise(
-        F.coalesce("at", F.when(F.col("n_dated") > 0, never).otherwise(F.lit(1 << 62)))
-    )
-    rank = Window.partitionBy("key").orderBy(
-        F.col("order").desc(), (~deleted).desc(), F.col("content").desc_nulls_last(), F.col("row.seq").desc()
-    )
-    return (
-        linked.where(deleted | open_)
-        .withColumn("order", order)
-        .withColumn("rank", F.row_number().over(rank))
-        .where("rank = 1")
-        .select("key", "kind", "content", "at", "row")
+    ).select("key", "e.*")
+    brought, at = F.col("brought") == 1, F.col("last.at")
+    never, ever = F.lit(-(1 << 62)), F.lit(1 << 62)
+    rank_of = F.struct(F.coalesce(at, never), F.col("last.row.seq"))
+    # An unknown content is never known to have been replaced; each content else is open while more changes
+    # brought it in than consumed it.
+    balance = ends.groupBy("key", "c").agg(
+        F.sum("brought").alias("n_brought"),
+        F.sum(1 - F.col("brought")).alias("n_consumed"),
+        F.max(F.when(brought, at)).alias("brought_at"),
+        F.max_by(F.when(brought, F.col("last")), F.when(brought, rank_of)).alias("open"),
+        F.max_by(F.when(~brought, F.col("last")), F.when(~brought & F.col("last").isNotNull(), rank_of)).alias("gone"),
     )
+    # A deletion is not before what it deletes; an open content whose changes all lost their instant has to
+    # be the last, for nothing replaced it.
+    is_open = F.col("c").isNull() | (F.col("n_brought") > F.col("n_consumed"))
+    candidates = balance.select(
+        "key",
+        F.explode(
+            F.array_compact(
+                F.array(
+                    F.when(F.col("open").isNotNull() & is_open, F.struct(F.coalesce("brought_at", ever).alias("order"), F.lit(1).alias("stays"), F.col("open").alias("last"))),
+                    F.when(
+                        F.col("gone").isNotNull(),
+                        F.struct(
+                            F.greatest(F.coalesce("gone.at", never), F.when((F.col("n_brought") == 1) & F.col("c").isNotNull(), F.col("brought_at")), never).alias("order"),
+                            F.lit(0).alias("stays"),
+                            F.col("gone").alias("last"),
+                        ),
+                    ),
+                )
+            )
+        ).alias("e"),
+    ).select("key", "e.*")
+    rank = Window.partitionBy("key").orderBy(F.desc("order"), F.desc("stays"), F.col("last.content").desc_nulls_last(), F.desc("last.row.seq"))
+    return candidates.withColumn("rank", F.row_number().over(rank)).where("rank = 1").select("key", "last.*")
 
 
 def apply_changes(base: DataFrame | None, changes: DataFrame) -> DataFrame:
