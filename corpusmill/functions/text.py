@@ -21,7 +21,7 @@ def words(c: Column) -> Column:
 
 def token_count(c: Column) -> Column:
     """Approximate tokens: words / 0.75, rounded, at least 1; null for null."""
-    return F.greatest(F.lit(1), F.round(F.size(words(c)) / F.lit(0.75)).cast("int"))
+    return F.when(c.isNotNull(), F.greatest(F.lit(1), F.round(F.size(words(c)) / F.lit(0.75)).cast("int")))
 
 
 def sentences(c: Column) -> Column:

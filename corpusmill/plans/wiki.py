@@ -8,6 +8,7 @@ from corpusmill.functions import text as T
 from corpusmill.operators import wiki as W
 from corpusmill.plans.registry import CORE
 from corpusmill.session import keep, table
+from corpusmill.sources import markdown as MD
 
 #: Pages once, and strip() and the key of a name as macros in text.
 PAGES = "pages AS (SELECT * FROM wiki_page QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY rel_path) = 1)"
@@ -414,3 +415,20 @@ for _name, (_where, _columns, _order) in DASH.items():
 @CORE.query("dash_by_tag", f"WITH {PAGES} SELECT page_id, slug FROM pages WHERE folder IN ('entities','concepts','engagements') AND list_contains(tags, 'price-elasticity')")
 def dash_by_tag(spark, d):
     return pages(spark, d).where("folder in ('entities','concepts','engagements')").where(F.array_contains("tags", "price-elasticity")).select("page_id", "slug").orderBy("slug")
+
+
+@CORE.query(
+    "frontmatter_roundtrip",
+    f"""WITH {PAGES} SELECT page_id, title, entity_type, updated_at, coalesce(len(tags), 0) AS n_tags, coalesce(len(sources), 0) AS n_sources, length({strip_sql("coalesce(body, '')")}) AS n_body FROM pages""",
+)
+def frontmatter_roundtrip(spark, d):
+    """Pages written as markdown files with frontmatter, and read back."""
+    p = pages(spark, d)
+    back = MD.parsed(MD.rendered(p, ("title", "entity_type", "updated_at", "tags", "sources")))
+    f = F.from_json("fields", "title string, entity_type string, updated_at string, tags array<string>, sources array<string>")
+    size = lambda c: F.coalesce(F.size(f[c]), F.lit(0))
+    return back.select(
+        "page_id", f["title"].alias("title"), f["entity_type"].alias("entity_type"), f["updated_at"].alias("updated_at"),
+        F.when(f["tags"].isNull(), 0).otherwise(size("tags")).alias("n_tags"), F.when(f["sources"].isNull(), 0).otherwise(size("sources")).alias("n_sources"),
+        F.length(T.strip(F.col("body"))).alias("n_body"),
+    )
