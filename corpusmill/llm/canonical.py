@@ -48,6 +48,11 @@ def _plain(words: Iterable[str]) -> str:
     return "".join(w.rstrip(".").replace("&", "") for w in words)
 
 
+def _bag(words: Iterable[str]) -> tuple[str, ...]:
+    """The words of a phrase in no order, without those that only link them."""
+    return tuple(sorted(w.rstrip(".") for w in words if w.rstrip(".") not in LINKS))
+
+
 class Reference:
     """The entries of one field, and all ways a value may name one of them."""
 
@@ -56,6 +61,8 @@ class Reference:
         self.exact: dict[str, set[str]] = {}
         self.alias: dict[str, set[str]] = {}
         self.words: list[tuple[str, list[str]]] = []
+        self.bags: dict[tuple[str, ...], set[str]] = {}
+        self.single: list[tuple[str, str]] = []
         for value, aliases in entries:
             for text, to in [(value, self.exact), *((a, self.alias) for a in aliases)]:
                 words = _words(text)
@@ -63,8 +70,11 @@ class Reference:
                 if not plain:
                     continue
                 to.setdefault(plain, set()).add(value)
-                self.trie.add(plain, (value, len(plain)))
+                self.trie.add(plain, (value, len(plain), to is self.alias))
                 self.words.append((value, [w.rstrip(".") for w in words]))
+                self.bags.setdefault(_bag(words), set()).add(value)
+                if len(words) == 1 and to is self.exact:
+                    self.single.append((plain, value))
 
     def _turned(self, words: list[str]) -> Iterator[str]:
         bare = [w for w in words if w not in LINKS] or words
@@ -87,16 +97,23 @@ class Reference:
             if len(full) == len(words) and all((f.startswith(s) and f != s) if dot else f == s for f, s, dot in zip(full, short, dots))
         }
 
-    def all_near(self, text: str) -> list[tuple[str, int]]:
-        """Every entry within the distance for its length, in any order of words, nearest first."""
-        best: dict[str, int] = {}
+    def _begun(self, plain: str) -> set[str]:
+        """Entries of one word that begin with the given letters, six at least."""
+        return {value for full, value in self.single if full.startswith(plain)} if len(plain) >= 6 else set()
+
+    def all_near(self, text: str) -> list[tuple[str, tuple[int, bool]]]:
+        """Every entry within the distance for its length, in any order of words, nearest first.
+
+        Each comes with its distance and whether it was an alias that was near.
+        """
+        best: dict[str, tuple[int, bool]] = {}
         words = _words(text)
         for query in dict.fromkeys([_plain(words), *self._turned(words)]):
             if not query:
                 continue
-            for (value, length), distance in self.trie.near(query, self.bound(len(query) + 2)):  # of the longest entry in reach
-                if distance <= self.bound(length) and distance < best.get(value, 99):
-                    best[value] = distance
+            for (value, length, alias), distance in self.trie.near(query, self.bound(len(query) + 2)):  # of the longest entry in reach
+                if distance <= self.bound(length) and (distance, alias) < best.get(value, (99, True)):
+                    best[value] = (distance, alias)
         return sorted(best.items(), key=lambda x: (x[1], x[0]))
 
     @staticmethod
@@ -114,8 +131,9 @@ class Reference:
                 for names in (self.exact, self.alias):
                     if len(found := names.get(query, ())) == 1:
                         return next(iter(found))
-            if len(found := self._abbreviated(words)) == 1:
-                return next(iter(found))
+            for found in (self.bags.get(_bag(words), ()), self._abbreviated(words), self._begun(_plain(words))):
+                if len(found) == 1:
+                    return next(iter(found))
             near = self.all_near(text)
             if near and (len(near) == 1 or near[0][1] < near[1][1]):
                 return near[0][0]

@@ -412,12 +412,32 @@ def repair(text: str, repeats: dict[int, int], path: str | None, page: int | Non
     return noise, "\n\n".join(fixed)
 
 
-def _sent(df: DataFrame, what: str) -> list:
-    """A table as rows for every task, if it is small enough; it has one row for each distinct misreading or division."""
-    n = df.limit(MAX_SENT + 1).count()
-    if n > MAX_SENT:
-        raise ValueError(f"over {MAX_SENT} {what}; raise MAX_SENT with the executors' memory")
-    return df.collect()
+def _sent(df: DataFrame) -> list | None:
+    """A table as rows for every task if it is small enough, which it is for any vocabulary of a few languages."""
+    return df.collect() if df.limit(MAX_SENT + 1).count() <= MAX_SENT else None
+
+
+def own_lookups(misread: Iterable[str] | None, divided: Iterable[str] | None) -> tuple[dict, dict]:
+    meant = dict(x.split("\t", 1) for x in misread) if misread is not None else {}
+    parts = [x.split("\t") for x in divided] if divided is not None else []
+    return meant, {(p[0], p[1]): {"true": True, "false": False}.get(p[2]) for p in parts}
+
+
+def with_lookups(texts: DataFrame, misread: DataFrame, divided: DataFrame) -> DataFrame:
+    """``texts`` with the misread and divided words of each chunk, joined; for tables too large to be sent."""
+
+    def words(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, c) for i, t in zip(b["chunk_id"], b["text"]) for c in {clean(w) for w in t.split()} | {j for _, _, j, _, _ in divisions(lines_of(t))} if c]
+            yield pd.DataFrame(rows, columns=["chunk_id", "word"])
+
+    used = texts.select("chunk_id", "text").mapInPandas(words, "chunk_id long, word string")
+    # Words that a division put together are not in the text as it stands: paragraphs look these up, too.
+    of = lambda df, key, *value: used.join(df.withColumnRenamed(key, "word"), "word").groupBy("chunk_id").agg(
+        F.collect_list(F.concat_ws("\t", "word", *value)).alias(key + "_words")
+    )
+    flag = F.coalesce(F.col("divided").cast("string"), F.lit(""))
+    return texts.join(of(misread, "misread", "meant"), "chunk_id", "left").join(of(divided.withColumn("divided", flag), "joined", "hyphened", "divided"), "chunk_id", "left")
 
 
 def clean_scans(chunks: DataFrame) -> DataFrame:
@@ -431,8 +451,10 @@ def clean_scans(chunks: DataFrame) -> DataFrame:
     vocabulary = keep(seen.where("what = 'word'").groupBy(F.col("text").alias("word")).agg(F.sum("n").alias("n"), F.sum("m").alias("n_native")), "words")
     pairs = seen.where("what = 'pair'").select(F.col("text").alias("joined"), "hyphened").distinct()
     spark = chunks.sparkSession
-    meant = spark.sparkContext.broadcast({r["word"]: r["meant"] for r in _sent(misread_words(vocabulary), "misread words")})
-    divided = spark.sparkContext.broadcast({(r["joined"], r["hyphened"]): r["divided"] for r in _sent(divided_words(pairs, vocabulary), "divided words")})
+    misread = keep(misread_words(vocabulary), "misread").withColumnRenamed("word", "misread")
+    division = keep(divided_words(pairs, vocabulary), "divided")
+    rows = _sent(misread), _sent(division)
+    sent = None if None in rows else spark.sparkContext.broadcast(({r["misread"]: r["meant"] for r in rows[0]}, {(r["joined"], r["hyphened"]): r["divided"] for r in rows[1]}))
 
     scanned = seen.where("what = 'chunk'").groupBy("doc").agg((F.count_if((F.col("n") * 2 > F.col("m")) & (F.col("m") > 1)) * 2 > F.count("*")).alias("scanned")).where("scanned").select("doc")
     lines = seen.where("what = 'line'").select("chunk_id", "line", "doc", "skeleton")
@@ -447,14 +469,16 @@ def clean_scans(chunks: DataFrame) -> DataFrame:
     )
     texts = keep(texts, "scans")
     counts = fit(texts)
+    if sent is None:
+        texts = with_lookups(texts, misread, division)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         layout = Layout(*counts)
         for b in batches:
-            found = [
-                repair(text, unpack(repeats), path, None if page is None or page != page else int(page), layout, meant.value, divided.value)
-                for text, repeats, path, page in zip(b["text"], b["repeats"], b["heading_path"], b["page"])
-            ]
+            found = []
+            for k, (text, repeats, path, page) in enumerate(zip(b["text"], b["repeats"], b["heading_path"], b["page"])):
+                meant, divided = sent.value if sent else own_lookups(b["misread_words"].iloc[k], b["joined_words"].iloc[k])
+                found.append(repair(text, unpack(repeats), path, None if page is None or page != page else int(page), layout, meant, divided))
             yield pd.DataFrame({"chunk_id": b["chunk_id"], "noise": [sorted(n) for n, _ in found], "text": [t for _, t in found]})
 
     return texts.mapInPandas(run, "chunk_id long, noise array<string>, text string")

@@ -147,3 +147,11 @@ def test_scans(spark):
     assert got[106]["noise"] == ["character", "hyphen"]
     assert "the committee reviewed a cross-border programme of some length, and then it took up the departmental measures" in got[106]["text"]
     assert clean_scans(df.limit(0)).count() == 0
+
+
+def test_scans_with_joined_lookups(spark, monkeypatch):
+    """Tables of words too large to be sent give the same."""
+    df = spark.createDataFrame(chunks(), f"chunk_id long, doc_key string, chunk_index int, text string, meta {META}")
+    want = {r["chunk_id"]: (r["noise"], r["text"]) for r in clean_scans(df).collect()}
+    monkeypatch.setattr("corpusmill.llm.scans.MAX_SENT", 0)
+    assert {r["chunk_id"]: (r["noise"], r["text"]) for r in clean_scans(df).collect()} == want
