@@ -70,7 +70,10 @@ def p4_texts(spark, d):
     return clean_scans(table(spark, d, "chunk")).select("chunk_id", "text")
 
 
-@REGISTRY.query("p5_found")
+@REGISTRY.query(
+    "p5_found",
+    "SELECT chunk_id FROM chunk WHERE len(list_filter(regexp_split_to_array(text, '[\\s\\x0B\\x1C-\\x1F\\p{Z}\\x{85}]+'), lambda w: w <> '')) > 750",
+)
 def p5_found(spark, d):
     return split_oversized(table(spark, d, "chunk")).where("piece = 0").select("chunk_id").distinct()
 
