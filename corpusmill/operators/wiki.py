@@ -202,7 +202,9 @@ def stale(pages: DataFrame, log: DataFrame, grams: int = 6) -> DataFrame:
         "page_id", F.lower("title").alias("title"), F.substring("updated_at", 1, 10).alias("updated")
     )
     heads = named.withColumn("gram", F.substring("title", 1, grams))
-    sizes = F.array(*[F.lit(n) for n in range(1, grams + 1)])
+    # Titles shorter than a gram are rare; lines are cut only to the lengths that there are, six at most.
+    lengths = [r[0] for r in heads.select(F.length("gram")).distinct().collect()] or [grams]
+    sizes = F.array(*[F.lit(n) for n in sorted(lengths)])
     of_line = dated.select(
         "line_no",
         "line",

@@ -25,5 +25,11 @@ class Registry:
 
         return add
 
+    def as_type(self, kind: str, columns: dict[str, str]) -> None:
+        """Give columns of the SQL the type that Spark has: query -> names, apart by spaces."""
+        for name, wanted in columns.items():
+            casts = ", ".join(f"CAST({c} AS {kind}) AS {c}" for c in wanted.split())
+            self.sql[name] = f"SELECT * REPLACE ({casts}) FROM ({self.sql[name]})"
+
 
 CORE = Registry()
