@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from corpusmill.plans import chunks, data, manifest, search, wiki
+from corpusmill.plans import chunks, data, manifest, search, upkeep, wiki
 from corpusmill.plans.registry import CORE as core
 
 core.as_type(
@@ -13,4 +13,4 @@ core.as_type(
 )
 core.as_type("BIGINT", {"manifest_alive": "n_chunks"})
 
-__all__ = ["chunks", "core", "data", "manifest", "search", "wiki"]
+__all__ = ["chunks", "core", "data", "manifest", "search", "upkeep", "wiki"]
