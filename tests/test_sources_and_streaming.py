@@ -1,5 +1,7 @@
+import hashlib
 import json
 
+from corpusmill.sources import files as FS
 from corpusmill.sources import markdown as MD
 from corpusmill.streaming.feed import follow, state
 
@@ -42,3 +44,36 @@ def test_feed(spark, tmp_path):
     late = [(4, "a", "updated", "h2", "h1", "2024-01-03T00:00:00Z"), (5, "b", "deleted", "k", None, "2024-01-02T00:00:00Z")]
     assert arrive(late, "two") == {"a": "h2"}
     assert arrive([(6, "a", "updated", "h1", "h0", "2024-01-02T00:00:00Z"), late[0]], "three") == {"a": "h2"}
+
+
+def test_roots_and_files(spark, tmp_path):
+    root = tmp_path / "r"
+    (root / "sub").mkdir(parents=True)
+    for name in ("a.PDF", "~$b.docx", ".c.pdf", "d copy.docx", "e.txt", "sub/f.pptx"):
+        (root / name).write_bytes(name.encode())
+    config = tmp_path / "sources.json"
+    config.write_text(json.dumps([{"name": "R", "path": "r", "exclude": ["*copy*"]}, {"name": "flat", "path": str(root), "recurse": False}, {"path": "x"}, 5, {"name": "gone", "path": "nowhere"}]))
+    roots = FS.read_config(spark, str(config), str(tmp_path))
+    assert {r["name"] for r in roots.collect()} == {"R", "flat", "gone"}
+    got = {(r["path"], r["hash"]) for r in FS.scan(spark, roots).collect()}
+    h = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got == {("R/a.PDF", h("a.PDF")), ("R/sub/f.pptx", h("sub/f.pptx")), ("flat/a.PDF", h("a.PDF")), ("flat/d copy.docx", h("d copy.docx"))}
+    assert [r["name"] for r in FS.read_config(spark, str(tmp_path / "none.json")).collect()] == ["Local"]
+    assert FS.scan(spark, roots.where("name = 'gone'")).count() == 0
+
+
+def test_logs(spark, tmp_path):
+    file = tmp_path / "events.json"
+    file.write_text(json.dumps([{"path": "a", "event": "ingested", "hash": "1", "chunks": 3}, {"path": "a", "event": "deleted"}, {"no": "path"}]))
+    got = FS.read_events(spark, str(file))
+    assert [(r["seq"], r["event"], r["chunks"]) for r in got.orderBy("seq").collect()] == [(0, "ingested", 3), (1, "deleted", None)]
+    file.write_text("not json")
+    assert FS.read_events(spark, str(file)).count() == FS.read_events(spark, str(tmp_path / "none")).count() == 0
+    log = str(tmp_path / "log")
+    rows = spark.createDataFrame([("a", "ingested"), ("b", "ingested")], "path string, event string").coalesce(1)
+    FS.append_events(log, rows)
+    FS.append_events(log, rows)
+    assert [r["seq"] for r in spark.read.parquet(log).orderBy("seq").collect()] == [1, 2, 3, 4]
+    (tmp_path / "done.json").write_text('{"done": ["x", 3, "y"]}')
+    assert {r["key"] for r in FS.read_done(spark, str(tmp_path / "done.json")).collect()} == {"x", "y"}
+    assert FS.read_done(spark, str(tmp_path / "no.json")).count() == 0
