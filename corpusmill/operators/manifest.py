@@ -92,10 +92,9 @@ _DISTINCT = r"(?i)\bweek\s*\d+\b|\bissue\s*\d+\b|\d{4}-\d{2}-\d{2}|\b\d{8}\b"
 def normal_base(name: Column) -> Column:
     """A stem without copy marks (taken off one after the other) and then without one version mark."""
     lowered = F.lower(strip(name))
-    # Every round takes off two characters at least, so half the length is enough of them.
-    bare = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length(lowered) / 2).cast("int"))), lowered, lambda acc, _: strip(F.regexp_replace(acc, _STRIP, ""))
-    )
+    # Every round takes off one mark, so there are no more rounds than marks anywhere in the name.
+    marks = F.size(F.regexp_extract_all(lowered, F.lit(r"copy|\(\d+\)|[_-]1"), 0))
+    bare = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), marks)), lowered, lambda acc, _: strip(F.regexp_replace(acc, _STRIP, "")))
     return F.when(bare.rlike(_VERSION), strip(F.regexp_extract(bare, _VERSION, 1))).otherwise(bare)
 
 

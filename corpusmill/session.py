@@ -41,7 +41,18 @@ def keep(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    return kept
+
+
+def release(df: DataFrame) -> None:
+    """Delete what ``keep`` wrote for ``df``; for steps that nothing reads any more."""
+    path = getattr(df, "_kept_at", None)
+    if path:
+        context = df.sparkSession.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
