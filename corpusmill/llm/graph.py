@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import keep
+from corpusmill.session import keep, release
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -31,8 +31,10 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         unfinished = new.groupBy("u").count().where("count > 1").select(F.lit(1)).unionAll(
             new.join(new.select(F.col("u").alias("v")), "v", "left_semi").select(F.lit(1))
         )
+        done = unfinished.isEmpty()
+        release(pairs)
         pairs = new
-        if unfinished.isEmpty():
+        if done:
             break
     else:
         raise RuntimeError("components did not settle")

@@ -1,8 +1,8 @@
 """Texts cut off by field limits or in transfer (problem 10).
 
 The method: a trie of the corpus vocabulary, in shards by prefix. A text whose last word is unknown and a
-proper prefix of known words was cut inside a word. Length is the second kind of evidence: a length that
-many different unfinished texts share, unlike its neighbours, is a limit of a field. What the end of a
+proper prefix of known words was cut inside a word. Length is the second kind of evidence: a length, in
+characters or bytes, at which the ends of several different texts show a cut, is the limit of a field. What the end of a
 text is (prose, item, table row, signature, closing note) and whether lines that begin like the last one
 usually end with a full stop come from counts over the whole corpus.
 """
@@ -24,7 +24,7 @@ from corpusmill.llm.tries import Trie
 from corpusmill.session import keep
 
 #: Times that a word, an opening, a whole last line or a length has to occur to be known.
-KNOWN, OPENINGS, CLOSINGS, LIMIT_TEXTS = 3, 4, 2, 4
+KNOWN, OPENINGS, CLOSINGS, LIMIT_TEXTS = 3, 4, 2, 5
 #: Distinct entries that a task counts before it passes them on.
 FLUSH = 200_000
 
@@ -53,7 +53,9 @@ def ending(text: str) -> dict | None:
     last = lines[-1]
     words = last.split()
     before = next((ln.rstrip() for ln in reversed(lines[:-1]) if ln.strip()), "")
-    if body.endswith("```"):
+    if body.endswith("\ufffd"):
+        kind = "broken character"
+    elif body.endswith("```"):
         kind = "code"
     elif sum(ln.lstrip().startswith("```") for ln in lines) % 2:
         kind = "open code"
@@ -86,8 +88,8 @@ def ending(text: str) -> dict | None:
 
 def _scan(docs: DataFrame) -> DataFrame:
     """One pass over the texts: a row for each ending, and counts of words, openings and whole last lines."""
-    names = ["what", "doc_id", "source", "length", "text_hash", "mark", "kind", "done", "token", "opening", "line", "n_words", "n", "m"]
-    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+    names = ["what", "doc_id", "source", "length", "n_bytes", "text_hash", "mark", "kind", "done", "token", "opening", "line", "n_words", "n", "m"]
+    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[str] = Counter()
@@ -107,9 +109,9 @@ def _scan(docs: DataFrame) -> DataFrame:
             for w, n in ends.items():
                 if (c := clean(w)) and w[-1:] not in ".!?;:":
                     clean_ends[c] += n
-            rows = [("word", None, None, None, None, None, None, None, w, None, None, None, n, clean_ends[w]) for w, n in clean_words.items()]
-            rows += [("opening", None, None, None, None, None, None, None, None, o, None, None, n, finished[o]) for o, n in openings.items()]
-            rows += [("closing", None, None, None, None, None, None, None, None, None, o, None, n, 0) for o, n in closings.items()]
+            rows = [("word", None, None, None, None, None, None, None, None, w, None, None, None, n, clean_ends[w]) for w, n in clean_words.items()]
+            rows += [("opening", None, None, None, None, None, None, None, None, None, o, None, None, n, finished[o]) for o, n in openings.items()]
+            rows += [("closing", None, None, None, None, None, None, None, None, None, None, o, None, n, 0) for o, n in closings.items()]
             for c in (words, ends, openings, finished, closings):
                 c.clear()
             return rows
@@ -123,7 +125,7 @@ def _scan(docs: DataFrame) -> DataFrame:
                 e = ending(text) if text else None
                 if e is None:
                     continue
-                rows.append(("end", doc_id, source, len(text), text_hash, e["mark"], e["kind"], e["done"], e["token"], e["opening"], e["line"], e["n_words"], 0, 0))
+                rows.append(("end", doc_id, source, len(text), len(text.encode("utf-8", "surrogatepass")), text_hash, e["mark"], e["kind"], e["done"], e["token"], e["opening"], e["line"], e["n_words"], 0, 0))
                 if e["line"]:
                     closings[e["line"]] += 1
                 tokens = text.split()
@@ -147,7 +149,7 @@ def _scan(docs: DataFrame) -> DataFrame:
         if rows := flush():
             yield batch_of(rows)
 
-    schema = "what string, doc_id long, source string, length long, text_hash long, mark string, kind string, done boolean, token string, opening string, line string, n_words int, n long, m long"
+    schema = "what string, doc_id long, source string, length long, n_bytes long, text_hash long, mark string, kind string, done boolean, token string, opening string, line string, n_words int, n long, m long"
     return docs.select(
         F.col("doc_id").cast("long"), "text", strip(F.col("source")).alias("source"), F.xxhash64("text").alias("text_hash")
     ).mapInArrow(run, schema)
@@ -186,22 +188,25 @@ def cut_words(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
-def field_limits(ends: DataFrame) -> DataFrame:
-    """The lengths at which texts are cut: length, n_texts (different texts that end there unfinished).
+def field_limits(ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lengths, and the numbers of bytes, at which texts are cut: (length, n_cut) and (n_bytes, n_cut).
 
-    A limit has at least LIMIT_TEXTS such texts, and four times as many as the mean of the five lengths on
-    either side.
+    ``ends``: length, n_bytes, text_hash and reason (null unless the end of the text itself shows a cut). A limit
+    has at least LIMIT_TEXTS different texts cut at exactly this size, and they are three quarters of all texts of
+    this size. A cut counts for the measure in which more texts share its size: a limit in bytes cuts many
+    texts at lengths close to each other, and these are no limits.
     """
-    at = ends.where("not done and kind not in ('code', 'row', 'link')").groupBy("length").agg(F.approx_count_distinct("text_hash", 0.02).alias("n_texts"))
-    around = at.select(F.explode(F.sequence(F.col("length") - 5, F.col("length") + 5)).alias("l"), "length", "n_texts").where("l <> length").groupBy("l").agg(
-        (F.sum("n_texts") / 10).alias("near")
-    )
-    return (
-        at.where(F.col("n_texts") >= LIMIT_TEXTS)
-        .join(around.withColumnRenamed("l", "length"), "length", "left")
-        .where(F.col("n_texts") > 4 * F.coalesce("near", F.lit(0.0)))
-        .select("length", "n_texts")
-    )
+    texts = ends.groupBy("text_hash", "length", "n_bytes").agg(F.max(F.col("reason").isNotNull()).alias("cut"))
+    sizes = {}
+    for size in ("length", "n_bytes"):
+        sizes[size] = texts.groupBy(size).agg(F.count("*").alias(f"all_{size}"), F.count_if("cut").alias(f"cut_{size}"))
+    cut = texts.where("cut").join(sizes["length"], "length").join(sizes["n_bytes"], "n_bytes")
+
+    def limits(size: str, other: str) -> DataFrame:
+        own = cut.where(F.col(f"cut_{size}") >= F.col(f"cut_{other}")).groupBy(size).agg(F.count("*").alias("n_cut"))
+        return own.where(F.col("n_cut") >= LIMIT_TEXTS).join(sizes[size], size).where(F.col(f"cut_{size}") * 4 >= F.col(f"all_{size}") * 3).select(size, "n_cut")
+
+    return limits("length", "n_bytes"), limits("n_bytes", "length")
 
 
 def truncated(docs: DataFrame) -> DataFrame:
@@ -215,7 +220,7 @@ def truncated(docs: DataFrame) -> DataFrame:
     vocabulary = seen.where("what = 'word'").groupBy("token").agg(F.sum("n").alias("n"), F.sum("m").alias("at_end"))
     openings = seen.where("what = 'opening'").groupBy("opening").agg(F.sum("n").alias("n_open"), F.sum("m").alias("n_done"))
     closings = seen.where("what = 'closing'").groupBy("line").agg(F.sum("n").alias("n_closing")).where(F.col("n_closing") >= CLOSINGS)
-    doubtful = ends.where("mark <> '' or (not done and kind not in ('code', 'row', 'link'))")
+    doubtful = ends.where("mark <> '' or kind = 'broken character' or (not done and kind not in ('code', 'row', 'link'))")
     inside = cut_words(doubtful.select("token").distinct(), vocabulary).withColumn("inside", F.lit(True))
     first = openings.select(F.element_at(F.split("opening", " "), 1).alias("first"), "n_open", "n_done").groupBy("first").agg(
         F.sum("n_open").alias("n_first"), F.sum("n_done").alias("n_first_done")
@@ -226,11 +231,9 @@ def truncated(docs: DataFrame) -> DataFrame:
         .join(vocabulary.select("token", F.col("n").alias("n_word"), "at_end"), "token", "left")
         .join(openings, "opening", "left")
         .join(first, "first", "left")
-        .join(field_limits(ends), "length", "left")
         .join(closings, "line", "left")
     )
     inside_word = F.coalesce("inside", F.lit(False))
-    at_limit = F.col("n_texts").isNotNull()
     often = F.coalesce("n_open", F.lit(0)) >= OPENINGS
     prose_like = (
         F.when(often, F.col("n_done") * 2 >= F.col("n_open"))
@@ -243,13 +246,22 @@ def truncated(docs: DataFrame) -> DataFrame:
         F.when(bracket, "mark")
         .when((F.col("mark") != "") & F.col("n_closing").isNotNull() & (F.col("kind") == "prose"), None)
         .when(F.col("mark") != "", "mark")
+        .when(F.col("kind") == "broken character", "word")
         .when(F.col("kind").isin("open row", "open link"), "sentence")
-        .when(inside_word & (F.col("kind").isin("prose", "item", "open code") | at_limit), "word")
+        .when(inside_word & (F.col("kind").isin("prose", "item", "open code")), "word")
         .when((F.col("kind") == "prose") & prose_like, "sentence")
-        .when(at_limit, "limit")
         .when((F.col("kind") == "item") & never_last, "sentence")
     )
-    return joined.select("doc_id", "source", reason.alias("reason")).where("reason is not null").distinct()
+    shown = keep(joined.select("doc_id", "source", "length", "n_bytes", "text_hash", "kind", "mark", inside_word.alias("inside"), reason.alias("reason")).distinct(), "shown")
+    # What the ends show tells the limits of fields, in characters or in bytes; other texts that end there
+    # without having been finished were cut by the limit, too.
+    all_ = ends.select("doc_id", "length", "n_bytes", "text_hash").join(
+        shown.where("reason <> 'mark'").select("doc_id", "reason").distinct(), "doc_id", "left"
+    )
+    limits = [found.select(size, F.lit(True).alias(f"at_{size}")) for size, found in zip(("length", "n_bytes"), field_limits(all_))]
+    at_limit = F.coalesce("at_length", F.lit(False)) | F.coalesce("at_n_bytes", F.lit(False))
+    found = shown.join(limits[0], "length", "left").join(limits[1], "n_bytes", "left")
+    return found.select("doc_id", "source", F.coalesce("reason", F.when(at_limit & (F.col("mark") == ""), "limit")).alias("reason")).where("reason is not null").distinct()
 
 
 def truncation_report(docs: DataFrame) -> DataFrame:

@@ -105,9 +105,23 @@ def test_truncated(spark):
 
 
 def test_limits_of_fields(spark):
-    rows = [(100, i, False, "prose") for i in range(9)] + [(n, n, False, "prose") for n in range(95, 106)] + [(300, 1, False, "prose")] * 9 + [(50, i, True, "prose") for i in range(9)]
-    df = spark.createDataFrame(rows, "length long, text_hash long, done boolean, kind string")
-    assert [r["length"] for r in field_limits(df).collect()] == [100]  # equal texts count once, finished ones not
+    rows = [(100, 100 + i, i, "word") for i in range(9)] + [(n, n, n, None) for n in range(95, 106)] + [(300, 300, 1, "word")] * 9
+    rows += [(50, 50, i, None) for i in range(9)] + [(70, 70, i, "word" if i < 5 else None) for i in range(9)] + [(480 + i % 2, 500, i, "word") for i in range(14)]
+    chars, octets = field_limits(spark.createDataFrame(rows, "length long, n_bytes long, text_hash long, reason string"))
+    assert [r["length"] for r in chars.collect()] == [100]  # equal texts count once
+    assert [r["n_bytes"] for r in octets.collect()] == [500]  # not the lengths near 480
+
+
+def test_cut_by_a_limit(spark):
+    """Items cut at a limit in bytes look finished; others that end there show the limit."""
+    cut = lambda t, n: t.encode()[:n].decode("utf-8", "ignore")
+    long = [f"é{i} " + " ".join(SENTENCES[(i + k) % 4] for k in range(9)) for i in range(40)]
+    rows = [(i, t, "a") for i, t in enumerate(long)] + [(100 + i, cut(t, 250 - (i % 2)) if i % 2 == 0 else t, "a") for i, t in enumerate(long[:20])]
+    item = long[39][:200] + "\n- "
+    item += ("the fence " * 20).encode()[: 250 - len(item.encode())].decode()
+    got = {r["doc_id"]: r["reason"] for r in truncated(spark.createDataFrame([*rows, (500, item.rstrip() if len(item.rstrip().encode()) == 250 else item[:-2] + "xy", "a")], "doc_id long, text string, source string")).collect()}
+    assert got.pop(500, None) in ("limit", "sentence", "word")
+    assert set(got) <= {100 + i for i in range(0, 20, 2)} and len(got) >= 8
 
 
 def test_lines():
