@@ -77,7 +77,8 @@ def pack(
         ).alias("p"),
     ).select(key, "p.piece", "p.size")
     blocks = max(1, -(-sized.count() // block_items))
-    salted = pieces.withColumn("block", F.pmod(F.xxhash64(key, "piece"), F.lit(blocks)))
+    # Keys go through pandas as strings, as whole numbers beside a null would become floats there.
+    salted = pieces.select(F.pmod(F.xxhash64(key, "piece"), F.lit(blocks)).alias("block"), F.col(key).cast("string").alias(key), "piece", "size")
 
     def fill(block: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", key, "piece"], ascending=[False, True, True])
@@ -85,6 +86,8 @@ def pack(
         return pd.DataFrame({key: rows[key], "piece": rows["piece"], "size": rows["size"], "container": [f"{block[0]}-{a}" for a in at]})
 
     kind = items.schema[key].dataType.simpleString()
-    packed = salted.groupBy("block").applyInPandas(fill, f"`{key}` {kind}, piece int, size int, container string")
+    packed = salted.groupBy("block").applyInPandas(fill, f"`{key}` string, piece int, size int, container string").withColumn(
+        key, F.col(key).cast(kind)
+    )
     empty = sized.where("size = 0").select(key, F.lit(0).alias("piece"), "size", F.lit("").alias("container"))
     return packed.unionByName(empty)

@@ -73,8 +73,8 @@ def _tail(held: list[tuple[str, int]], overlap: int) -> list[tuple[str, int]]:
     return [("".join(last), len(last))] if last else []
 
 
-def split_text(text: str, limit: int = 1000, overlap: int = 150, max_chars: int = 100_000) -> list[tuple[str, int]]:
-    """Pieces of ``text`` with the number of words each shares with the piece before it.
+def split_text(text: str, limit: int = 1000, overlap: int = 150, max_chars: int = 100_000) -> list[tuple[str, int, int]]:
+    """Pieces of ``text``, each with the words and the characters it shares with the piece before it.
 
     A text within the limit is one piece as it is. Pieces have at most ``limit`` tokens, overlap included;
     without their overlaps they give the text again, character by character. A word longer than
@@ -82,27 +82,27 @@ def split_text(text: str, limit: int = 1000, overlap: int = 150, max_chars: int
     """
     most, shared = max_words(limit), min(min_words(overlap), max_words(limit) // 2)
     if len(text.split()) <= most and len(text) <= max_chars:
-        return [(text, 0)]
-    pieces: list[tuple[str, int]] = []
+        return [(text, 0, 0)]
+    pieces: list[tuple[str, int, int]] = []
     held: list[tuple[str, int]] = []  # units of the piece being packed, overlap first
-    words = size = lead = 0
+    words = size = lead = lead_size = 0
     # A unit has to fit beside an overlap.
     for text_, n in units(text, most - shared, max_chars):
         if held and (words + n > most or size + len(text_) > 2 * max_chars):
-            pieces.append(("".join(t for t, _ in held), lead))
+            pieces.append(("".join(t for t, _ in held), lead, lead_size))
             held = _tail(held, shared)
             words = lead = sum(k for _, k in held)
-            size = sum(len(t) for t, _ in held)
+            size = lead_size = sum(len(t) for t, _ in held)
         held.append((text_, n))
         words += n
         size += len(text_)
     if held:
-        pieces.append(("".join(t for t, _ in held), lead))
+        pieces.append(("".join(t for t, _ in held), lead, lead_size))
     return pieces
 
 
 def split_oversized(chunks: DataFrame, limit: int = 1000, overlap: int = 150) -> DataFrame:
-    """The pieces of each chunk over ``limit`` tokens: chunk_id, piece, n_pieces, text, tokens, overlap_words, meta.
+    """The pieces of each chunk over ``limit`` tokens: chunk_id, piece, n_pieces, text, tokens, overlap_words, overlap_chars, meta.
 
     Chunks within the limit, and null and empty texts, give no row. Repeated rows give repeated pieces.
     Other columns are not read. Texts too short to have so many words never leave the JVM.
@@ -117,15 +117,15 @@ def split_oversized(chunks: DataFrame, limit: int = 1000, overlap: int = 150) ->
                 if len(text.split()) <= most:
                     continue
                 pieces = split_text(text, limit, overlap)
-                rows += [(i, k, len(pieces), t, tokens(len(t.split())), shared) for k, (t, shared) in enumerate(pieces)]
-            at, *rest = zip(*rows) if rows else [()] * 6
+                rows += [(i, k, len(pieces), t, tokens(len(t.split())), *shared) for k, (t, *shared) in enumerate(pieces)]
+            at, *rest = zip(*rows) if rows else [()] * 7
             rows_of = pa.array(at, pa.int32())
-            kinds = pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()
+            kinds = pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(rows_of), *map(pa.array, rest, kinds), batch.column(2).take(rows_of)],
-                names=["chunk_id", "piece", "n_pieces", "text", "tokens", "overlap_words", "meta"],
+                names=["chunk_id", "piece", "n_pieces", "text", "tokens", "overlap_words", "overlap_chars", "meta"],
             )
 
     meta = chunks.schema["meta"].dataType.simpleString()
     kind = chunks.schema["chunk_id"].dataType.simpleString()
-    return large.mapInArrow(run, f"chunk_id {kind}, piece int, n_pieces int, text string, tokens int, overlap_words int, meta {meta}")
+    return large.mapInArrow(run, f"chunk_id {kind}, piece int, n_pieces int, text string, tokens int, overlap_words int, overlap_chars int, meta {meta}")

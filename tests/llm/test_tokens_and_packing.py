@@ -102,27 +102,19 @@ def test_pieces(parts):
     text = " ".join(parts)
     pieces = split_text(text, limit=40, overlap=8, max_chars=500)
     rebuilt = ""
-    for i, (piece, shared) in enumerate(pieces):
-        n = len(piece.split())
-        assert n <= max_words(40) or len(pieces) == 1
-        lead = "" if not i else piece[: len(piece) - len(_after(piece, shared))]
-        assert shared == (0 if not i else len(lead.split()))
-        if i:
-            assert rebuilt.endswith(lead)
-        rebuilt += piece[len(lead) :]
+    for i, (piece, shared, chars) in enumerate(pieces):
+        assert len(piece.split()) <= max_words(40) or len(pieces) == 1
+        lead = piece[:chars]
+        assert shared == len(lead.split()) and rebuilt.endswith(lead)
+        assert shared == (min_words(8) if i and len(rebuilt.split()) >= min_words(8) else shared)
+        rebuilt += piece[chars:]
     assert rebuilt == text
 
 
-def _after(piece, n):
-    import re
-
-    return piece[sum(len(w) for w in re.findall(r"\s*\S+\s*", piece)[:n]) :]
-
-
 def test_natural_cuts():
     text = "# One\n" + "alpha beta. " * 20 + "\n\n# Two\n" + "gamma delta. " * 20
     pieces = split_text(text, limit=64, overlap=0)
-    assert [p.split()[1] for p, _ in pieces] == ["One", "Two"]
+    assert [p.split()[1] for p, *_ in pieces] == ["One", "Two"]
 
 
 def test_split_frame(spark):
