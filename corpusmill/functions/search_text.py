@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import strip
 
-#: Fields whose lines are no text of a page.
+#: Fields whose lines are no text of a page.
 FIELDS = ("type", "title", "created_at", "updated_at", "sources", "tags", "domain", "entity_type", "display_name", "location", "relative_path")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import squeeze, strip
 
+#: The types of document that are read.
 SUPPORTED = ("pptx", "pdf", "docx")
 
 
@@ -83,6 +84,7 @@ def excluded_files(files: DataFrame, config: DataFrame) -> DataFrame:
 
 # --- duplicate file names ----------------------------------------------------------------------------
 
+#: Marks of copies at the end of a stem, as they are found and taken off; of versions; and of what is apart.
 _TAIL = r"(?i)(\bcopy\b|\(\d+\)|[_-]1)\s*$"
 _STRIP = r"(?i)(\s*-?\s*copy\b|\s*\(\d+\)|\s*[_-]1)\s*$"
 _VERSION = r"(?i)^(.*?)[\s_-]v(\d+(?:\.\d+)?)$"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions.text import strip, title_case
 from corpusmill.operators.orphans import slug_of
 
-#: [[slug]], [[slug|alias]], [[slug#anchor]]
+#: Links ([[slug]], [[slug|alias]], [[slug#anchor]]), paths that give a disk away, required fields, most tags.
 LINK = r"\[\[([^\]\|#]+)(?:[\|#][^\]]*)?\]\]"
 RAW_PATH = r"(/Users/|/home/|[A-Za-z]:\\|OneDrive/\S)"
 REQUIRED = ("type", "title", "updated_at", "sources")

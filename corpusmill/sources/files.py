@@ -13,6 +13,7 @@ from corpusmill.operators.manifest import file_name, is_supported, matches_glob
 
 CONFIG = "name string, path string, recurse boolean, exclude array<string>"
 EVENT = "path string, event string, hash string, timestamp string, chunks int, doc_type string, previous_hash string, location string, display_name string, relative_path string, reason string"
+#: The root that stands in where none is configured.
 FALLBACK = {"name": "Local", "path": "sources", "recurse": True, "exclude": []}
 
 

@@ -16,6 +16,7 @@ try:
 except ImportError:  # frontmatter is then read line by line
     yaml = None
 
+#: Pages that only lead to others.
 NAVIGATION = ("index.md", "log.md", "Home.md")
 _PAIR = re.compile(r"^([A-Za-z_][\w-]*):(?:\s+(.*))?$")
 
