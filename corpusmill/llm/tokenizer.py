@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: how byte-level BPE of this family cuts a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces that a task keeps; beyond that it starts anew.
-KEPT_PIECES = 300_000
+#: Pieces, states and pairs of tokens that a task keeps; beyond that it starts anew.
+KEPT_PIECES, KEPT_STATES, KEPT_PAIRS = 300_000, 300_000, 1_000_000
 DEFAULT_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -59,6 +59,10 @@ class Transducer:
         # A vocabulary entry that the merges can't build is never emitted.
         self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the states made so far."""
         self.states: dict[tuple, int] = {}
         self.items: list[tuple] = []
         self.moves: list[dict[int, tuple[int, int]]] = []
@@ -118,6 +122,10 @@ class Transducer:
         return found
 
     def encode(self, text: bytes) -> list[int]:
+        if len(self.items) > KEPT_STATES:
+            self.forget()
+        if len(self.pairs) > KEPT_PAIRS:
+            self.pairs.clear()
         state, last = self.start, []
         for byte in text:
             move = self.moves[state].get(byte)

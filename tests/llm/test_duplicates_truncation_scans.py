@@ -51,6 +51,20 @@ def test_consensus(spark):
     assert got == {"g": "Status Report", "h": "only", "big": "name of plan"}
 
 
+def test_consensus_over_levels(spark, monkeypatch):
+    monkeypatch.setattr("corpusmill.llm.duplicates.BLOCK_VALUES", 4)
+    rows = [("g", "f", f"plan {'abcdefghij'[i % 10]}{i} of works", 1.0) for i in range(150)] + [("g", "f", "plan of works", 1.0)]
+    got = consensus_values(spark.createDataFrame(rows, "group string, field string, value string, weight double")).collect()
+    assert [(r["group"], r["value"]) for r in got] == [("g", "plan of works")]
+
+
+def test_profiles_stay_small():
+    p = []
+    for i in range(400):
+        p = align(p, [{f"a{i}": 1.0}, {"same": 1.0}, {f"b{i}": 1.0}])
+    assert len(p) <= 256 and consensus(p, 400.0) == ["same"]
+
+
 def test_survivors(spark):
     def e(i, path, h, day, rel="r", name="Plan"):
         return (i, path, "ingested", h, None, f"2024-01-{day:02d}T00:00:00Z", rel, name, 0, "z")

@@ -48,6 +48,15 @@ def test_lookahead_is_in_the_states(ranks):
     assert len(fst.items) == n  # states are made once
 
 
+def test_caches_start_anew(ranks, monkeypatch):
+    for name in ("KEPT_PIECES", "KEPT_STATES", "KEPT_PAIRS"):
+        monkeypatch.setattr(f"corpusmill.llm.tokenizer.{name}", 5)
+    mine, theirs = Encoder(ranks), tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for text in ("the quick brown fox jumps over the lazy dog", "un mot après l'autre, et encore un autre", "ein Wort nach dem anderen " * 5):
+        assert mine.encode(text) == theirs.encode_ordinary(text)
+        assert len(mine.pieces) <= 5
+
+
 def test_frames(spark, both):
     df = spark.createDataFrame([(1, "hello world", "x"), (2, "", "x"), (3, None, "x"), (4, "é漢", "x"), (4, "é漢", "x")], "doc_id long, text string, ids string")
     got = sorted((r["doc_id"], list(r["ids"])) for r in encode_column(df, "doc_id", "text").collect())
