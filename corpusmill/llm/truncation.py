@@ -9,8 +9,9 @@ usually end with a full stop come from counts over the whole corpus.
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -20,13 +21,14 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import strip
 from corpusmill.llm.names import streamed
+from corpusmill.llm.scans import code
 from corpusmill.llm.tries import Trie
 from corpusmill.session import keep
 
 #: Times that a word, an opening, a whole last line or a length has to occur to be known.
 KNOWN, OPENINGS, CLOSINGS, LIMIT_TEXTS = 3, 4, 2, 5
-#: Distinct entries that a task counts before it passes them on.
-FLUSH = 200_000
+#: Distinct entries that a task counts before it passes them on; last lines that are sent to every task at once.
+FLUSH, SENT_LINES = 200_000, 100_000
 
 MARK = re.compile(r"\s*(?:\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\)|[\[(<]\s*(?:truncated|cut|cut off|gekürzt|tronqué|truncado|continued|more|snip)\s*[\])>]|…|\.{3,})\s*$", re.I)
 DONE = re.compile(r"[.!?:;。！？][\"'”’»)\]*_]*$")
@@ -34,6 +36,8 @@ ITEM = re.compile(r"^\s*(?:[-•*+–]|\d{1,3}[.)])\s")
 HEADING = re.compile(r"^\s*(?:#{1,6}\s|Slide \d+:|\d{1,2}\.\s\S{1,40}(?:\s\S{1,20}){0,4}$)")
 LETTERS = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 URL = re.compile(r"https?://\S+$|www\.\S+$")
+#: Where a line or a sentence begins.
+BEGIN = re.compile(r"[\r\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]+|(?<=[.!?…])\s+")
 
 
 def clean(token: str) -> str:
@@ -82,21 +86,21 @@ def ending(text: str) -> dict | None:
         "opening": " ".join(words[:2]).lower(),
         "n_words": len(words),
         # a short paragraph of its own may be a closing note
-        "line": last.strip().lower() if len(words) <= 6 and (len(lines) < 2 or not lines[-2].strip()) else "",
+        "line": " ".join(words).lower() if len(words) <= 6 and (len(lines) < 2 or not lines[-2].strip()) else "",
+        "before": before.strip(),
     }
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: a row for each ending, and counts of words, openings and whole last lines."""
-    names = ["what", "doc_id", "source", "length", "n_bytes", "text_hash", "mark", "kind", "done", "token", "opening", "line", "n_words", "n", "m"]
-    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+    """One pass over the texts: a row for each ending, and counts of words and openings."""
+    names = ["what", "doc_id", "source", "length", "n_bytes", "text_hash", "mark", "kind", "done", "token", "opening", "line", "before", "n_words", "n", "m"]
+    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[str] = Counter()
         ends: Counter[str] = Counter()
         openings: Counter[str] = Counter()
         finished: Counter[str] = Counter()
-        closings: Counter[str] = Counter()
 
         def flush() -> list[tuple]:
             clean_words: Counter[str] = Counter()
@@ -109,10 +113,9 @@ def _scan(docs: DataFrame) -> DataFrame:
             for w, n in ends.items():
                 if (c := clean(w)) and w[-1:] not in ".!?;:":
                     clean_ends[c] += n
-            rows = [("word", None, None, None, None, None, None, None, None, w, None, None, None, n, clean_ends[w]) for w, n in clean_words.items()]
-            rows += [("opening", None, None, None, None, None, None, None, None, None, o, None, None, n, finished[o]) for o, n in openings.items()]
-            rows += [("closing", None, None, None, None, None, None, None, None, None, None, o, None, n, 0) for o, n in closings.items()]
-            for c in (words, ends, openings, finished, closings):
+            rows = [("word", None, None, None, None, None, None, None, None, w, None, None, None, None, n, clean_ends[w]) for w, n in clean_words.items()]
+            rows += [("opening", None, None, None, None, None, None, None, None, None, o, None, None, None, n, finished[o]) for o, n in openings.items()]
+            for c in (words, ends, openings, finished):
                 c.clear()
             return rows
 
@@ -125,9 +128,7 @@ def _scan(docs: DataFrame) -> DataFrame:
                 e = ending(text) if text else None
                 if e is None:
                     continue
-                rows.append(("end", doc_id, source, len(text), len(text.encode("utf-8", "surrogatepass")), text_hash, e["mark"], e["kind"], e["done"], e["token"], e["opening"], e["line"], e["n_words"], 0, 0))
-                if e["line"]:
-                    closings[e["line"]] += 1
+                rows.append(("end", doc_id, source, len(text), len(text.encode("utf-8", "surrogatepass")), text_hash, e["mark"], e["kind"], e["done"], e["token"], e["opening"], e["line"], code(e["before"]) if e["line"] else None, e["n_words"], 0, 0))
                 tokens = text.split()
                 words.update(tokens[:-1])  # the last word may be cut
                 lines = text.splitlines()
@@ -149,7 +150,7 @@ def _scan(docs: DataFrame) -> DataFrame:
         if rows := flush():
             yield batch_of(rows)
 
-    schema = "what string, doc_id long, source string, length long, n_bytes long, text_hash long, mark string, kind string, done boolean, token string, opening string, line string, n_words int, n long, m long"
+    schema = "what string, doc_id long, source string, length long, n_bytes long, text_hash long, mark string, kind string, done boolean, token string, opening string, line string, before long, n_words int, n long, m long"
     return docs.select(
         F.col("doc_id").cast("long"), "text", strip(F.col("source")).alias("source"), F.xxhash64("text").alias("text_hash")
     ).mapInArrow(run, schema)
@@ -188,6 +189,59 @@ def cut_words(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
+def going_on(text: str, lines: dict[str, set[int]], known: set[str]) -> set[str]:
+    """Those of the ``known`` lines with which a line or sentence begins that goes on; ``lines``: first character -> lengths."""
+    found: set[str] = set()
+    for piece in BEGIN.split(text.lower()):
+        bare = piece.lstrip()
+        for p in {bare, bare.lstrip("-–•*+#>|\"'“„«( \t")}:
+            if lengths := lines.get(p[:1]):
+                p = " ".join(p.split())
+                found.update(p[:n] for n in lengths if len(p) > n and p[:n] in known and any(ch.isalnum() for ch in p[n:]))
+    return found
+
+
+def closing_notes(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """line: the short last paragraphs that are closing notes, of those that a mark of a cut follows somewhere.
+
+    ``ends``: text_hash, line, before (a hash of the line before it), mark and kind. A closing note ends at least CLOSINGS
+    different texts, after different lines, and over twice as many as have a line or sentence that begins like
+    it and goes on: what many sentences begin with was cut.
+    """
+    shared = (
+        ends.where("line <> ''").groupBy("line")
+        .agg(F.countDistinct("text_hash").alias("n_texts"), F.countDistinct("before").alias("n_before"), F.max((F.col("mark") != "") & (F.col("kind") == "prose")).alias("marked"))
+        .where(F.col("marked") & (F.least("n_texts", "n_before") >= CLOSINGS)).select("line", "n_texts")
+    )
+    shared = keep(shared, "closings")
+    context = docs.sparkSession.sparkContext
+    texts = docs.where("text <> ''").select("text", F.xxhash64("text").alias("text_hash"))
+
+    def hits(sent) -> DataFrame:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: set[str] = sent.value
+            sizes: defaultdict[str, set[int]] = defaultdict(set)
+            for line in known:
+                sizes[line[0]].add(len(line))
+            for batch in batches:
+                rows = [(line, h) for text, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for line in going_on(text, sizes, known)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["line", "text_hash"])
+
+        return texts.mapInArrow(run, "line string, text_hash long")
+
+    # As many passes as it takes to send all lines.
+    n_passes = math.ceil(shared.count() / SENT_LINES)
+    longer = None
+    for i in range(n_passes):
+        part = shared.where(F.pmod(F.xxhash64("line"), F.lit(n_passes)) == i)
+        found = hits(context.broadcast({r["line"] for r in part.select("line").collect()}))
+        longer = found if longer is None else longer.unionByName(found)
+    if longer is None:
+        return shared.select("line")
+    counts = longer.groupBy("line").agg(F.countDistinct("text_hash").alias("n_longer"))
+    return shared.join(counts, "line", "left").where(F.coalesce("n_longer", F.lit(0)) * 2 < F.col("n_texts")).select("line")
+
+
 def field_limits(ends: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The lengths, and the numbers of bytes, at which texts are cut: (length, n_cut) and (n_bytes, n_cut).
 
@@ -219,7 +273,7 @@ def truncated(docs: DataFrame) -> DataFrame:
     ends = seen.where("what = 'end'").drop("what", "n", "m")
     vocabulary = seen.where("what = 'word'").groupBy("token").agg(F.sum("n").alias("n"), F.sum("m").alias("at_end"))
     openings = seen.where("what = 'opening'").groupBy("opening").agg(F.sum("n").alias("n_open"), F.sum("m").alias("n_done"))
-    closings = seen.where("what = 'closing'").groupBy("line").agg(F.sum("n").alias("n_closing")).where(F.col("n_closing") >= CLOSINGS)
+    closings = closing_notes(docs, ends).withColumn("closing", F.lit(True))
     doubtful = ends.where("mark <> '' or kind = 'broken character' or (not done and kind not in ('code', 'row', 'link'))")
     inside = cut_words(doubtful.select("token").distinct(), vocabulary).withColumn("inside", F.lit(True))
     first = openings.select(F.element_at(F.split("opening", " "), 1).alias("first"), "n_open", "n_done").groupBy("first").agg(
@@ -244,7 +298,7 @@ def truncated(docs: DataFrame) -> DataFrame:
     bracket = F.col("mark").rlike(r"^[\[(<]")
     reason = (
         F.when(bracket, "mark")
-        .when((F.col("mark") != "") & F.col("n_closing").isNotNull() & (F.col("kind") == "prose"), None)
+        .when((F.col("mark") != "") & F.col("closing").isNotNull() & (F.col("kind") == "prose"), None)
         .when(F.col("mark") != "", "mark")
         .when(F.col("kind") == "broken character", "word")
         .when(F.col("kind").isin("open row", "open link"), "sentence")

@@ -118,6 +118,15 @@ def test_truncated(spark):
     assert truncated(df.limit(0)).count() == 0
 
 
+def test_cut_short_paragraphs(spark):
+    """A short last paragraph that other texts share is a closing note only if it isn't how sentences begin, and copies of a text count once."""
+    whole = [r[1] for r in corpus()[:40]]
+    cut = [(300, whole[4] + "\n\nThe window…"), (301, whole[5] + "\n\nThe window…"), (302, whole[6] + "\n\nMany small steps…"), (303, whole[6] + "\n\nMany small steps…")]
+    notes = [(400 + i, whole[i] + "\n\nAnd so on…") for i in range(3)]
+    df = spark.createDataFrame([(i, t, "a") for i, t in [*enumerate(whole), *cut, *notes]], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["reason"] for r in truncated(df).collect()} == {i: "mark" for i, _ in cut}
+
+
 def test_limits_of_fields(spark):
     rows = [(100, 100 + i, i, "word") for i in range(9)] + [(n, n, n, None) for n in range(95, 106)] + [(300, 300, 1, "word")] * 9
     rows += [(50, 50, i, None) for i in range(9)] + [(70, 70, i, "word" if i < 5 else None) for i in range(9)] + [(480 + i % 2, 500, i, "word") for i in range(14)]
