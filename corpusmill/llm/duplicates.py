@@ -234,21 +234,27 @@ def best_representatives(events: DataFrame) -> tuple[DataFrame, DataFrame]:
         "group", "v.field", "v.value", F.lit(1.0).alias("weight")
     )
     agreed = consensus_values(votes)
-    wide = keep(agreed.groupBy("group").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"best_{f}") for f in fields]), "consensus")
+    wide = agreed.groupBy("group").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"best_{f}") for f in fields])
+    # A hash is one token: the one that most members have is the consensus, of several the one that changed last.
+    at = F.coalesce("at", F.lit(-(1 << 62)))
+    hashes = facts.where("hash is not null").groupBy("group", "hash").agg(F.count("*").alias("n"), F.max(at).alias("at")).groupBy("group").agg(
+        F.max_by("hash", F.struct("n", "at", "hash")).alias("best_hash")
+    )
+    wide = keep(wide.join(hashes, "group", "full"), "consensus")
     filled = sum((F.col(c).isNotNull().cast("int") for c in ("hash", *fields)), F.lit(0))
     score = F.struct(
         filled.alias("filled"),
-        F.coalesce("at", F.lit(-(1 << 62))).alias("at"),
+        at.alias("at"),
         F.coalesce(F.col("display_name") == F.col("best_display_name"), F.lit(False)).alias("agrees"),
     )
     ranked = facts.join(wide, "group", "left").withColumn("score", score)
     top = ranked.groupBy("group").agg(F.max("score").alias("top"), F.count("*").alias("n_members"))
     survivor = ranked.join(top, "group").where("score = top").groupBy("group").agg(
-        F.min_by(F.struct("path", "hash", *fields, *[f"best_{f}" for f in fields], "n_members"), "path").alias("s")
+        F.min_by(F.struct("path", *[c for f in ("hash", *fields) for c in (f, f"best_{f}")], "n_members"), "path").alias("s")
     )
     records = keep(
         survivor.select(
-            "group", F.col("s.path").alias("keep_path"), F.coalesce("s.hash", F.lit("")).alias("hash"),
+            "group", F.col("s.path").alias("keep_path"), F.coalesce("s.hash", "s.best_hash", F.lit("")).alias("hash"),
             *[F.coalesce(f"s.{f}", f"s.best_{f}").alias(f) for f in fields], "s.n_members",
         ), "records",
     )

@@ -82,6 +82,17 @@ def test_survivors(spark):
     assert members.count() == records.count() == 0
 
 
+def test_records_of_survivors_without_a_hash(spark):
+    def e(i, path, h, day, name="Plan"):
+        return (i, path, "ingested", h, None, f"2024-01-{day:02d}T00:00:00Z", "r", name, 0, "z")
+
+    rows = [e(1, "R/a/Plan.pdf", "1", 1, None), e(2, "R/a/Plan v2.pdf", None, 5), e(3, "R/b/Deck.pdf", "3", 1, None), e(4, "R/b/Deck v2.pdf", "4", 2, None), e(5, "R/b/Deck v3.pdf", "", 5)]
+    rows += [e(6, "R/c/Memo.pdf", "6", 1, None), e(7, "R/c/Memo.docx", "6", 2, None), e(8, "R/c/Memo v2.pdf", "8", 3, None), e(9, "R/c/Memo v3.pdf", " ", 5)]
+    rows += [e(10, "R/d/Note.pdf", None, 1), e(11, "R/d/Note v2.pdf", None, 2)]
+    _, records = best_representatives(spark.createDataFrame(rows, EVENT))
+    assert {r["keep_path"]: r["hash"] for r in records.collect()} == {"R/a/Plan v2.pdf": "1", "R/b/Deck v3.pdf": "4", "R/c/Memo v3.pdf": "6", "R/d/Note v2.pdf": ""}
+
+
 def test_endings():
     assert ending(" \n ") is None
     assert ending("Some text. The fox ju")["kind"] == "prose" and not ending("Some text. The fox ju")["done"]
