@@ -35,7 +35,7 @@ _ROUGH = str.maketrans({"0": "o", "1": "l", "i": "l", "t": "l", "†": "l", "|":
 HYPHENS = "-‐‑¬­"
 #: Words that a task counts before it passes them on, and entries of a table that may be sent to every task.
 FLUSH, MAX_SENT = 200_000, 400_000
-#: Times that a word has to occur to be known.
+#: Times that a word has to occur to be known, where letters alone don't tell that another one was misread.
 KNOWN = 5
 
 _FORM = re.compile(r"^\s*(?:[-–—~•|\[(]*\s*)(?:(?:page|seite|página|pagina|pág\.|pag\.|pg\.?|p\.|s\.|blatt|sheet|folio)\s*[\dlIoOS]{1,4}(?:\s*(?:of|von|de|sur|/|\|)\s*[\dlIoOS]{1,4})?|[\dlIoOS]{1,4}\s*(?:/|of|von|sur)\s*[\dlIoOS]{1,4}|[-–—~•|\[(]+\s*[\dlIoOS]{1,4}\s*[-–—~•|\])]+)\s*$", re.I)
@@ -44,6 +44,8 @@ _ROMAN = re.compile(r"^\s*(?=[ivxl])x{0,4}(?:ix|iv|v?i{0,3})\s*$|^\s*(?=[IVXL])X
 _TRAILING = re.compile(r"(?:\s{2,}|\t|\s[|·•–—-]\s*)(?:(?:page|seite|página|pg\.?|p\.|s\.)\s*)?([\dlIoOS]{1,4})\s*$|^\s*(?:(?:page|seite|página|pg\.?|p\.|s\.)\s*)?(\d{1,4})(?:\s{2,}|\t|\s[|·•–—-]\s)\S", re.I)
 _STOP = re.compile(r"[.!?:;…][\"'”’»)\]]*$")
 _LIST = re.compile(r"^\s*(?:[-•*+–]|\d{1,3}[.)])\s|^\s*\|")
+#: Forms that no word is written in: a digit, dagger or bar between letters; vv hardly ever is.
+_IMPOSSIBLE, _UNLIKELY = r"\p{L}[0-9†|]+\p{L}", r"\p{L}vv\p{L}"
 _EDGE = ".,;:!?\"'“”‘’«»()[]{}*_`#…<>="
 
 
@@ -175,9 +177,9 @@ def readings(word: str) -> set[str]:
 def misread_words(vocabulary: DataFrame) -> DataFrame:
     """word, meant: words never seen outside PDFs with a known reading that is 20 times as frequent at least.
 
-    ``vocabulary``: word, n, n_native.
+    ``vocabulary``: word, n, n_native. Where the form itself is none that words have, its most frequent reading that the corpus has
+    is meant, however rare it is: names don't become frequent as a corpus grows. With vv it has to be the more frequent one.
     """
-    known = vocabulary.where(F.col("n") >= KNOWN)
 
     def spread(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -187,8 +189,11 @@ def misread_words(vocabulary: DataFrame) -> DataFrame:
     # Of words that are frequent themselves only those with a still more frequent reading are left by the join.
     return (
         vocabulary.where("n_native = 0").select("word", "n").mapInPandas(spread, "word string, n long, meant string")
-        .join(known.select(F.col("word").alias("meant"), F.col("n").alias("n_meant")), "meant")
-        .where(F.col("n_meant") >= 20 * F.col("n"))
+        .join(vocabulary.select(F.col("word").alias("meant"), F.col("n").alias("n_meant")), "meant")
+        .where(
+            F.col("word").rlike(_IMPOSSIBLE) | (F.col("word").rlike(_UNLIKELY) & (F.col("n_meant") > F.col("n")))
+            | ((F.col("n_meant") >= KNOWN) & (F.col("n_meant") >= 20 * F.col("n")))
+        )
         .groupBy("word").agg(F.max_by("meant", F.struct("n_meant", "meant")).alias("meant"))
     )
 

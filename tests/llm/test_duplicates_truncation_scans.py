@@ -1,7 +1,7 @@
 import pytest
 
 from corpusmill.llm.duplicates import align, base_name, best_representatives, consensus, consensus_values, duplicate_groups
-from corpusmill.llm.scans import clean_scans, divisions, readings, skeleton
+from corpusmill.llm.scans import clean_scans, divisions, misread_words, readings, skeleton
 from corpusmill.llm.truncation import cut_words, ending, field_limits, truncated, truncation_report
 
 EVENT = "seq long, path string, event string, hash string, previous_hash string, timestamp string, relative_path string, display_name string, rank int, grp string"
@@ -165,6 +165,14 @@ def test_lines():
     assert "tested" in readings("te5ted") and "published" in readings("piiblished") and "simplified" in readings("sirnplified")
 
 
+def test_misread_names(spark):
+    """Rare names are set right where the form is no word's; between words of letters alone frequency decides."""
+    words = [("ni8agaux", 5, 0), ("nibagaux", 12, 0), ("madi†huulv", 3, 0), ("madithuulv", 2, 0), ("lap1ekreal", 1, 0), ("laplekreal", 1, 0), ("savvikol", 2, 0), ("sawikol", 3, 0)]
+    words += [("comrnittee", 5, 0), ("committee", 100, 50), ("bam", 5, 0), ("barn", 12, 0), ("navvet", 3, 0), ("nawet", 3, 0), ("b8b", 2, 1), ("bbb", 40, 1), ("x7y", 3, 0)]
+    got = {r["word"]: r["meant"] for r in misread_words(spark.createDataFrame(words, "word string, n long, n_native long")).collect()}
+    assert got == {"ni8agaux": "nibagaux", "madi†huulv": "madithuulv", "lap1ekreal": "laplekreal", "savvikol": "sawikol", "comrnittee": "committee"}
+
+
 def scan(title, lines, page, form="Seite {}"):
     return f"{title}\r\n" + "\r\n".join(lines) + "\r\n" + form.format(page)
 
