@@ -78,11 +78,14 @@ def headings(path: str | None) -> set[str]:
     return {squeeze(path), *(squeeze(p) for p in path.split(">"))} if path else set()
 
 
-def divisions(lines: list[str]) -> Iterator[tuple[int, int, str, str, str]]:
-    """Lines that end inside a word: line, the line that may go on, word joined, word with hyphen, the hyphen."""
+def divisions(lines: list[str], most: int | None = None) -> Iterator[tuple[int, int, str, str, str]]:
+    """Lines that end inside a word: line, the line that may go on, word joined, word with hyphen, the hyphen.
+
+    It goes on behind any number of titles and page numbers; ``most``: lines to look at, once these are left out.
+    """
     for i, line in enumerate(lines):
         bare = line.rstrip()
-        if len(bare) < 2 or bare[-1] not in HYPHENS or not bare[-2].isalpha() or _LIST.match(line):
+        if len(bare) < 2 or bare[-1] not in HYPHENS or not bare[-2].isalpha():
             continue
         head = bare.split()[-1]
         seen = 0
@@ -96,7 +99,7 @@ def divisions(lines: list[str]) -> Iterator[tuple[int, int, str, str, str]]:
                 if joined:
                     yield i, j, joined, hyphened, bare[-1]
                 break
-            if seen == 3:
+            if seen == most:
                 break
 
 
@@ -374,7 +377,7 @@ def repair(text: str, repeats: dict[int, int], path: str | None, page: int | Non
     # A blank line beside a header or page number belongs to the page, not to the text.
     plain = [ln for _, ln in kept]
     joins: dict[int, tuple[int, bool]] = {}
-    for i, j, joined, hyphened, mark in divisions(plain):
+    for i, j, joined, hyphened, mark in divisions(plain, 3):
         known = divided.get((joined, hyphened))
         split = mark in "¬­" or (known if known is not None else True)
         joins[i] = (j, split)

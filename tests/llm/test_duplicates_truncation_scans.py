@@ -165,6 +165,10 @@ def test_lines():
     assert "tested" in readings("te5ted") and "published" in readings("piiblished") and "simplified" in readings("sirnplified")
 
 
+def test_divisions_of_numbered_prose():
+    assert [(a, b, j) for a, b, j, *_ in divisions(["44. The team came out-", "side of regular hours", "and de-", "", "Acme", "Review", "12", "partmental"])] == [(0, 1, "outside"), (2, 7, "departmental")]
+
+
 def test_misread_names(spark):
     """Rare names are set right where the form is no word's; between words of letters alone frequency decides."""
     words = [("ni8agaux", 5, 0), ("nibagaux", 12, 0), ("madi†huulv", 3, 0), ("madithuulv", 2, 0), ("lap1ekreal", 1, 0), ("laplekreal", 1, 0), ("savvikol", 2, 0), ("sawikol", 3, 0)]
