@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 #: Java's \s is ASCII only; with this flag it is the Unicode property.
 WS = r"(?U)\s+"
+#: The characters of that property.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
     """Without white space at either end, of any Unicode kind."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def words(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import chunking as C
+from corpusmill.plans.prose_sql import prose_ctes
 from corpusmill.plans.registry import CORE
 from corpusmill.session import table
 
@@ -42,15 +43,16 @@ def low_text_warning(spark, d):
 
 
 def slides(spark, d):
-    """Slides as the least chunk of each number in a deck has them."""
+    """Slides with the texts of all their chunks in order; words are counted without the title, which is the first line."""
     chunk = table(spark, d, "chunk").where("meta.slide is not null")
-    one = chunk.groupBy(F.col("doc_key").alias("deck"), F.col("meta.slide").alias("slide")).agg(F.min_by("text", F.struct("chunk_index", "chunk_id")).alias("text"))
-    return one.withColumn("n_words", C.n_words(F.col("text")))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "text"))), lambda c: c["text"])
+    own = F.array_join(F.filter(texts, lambda t: t != ""), "\n\n")
+    whole = chunk.groupBy(F.col("doc_key").alias("deck"), F.col("meta.slide").alias("slide")).agg(own.alias("text"))
+    return whole.withColumn("n_words", C.n_words(F.regexp_replace("text", r"^[^\r\n]*[\r\n]*", "")))
 
 
-SLIDES_SQL = f"""slides AS (SELECT deck, slide, text, coalesce(len({WORDS.format('text')}), 0) AS n_words FROM (
-      SELECT doc_key AS deck, meta.slide AS slide, text, row_number() OVER (PARTITION BY doc_key, meta.slide ORDER BY chunk_index, chunk_id) AS k
-      FROM chunk WHERE meta.slide IS NOT NULL) WHERE k = 1)"""
+SLIDES_SQL = f"""slides AS (SELECT deck, slide, text, coalesce(len({WORDS.format("regexp_replace(text, '^[^\r\n]*[\r\n]*', '')")}), 0) AS n_words FROM (
+      SELECT doc_key AS deck, meta.slide AS slide, coalesce(string_agg(nullif(text, ''), chr(10) || chr(10) ORDER BY chunk_index, chunk_id), '') AS text FROM chunk WHERE meta.slide IS NOT NULL GROUP BY ALL))"""
 
 
 def _slide_sql(least: int) -> str:
@@ -79,24 +81,46 @@ def slide_chunks_coarse(spark, d):
     return _slide_chunks(spark, d, 60)
 
 
-@CORE.query("near_empty_slides", f"WITH {SLIDES_SQL} SELECT deck, slide, n_words FROM slides WHERE n_words <= 25")
+@CORE.query("near_empty_slides", f"WITH {SLIDES_SQL} SELECT deck, slide, n_words, n_words <= 4 AS near_empty, n_words <= 25 AS sparse FROM slides")
 def near_empty_slides(spark, d):
-    return slides(spark, d).where("n_words <= 25").select("deck", "slide", "n_words")
+    """The words of every slide beside its title, and whether it has so few that it joins the next one."""
+    return slides(spark, d).select("deck", "slide", "n_words", (F.col("n_words") <= 4).alias("near_empty"), (F.col("n_words") <= 25).alias("sparse"))
 
 
-@CORE.query("prose_chunks")
+DOCUMENT_PARTS = "SELECT doc_id AS key, 0 AS part, NULL::INTEGER AS page, text FROM documents"
+CHUNK_PARTS = "SELECT doc_key AS key, row_number() OVER (PARTITION BY doc_key ORDER BY chunk_index, chunk_id) AS part, meta.page AS page, text FROM chunk WHERE meta.slide IS NULL AND doc_key IS NOT NULL"
+PROSE = "CAST(chunk_index AS INTEGER) AS chunk_index, text, CAST(page AS INTEGER) AS page, heading, heading_path, has_table, has_image"
+
+
+def _documents_as_prose(spark, d):
+    docs = table(spark, d, "documents")
+    return C.prose_chunks(docs.select("doc_id", C.markdown_items(F.col("text"), F.lit(None)).alias("items")))
+
+
+@CORE.query("prose_chunks", f"WITH RECURSIVE {prose_ctes(DOCUMENT_PARTS)} SELECT key AS doc_id, {PROSE} FROM prose")
 def prose_chunks(spark, d):
-    return C.prose_chunks(table(spark, d, "documents"))
+    return _documents_as_prose(spark, d)
 
 
-@CORE.query("prose_chunk_stats")
+@CORE.query(
+    "prose_chunk_stats",
+    f"""WITH RECURSIVE {prose_ctes(DOCUMENT_PARTS)} SELECT key AS doc_id, count(*) AS n_chunks, count(*) FILTER (has_table) AS n_tables,
+        CAST(sum(length(text)) AS BIGINT) AS n_chars, count(DISTINCT heading) AS n_headings FROM prose GROUP BY key""",
+)
 def prose_chunk_stats(spark, d):
     """Chunks, tables and characters of each document when cut as prose."""
-    return C.prose_chunks(table(spark, d, "documents")).groupBy("doc_id").agg(
+    return _documents_as_prose(spark, d).groupBy("doc_id").agg(
         F.count("*").alias("n_chunks"), F.count_if("has_table").alias("n_tables"), F.sum(F.length("text")).alias("n_chars"), F.countDistinct("heading").alias("n_headings")
     )
 
 
+@CORE.query("section_chunks", f"WITH RECURSIVE {prose_ctes(CHUNK_PARTS)} SELECT key AS doc_key, {PROSE} FROM prose")
+def section_chunks(spark, d):
+    """Documents put together from their chunks and cut again by sections, each chunk with the page it begins on."""
+    parts = table(spark, d, "chunk").where("meta.slide is null and doc_key is not null").withColumn("page", F.col("meta.page"))
+    return C.prose_chunks(C.document_items(parts, "doc_key", ["chunk_index", "chunk_id"], "text", "page"), "doc_key")
+
+
 @CORE.query(
     "chunk_stats",
     """SELECT doc_key, count(*) AS n_chunks, count(*) FILTER (WHERE meta.has_table) AS n_tables, count(*) FILTER (WHERE meta.has_image) AS n_images,

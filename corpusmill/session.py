@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -23,15 +22,25 @@ def local_session(cpus: int | str = 8, memory: str = "8g", partitions: int = 8)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a folder of this process."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a folder of this process on a local master, else an error.
+
+    A folder of one machine would be another one to each executor, and what is read back only a part.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    folder = os.environ.get("CORPUSMILL_SHARED") or tempfile.mkdtemp(prefix="spark-shared-")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir has to name a folder that all executors of {master} share")
+    folder = tempfile.mkdtemp(prefix="spark-shared-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+#: What this process has written and not yet deleted.
+_STEPS: set[str] = set()
+
+
 def keep(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -41,18 +50,31 @@ def keep(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STEPS.add(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._kept_at = path
     return kept
 
 
-def release(df: DataFrame) -> None:
-    """Delete what ``keep`` wrote for ``df``; for steps that nothing reads any more."""
-    path = getattr(df, "_kept_at", None)
-    if path:
-        context = df.sparkSession.sparkContext
-        place = context._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    _STEPS.discard(path)
+
+
+def release(*kept: DataFrame) -> None:
+    """Delete what ``keep`` wrote for these; for steps that nothing reads any more."""
+    for df in kept:
+        path = getattr(df, "_kept_at", None)
+        if path in _STEPS:
+            _delete(df.sparkSession, path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete all that ``keep`` wrote in this process, once the results that were made of it are written."""
+    for path in list(_STEPS):
+        _delete(spark, path)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
