@@ -77,6 +77,11 @@ def release_all(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
+def tasks(spark: SparkSession) -> int:
+    """Partitions for a stage whose cost is by row: as many as shuffles have, and not fewer because its rows are short."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
