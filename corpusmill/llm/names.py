@@ -1,8 +1,8 @@
 """Variant spellings of names typed by people (problem 1).
 
-The method: a trie join. The words of all names are sharded into tries by a segment that two words within
-the bound must share; in each shard a Levenshtein automaton walks the trie for every word that falls into
-it. Neighbours give each word the spelling it stands for. Names are then compared as sets of words, in
+The method: a trie join. The words of all names are sharded into tries by what is left of them, or of a half, without
+one letter, which two words within the bound share; in each shard a Levenshtein automaton walks the trie for every
+word that falls into it. Neighbours give each word the spelling it stands for. Names are then compared as sets of words, in
 whatever order: the rarest word (a surname, the invented part of a firm's name) is the anchor, and the
 others have to agree with one and only one full name of that anchor, as equal words, initials,
 abbreviations, or by being left out.
@@ -11,17 +11,22 @@ abbreviations, or by being left out.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import groupby
+from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.canonical import fold
 from corpusmill.llm.graph import components
-from corpusmill.llm.tries import Trie
-from corpusmill.session import keep
+from corpusmill.llm.tries import Automaton, Trie, groups, within
+from corpusmill.session import keep, release, tasks
+
+#: Letters from which two edits are allowed; entries and queries of a block of a shard; automata that a task keeps.
+LONG, BLOCK_WORDS, KEPT_AUTOMATA = 11, 1_024, 50_000
+#: Pages up to which a word may be a slip of anything; how much rarer than a word its misspelling is.
+FEW, COMMON = 3, 4
 
 #: Short forms of given names that are no beginning of the full form, by full form.
 NICKNAMES = {
@@ -66,89 +71,104 @@ def parse(name: str) -> list[str]:
     return [SHORT.get(w, SHORT_FORMS.get(w, w)) for w in words]
 
 
-def is_acronym(words: list[str]) -> bool:
-    """No word is long enough to be more than an abbreviation."""
-    return all(len(w) < 5 for w in words)
+def names_nobody(words: list[str]) -> bool:
+    """One word alone, too short to be more than an abbreviation."""
+    return all(len(w) < 5 for w in words) and len(words) < 2
 
 
 def bound(length: int) -> int:
     """Edits by length: none below 5 letters, 1 below 11, else 2 (a transposition of neighbours is one edit)."""
-    return 0 if length < 5 else 1 if length < 11 else 2
+    return 0 if length < 5 else 1 if length < LONG else 2
+
+
+def _shortened(c: Column) -> Column:
+    """A text, and what is left of it without one of its letters."""
+    return F.array_append(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(c.substr(F.lit(1), i - 1), c.substr(i + 1, F.length(c)))), c)
+
 
+def _tagged(tag: str, keys: Column) -> Column:
+    return F.transform(keys, lambda k: F.concat(F.lit(tag), k))
 
-def segments(length: int) -> list[tuple[int, int]]:
-    """Where a word of this length is cut: a segment more than the letters that the edits within the bound can touch apart."""
-    n = 3 if bound(length) == 1 else 4
-    cuts = [length * i // n for i in range(n + 1)]
-    return list(zip(cuts, cuts[1:]))
 
+def entry_shards(word: Column) -> Column:
+    """The shards of a word: those of the whole, where 1 edit is allowed, or of its halves, as of 2 edits one half has 1 at most.
 
-def shards_of_entry(word: str) -> list[str]:
-    return [f"{len(word)}.{i}.{word[a:b]}" for i, (a, b) in enumerate(segments(len(word)))]
+    Texts that are 1 edit apart give the same text when each loses the right letter, or as they are.
+    """
+    n, half = F.length(word), F.floor(F.length(word) / 2).cast("int")
+    left, right = word.substr(F.lit(1), half), word.substr(half + 1, n)
+    halves = F.concat(_tagged("<", _shortened(left)), _tagged(">", _shortened(right)))
+    return F.array_distinct(F.when(n < LONG, _tagged("=", _shortened(word))).otherwise(halves))
 
 
-def shards_of_query(word: str) -> set[str]:
-    """The shards in which an entry within the bound has to lie."""
-    found = set()
-    for length in range(max(5, len(word) - 2), len(word) + 3):
-        k, delta = bound(length), len(word) - length
-        if abs(delta) > k:
-            continue
-        cuts = segments(length)
-        for i, (a, b) in enumerate(cuts):
-            shifts = [0] if i == 0 else [delta] if i == len(cuts) - 1 else [s for s in range(-k, k + 1) if abs(s) + abs(delta - s) <= k]
-            for s in shifts:
-                if a + s >= 0 and b + s <= len(word):
-                    found.add(f"{length}.{i}.{word[a + s : b + s]}")
-    return found
+def query_shards(word: Column) -> Column:
+    """The shards in which an entry within the bound has to lie: those of the parts that may be a half of an entry of two letters more or less."""
+    n = F.length(word)
 
+    def halves(length: Column) -> Column:
+        left = F.floor(length / 2).cast("int")
+        right = length - left
+        head = lambda k: word.substr(F.lit(1), k)
+        tail = lambda k: word.substr(n - k + 1, k)
+        both = [F.concat(_tagged(tag, F.concat(F.array(part(k - 1)), _shortened(part(k)), _shortened(part(k + 1))))) for tag, part, k in (("<", head, left), (">", tail, right))]
+        return F.concat(*both)
 
-def streamed(batches: Iterable[pd.DataFrame], key: str) -> Iterator[tuple[str, list[tuple]]]:
-    """Groups of rows of a partition sorted by ``key``, across batches."""
-    rows = (r for b in batches for r in b.itertuples(index=False))
-    return ((k, list(g)) for k, g in groupby(rows, key=lambda r: getattr(r, key)))
+    lengths = F.filter(F.sequence(n - 2, n + 2), lambda k: k >= LONG)
+    of_halves = F.flatten(F.transform(lengths, halves))
+    of_whole = F.when(n <= LONG, _tagged("=", _shortened(word))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(of_whole, of_halves))
 
 
 def trie_join(words: DataFrame) -> DataFrame:
     """Pairs of distinct words within the bound for the length of ``entry``: query, entry, distance.
 
-    ``words`` has the column ``word``, distinct. Found are all pairs with at most one transposition in
-    their edits.
+    ``words`` has the column ``word``, distinct. Queries have 4 letters at least. A shard is a text that is
+    left of few words when they lose a letter, so shards don't grow with the vocabulary as their number does; one that
+    has much work all the same is cut into blocks of entries and of queries.
     """
-
-    def shard(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(s, 0, w) for w in batch["word"] for s in shards_of_entry(w)]
-            rows += [(s, 1, w) for w in batch["word"] for s in shards_of_query(w)]
-            yield pd.DataFrame(rows, columns=["shard", "side", "word"])
+    n_tasks = tasks(words.sparkSession)
+    entries = words.where(F.length("word") >= 5).select(F.explode(entry_shards(F.col("word"))).alias("shard"), F.lit(0).alias("side"), "word")
+    queries = words.where(F.length("word") >= 4).select(F.explode(query_shards(F.col("word"))).alias("shard"), F.lit(1).alias("side"), "word")
+    all_of = Window.partitionBy("shard").orderBy("side").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counted = (
+        entries.unionByName(queries).repartition(n_tasks, "shard")
+        .select("*", F.min("word").over(all_of).alias("first"), F.max("word").over(all_of).alias("last"), F.sum("side").over(all_of).alias("n_queries"), F.count("*").over(all_of).alias("n"))
+        .where("first <> last and n_queries between 1 and n - 1").withColumn("n_entries", F.col("n") - F.col("n_queries"))
+    )
+    much = F.col("n_entries") * F.col("n_queries") > BLOCK_WORDS * BLOCK_WORDS
+    light = counted.where(~much).select("shard", "side", "word")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK_WORDS).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("word"), blocks(c))
+    other = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+    heavy = counted.where(much)
+    grid = heavy.where("side = 0").select("shard", "side", "word", own("n_entries").alias("i"), other("n_queries").alias("j")).unionByName(
+        heavy.where("side = 1").select("shard", "side", "word", other("n_entries").alias("i"), own("n_queries").alias("j"))
+    )
+    grid = grid.select(F.concat_ws("/", "shard", "i", "j").alias("shard"), "side", "word").repartition(n_tasks, "shard").sortWithinPartitions("shard", "side")
 
     def walk(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple[str, str, int]] = []
-        for _, rows in streamed(batches, "shard"):
-            entries = [r.word for r in rows if r.side == 0]
-            if not entries:
-                continue
-            trie = Trie()
-            for w in entries:
-                trie.add(w, w)
-            for r in rows:
-                if r.side == 1:
-                    for entry, d in trie.near(r.word, bound(len(entries[0]))):
-                        if entry != r.word:
-                            out.append((r.word, entry, d))
+        automata: dict[str, Automaton] = {}
+        for shard, rows in groups(batches, "shard"):
+            words_, sides = rows["word"].to_numpy(), rows["side"].to_numpy()
+            tries: dict[int, Trie] = {}  # by the bound for the length of an entry
+            for w in words_[sides == 0]:
+                tries.setdefault(bound(len(w)), Trie()).add(w, w)
+            for q in words_[sides == 1]:
+                for k, trie in tries.items():
+                    automaton = automata.get(f"{k}{q}")
+                    if automaton is None:
+                        if len(automata) > KEPT_AUTOMATA:
+                            automata.clear()
+                        automaton = automata[f"{k}{q}"] = Automaton(q, k)
+                    out += [(q, entry, d) for entry, d in trie.accepted(automaton) if entry != q]
             if len(out) > 10_000:
                 yield pd.DataFrame(out, columns=["query", "entry", "distance"])
                 out = []
         yield pd.DataFrame(out, columns=["query", "entry", "distance"])
 
-    sharded = words.where(F.length("word") >= 5).mapInPandas(shard, "shard string, side int, word string")
-    return (
-        sharded.repartition("shard")
-        .sortWithinPartitions("shard", "side")
-        .mapInPandas(walk, "query string, entry string, distance int")
-        .groupBy("query", "entry")
-        .agg(F.min("distance").alias("distance"))
-    )
+    schema = "query string, entry string, distance int"
+    return light.mapInPandas(walk, schema).unionByName(grid.mapInPandas(walk, schema)).groupBy("query", "entry").agg(F.min("distance").alias("distance"))
 
 
 def spellings(counts: DataFrame) -> DataFrame:
@@ -156,13 +176,13 @@ def spellings(counts: DataFrame) -> DataFrame:
 
     ``counts``: word, n (pages that use it). A word stands for the most frequent neighbour that is more
     frequent than it, or equally frequent and first in the alphabet; two words that are both frequent
-    (over 3 pages, and not 4 times rarer) are different words.
+    (over FEW pages, and not COMMON times rarer) are different words.
     """
     near = trie_join(counts.select("word"))
     n = counts.select(F.col("word").alias("query"), F.col("n").alias("nq"))
     m = counts.select(F.col("word").alias("entry"), F.col("n").alias("ne"))
     better = (F.col("ne") > F.col("nq")) | ((F.col("ne") == F.col("nq")) & (F.col("entry") < F.col("query")))
-    unlike = (F.col("nq") > 3) & (F.col("nq") * 4 > F.col("ne"))
+    unlike = (F.col("nq") > FEW) & (F.col("nq") * COMMON > F.col("ne"))
     ranked = (
         near.join(n, "query").join(m, "entry").where(better & ~unlike & ~F.col("query").isin(*GIVEN))
         .groupBy(F.col("query").alias("word"))
@@ -170,33 +190,42 @@ def spellings(counts: DataFrame) -> DataFrame:
     )
     # Equally near to two frequent words it stands for neither; the name around it decides.
     second = F.get("c", F.lit(1))
-    torn = F.coalesce((second["d"] == F.col("c")[0]["d"]) & (second["n"] > 3) & (second["n"] * 4 >= F.col("c")[0]["n"]), F.lit(False))
+    torn = F.coalesce((second["d"] == F.col("c")[0]["d"]) & (second["n"] > FEW) & (second["n"] * COMMON >= F.col("c")[0]["n"]), F.lit(False))
     best = ranked.where(~torn).select("word", F.col("c")[0]["canon"].alias("canon"))
-    to = counts.select("word").join(best, "word", "left").select("word", F.coalesce("canon", "word").alias("canon"))
-    to = keep(to, "spellings")
-    for _ in range(2):  # a misspelling of a misspelling; words come nearer to their end twice as fast each time
+    to = keep(counts.select("word").join(best, "word", "left").select("word", F.coalesce("canon", "word").alias("canon")), "spellings")
+    # A misspelling of a misspelling: each round takes words twice as far, until none moves. Chains end, as each step goes to
+    # a more frequent word, or to one before it in the alphabet.
+    while True:
         again = to.select(F.col("word").alias("canon"), F.col("canon").alias("next"))
-        to = to.join(again, "canon").select("word", F.col("next").alias("canon"))
-    return to
+        further = keep(to.join(again, "canon").select("word", F.col("next").alias("canon"), (F.col("next") != F.col("canon")).alias("moved")), "spellings")
+        release(to)
+        to = further.drop("moved")
+        to._kept_at = further._kept_at
+        if further.where("moved").isEmpty():
+            return to
 
 
 def joined_words(counts: DataFrame) -> DataFrame:
-    """word -> parts, for rare long words that are two or three known words without a space."""
+    """word -> parts, for long words that are two or three known words without a space.
+
+    Of a word that several pages use, each part has to be COMMON times as frequent.
+    """
     known = counts.where("length(word) >= 3").select("word", "n")
     cut = lambda df, c, head, tail: df.select(
         "*", F.explode(F.sequence(F.lit(3), F.length(c) - 3)).alias("i")
     ).select("*", F.expr(f"substring({c}, 1, i)").alias(head), F.expr(f"substring({c}, i + 1)").alias(tail)).drop("i")
-    rare = counts.where("n <= 3 and length(word) >= 10").select("word")
-    first = cut(rare, "word", "a", "rest").join(known.select(F.col("word").alias("a"), F.col("n").alias("na")), "a")
+    long = counts.where("length(word) >= 10").select("word", F.col("n").alias("nw"))
+    fits = lambda some, all_: (some >= FEW) & ((F.col("nw") <= FEW) | (all_ >= COMMON * F.col("nw")))
+    first = cut(long, "word", "a", "rest").join(known.select(F.col("word").alias("a"), F.col("n").alias("na")), "a")
     # At least one part of two, or two of three, are words that several pages use.
-    two = first.join(known.select(F.col("word").alias("rest"), F.col("n").alias("nb")), "rest").where(F.greatest("na", "nb") >= 3).select(
+    two = first.join(known.select(F.col("word").alias("rest"), F.col("n").alias("nb")), "rest").where(fits(F.greatest("na", "nb"), F.least("na", "nb"))).select(
         "word", F.array("a", "rest").alias("parts"), (F.col("na") + F.col("nb")).alias("score")
     )
     three = (
         cut(first.where("length(rest) >= 6"), "rest", "b", "c")
         .join(known.select(F.col("word").alias("b"), F.col("n").alias("nb")), "b")
         .join(known.select(F.col("word").alias("c"), F.col("n").alias("nc")), "c")
-        .where(F.array_sort(F.array("na", "nb", "nc"))[1] >= 3)
+        .where(fits(F.array_sort(F.array("na", "nb", "nc"))[1], F.least("na", "nb", "nc")))
         .select("word", F.array("a", "b", "c").alias("parts"), (F.col("na") + F.col("nb") + F.col("nc")).alias("score"))
     )
     return two.unionByName(three).groupBy("word").agg(F.max_by("parts", F.struct(-F.size("parts"), "score", F.array_join("parts", " "))).alias("parts"))
@@ -214,13 +243,11 @@ def _abbreviates(short: str, full: str) -> bool:
     return all(ch in letters for ch in short)
 
 
+@lru_cache(maxsize=200_000)
 def _misspelt(a: str, b: str) -> bool:
     """One edit apart, from four letters on; two from eleven."""
-    if min(len(a), len(b)) < 4:
-        return False
-    trie = Trie()
-    trie.add(b, True)
-    return any(True for _ in trie.near(a, max(1, bound(min(len(a), len(b))))))
+    short = min(len(a), len(b))
+    return short >= 4 and abs(len(a) - len(b)) <= 2 and within(a, b, max(1, bound(short)))
 
 
 def _within(part: tuple[str, ...], whole: tuple[str, ...]) -> bool:
@@ -253,8 +280,8 @@ def resolve(attributes: list[tuple[str, ...]]) -> dict[tuple[str, ...], tuple[st
 def link_names(pages: DataFrame) -> DataFrame:
     """page, entity: an id for each page, the same for all pages of one person or organisation.
 
-    ``pages``: page, title, aliases; rows without a page drop out. Pages without a name that has an anchor (acronyms, initials alone,
-    null, blank) are entities of their own. Repeated rows and null or blank aliases change nothing.
+    ``pages``: page, title, aliases; rows without a page drop out. Pages without a name that has an anchor (one short word alone, initials,
+    a nickname with an initial, null, blank) are entities of their own. Repeated rows and null or blank aliases change nothing.
     """
     pages = pages.where("page is not null")
     named = pages.select("page", F.explode(F.concat(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).where(
@@ -264,7 +291,7 @@ def link_names(pages: DataFrame) -> DataFrame:
     def split(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             words = [parse(n) for n in batch["name"]]
-            batch["words"] = [[] if is_acronym(w) else w for w in words]
+            batch["words"] = [[] if names_nobody(w) else w for w in words]
             yield batch[batch["words"].map(len) > 0]
 
     page_type = pages.schema["page"].dataType.simpleString()
@@ -284,12 +311,19 @@ def link_names(pages: DataFrame) -> DataFrame:
         "other <> word and length(other) > 1"
     )
     spread = beside.groupBy("word").agg(F.countDistinct("other").alias("spread"))
-    given = F.col("word").isin(*GIVEN, *SHORT_FORMS.values())
+    given, form = F.col("word").isin(*GIVEN), F.col("word").isin(*SHORT_FORMS.values())
+    of = lambda n: F.size(F.filter("words", lambda w: F.length(w) >= n))
+    # Names without a long word of their own: a short surname, else two given names beside each other.
+    kind = (
+        F.when((F.length("word") >= 5) & ~given & ~form, 0)
+        .when((F.length("word") >= 3) & ~given & ~form & ~F.col("word").isin(*MANY) & (F.size("words") > 1), 1)
+        .when((F.length("word") >= 3) & given & (of(3) > 1), 2)
+    )
     anchor = (
-        distinct.select("words", F.explode("words").alias("word")).where((F.length("word") >= 5) & ~given)
+        distinct.select("words", F.explode("words").alias("word")).withColumn("kind", kind).where("kind is not null")
         .join(spread, "word", "left")
         .groupBy("words")
-        .agg(F.min_by("word", F.struct(F.coalesce("spread", F.lit(0)), -F.length("word"), F.col("word"))).alias("anchor"))
+        .agg(F.min_by("word", F.struct("kind", F.coalesce("spread", F.lit(0)), -F.length("word"), F.col("word"))).alias("anchor"))
         .select("words", "anchor", F.array_except("words", F.array("anchor")).alias("attributes"))
     )
     # Initials beside a full word are middle names.
@@ -299,8 +333,8 @@ def link_names(pages: DataFrame) -> DataFrame:
 
     def entities(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
-        for a, rows in streamed(batches, "anchor"):
-            given_sets = [tuple(r.attributes) for r in rows]
+        for a, rows in groups(batches, "anchor"):
+            given_sets = [tuple(x) for x in rows["attributes"]]
             to = resolve(given_sets)
             out += [(a, list(s), " ".join((a, *to[s]))) for s in given_sets]
             if len(out) > 10_000:
@@ -310,13 +344,14 @@ def link_names(pages: DataFrame) -> DataFrame:
 
     resolved = (
         anchor.select("anchor", "attributes").distinct()
-        .repartition("anchor").sortWithinPartitions("anchor")
+        .repartition(tasks(pages.sparkSession), "anchor").sortWithinPartitions("anchor")
         .mapInPandas(entities, "anchor string, attributes array<string>, entity string")
     )
     of_page = (
         sets.join(anchor, "words").join(resolved, ["anchor", "attributes"]).select("page", "entity").distinct()
     )
     of_page = keep(of_page, "entities")
+    release(parsed, counts, spelt, anchor)
     # Pages with several names tie these together.
     first = of_page.groupBy("page").agg(F.min("entity").alias("first"))
     edges = of_page.join(first, "page").where("entity <> first").select(F.col("first").alias("a"), F.col("entity").alias("b")).distinct()

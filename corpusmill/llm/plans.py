@@ -55,8 +55,10 @@ def p1_found(spark, d):
 
 @REGISTRY.query("p1_entities")
 def p1_entities(spark, d):
-    """How many pages each entity has that has several."""
-    return _entities(spark, d).groupBy("entity").agg(F.count("*").alias("n_pages"), F.min("page").alias("first_page")).where("n_pages > 1")
+    """The entity of each page, with how many pages that has and the first of them."""
+    linked = keep(_entities(spark, d), "linked")
+    sizes = linked.groupBy("entity").agg(F.count("*").alias("n_pages"), F.min("page").alias("first_page"))
+    return linked.join(sizes, "entity").select(F.col("page").alias("page_id"), "entity", "n_pages", "first_page")
 
 
 @REGISTRY.query("p4_found")

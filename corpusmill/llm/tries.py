@@ -1,13 +1,51 @@
-"""Tries searched with Levenshtein automata.
+"""Tries searched with Levenshtein automata, and rows of a sorted partition by groups.
 
-A state of the automaton is the row of edit distances between the query and the prefix walked so far,
-with the row before it for transpositions of neighbours (which cost one edit). A branch whose row has no
-entry within the bound can't lead to a neighbour and is left.
+The automaton has a set of positions in the query for each number of edits, as the bits of one integer: position i
+is in the set j if the prefix walked so far is within j edits of the first i letters. A letter moves all positions at
+once. A transposition of neighbours is one edit. Where no set has a position left, the branch has no neighbour.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
+
+State = tuple[int, ...]
+
+
+class Automaton:
+    """All texts within ``bound`` edits of ``query``."""
+
+    __slots__ = ("bound", "end", "full", "masks", "start")
+
+    def __init__(self, query: str, bound: int) -> None:
+        masks: dict[str, int] = {}
+        for i, ch in enumerate(query):
+            masks[ch] = masks.get(ch, 0) | 1 << i
+        self.masks, self.bound = masks, bound
+        self.end, self.full = 1 << len(query), (1 << len(query) + 1) - 1
+        self.start: State = tuple(((1 << j + 1) - 1) & self.full for j in range(bound + 1))
+
+    def move(self, state: State, ch: str, before: State | None, last: str) -> State:
+        """The state after ``ch``; ``before`` and ``last`` are the state and the letter one step ago."""
+        mask = self.masks.get(ch, 0)
+        low = (state[0] & mask) << 1
+        out = [low]
+        swap = mask & self.masks.get(last, 0) >> 1 if before is not None else 0
+        for j in range(1, self.bound + 1):
+            less = state[j - 1]
+            low = (state[j] & mask) << 1 | less | less << 1 | low << 1
+            if swap:
+                low |= (before[j - 1] & swap) << 2
+            low &= self.full
+            out.append(low)
+        return tuple(out)
+
+    def distance(self, state: State) -> int:
+        """The edits of a text that ends in ``state``; above the bound if it isn't accepted."""
+        return next((j for j, s in enumerate(state) if s & self.end), self.bound + 1)
 
 
 class Trie:
@@ -34,25 +72,58 @@ class Trie:
                 return None
         return node
 
+    def below(self) -> Iterator[object]:
+        """The values of all entries that begin with the way to this node."""
+        stack = [self]
+        while stack:
+            node = stack.pop()
+            yield from node.end
+            stack += node.children.values()
+
     def near(self, query: str, bound: int) -> Iterator[tuple[object, int]]:
         """The values of all entries within ``bound`` edits, each with its distance."""
-        first = list(range(len(query) + 1))
-        stack: list[tuple[Trie, list[int], list[int] | None, str, str]] = [(self, first, None, "", "")]
+        yield from self.accepted(Automaton(query, bound))
+
+    def accepted(self, automaton: Automaton) -> Iterator[tuple[object, int]]:
+        move, end, bound = automaton.move, automaton.end, automaton.bound
+        stack: list[tuple[Trie, State, State | None, str]] = [(self, automaton.start, None, "")]
         while stack:
-            node, row, above, last, _ = stack.pop()
-            if node.end and row[-1] <= bound:
+            node, state, before, last = stack.pop()
+            if node.end and state[-1] & end:
+                d = automaton.distance(state)
                 for v in node.end:
-                    yield v, row[-1]
+                    yield v, d
             for ch, child in node.children.items():
-                new = [row[0] + 1]
-                best = new[0]
-                for i, q in enumerate(query, 1):
-                    d = row[i - 1] if q == ch else 1 + min(row[i - 1], row[i], new[i - 1])
-                    if above is not None and i > 1 and q == last and query[i - 2] == ch:
-                        d = min(d, above[i - 2] + 1)
-                    new.append(d)
-                    if d < best:
-                        best = d
-                if best <= bound or (min(row) <= bound - 1):
-                    stack.append((child, new, row, ch, last))
+                new = move(state, ch, before, last)
+                # A transposition may begin with a letter that leads nowhere by itself.
+                if new[-1] or bound and state[-2]:
+                    stack.append((child, new, state, ch))
+
+
+def within(a: str, b: str, bound: int) -> bool:
+    """Whether two texts are at most ``bound`` edits apart."""
+    automaton = Automaton(a, bound)
+    state, before, last = automaton.start, None, ""
+    for ch in b:
+        state, before, last = automaton.move(state, ch, before, last), state, ch
+        if not (state[-1] or bound and before[-2]):
+            return False
+    return bool(state[-1] & automaton.end)
+
 
+def groups(batches: Iterable[pd.DataFrame], key: str) -> Iterator[tuple[str, pd.DataFrame]]:
+    """The rows of each key of a partition sorted by ``key``, across batches."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = batch[key].to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
+        for a, b in zip(cuts, cuts[1:]):
+            part = batch.iloc[a:b]
+            if held and held[0][key].iat[0] != keys[a]:
+                yield held[0][key].iat[0], held[0] if len(held) == 1 else pd.concat(held)
+                held = []
+            held.append(part)
+    if held:
+        yield held[0][key].iat[0], held[0] if len(held) == 1 else pd.concat(held)

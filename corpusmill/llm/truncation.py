@@ -1,6 +1,6 @@
 """Texts cut off by field limits or in transfer (problem 10).
 
-The method: a trie of the corpus vocabulary, in shards by prefix. A text whose last word is unknown and a
+The method: a trie of the corpus vocabulary, in shards by prefix and blocks by hash. A text whose last word is unknown and a
 proper prefix of known words was cut inside a word. Length is the second kind of evidence: a length, in
 characters or bytes, at which the ends of several different texts show a cut, is the limit of a field. What the end of a
 text is (prose, item, table row, signature, closing note) and whether lines that begin like the last one
@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import strip
-from corpusmill.llm.names import streamed
 from corpusmill.llm.scans import code
-from corpusmill.llm.tries import Trie
-from corpusmill.session import keep
+from corpusmill.llm.tries import Trie, groups
+from corpusmill.session import keep, release, tasks
 
-#: Times that a word, an opening, a whole last line or a length has to occur to be known.
+#: Support: times that a word, an opening, a whole last line or a length has to occur before its share decides.
 KNOWN, OPENINGS, CLOSINGS, LIMIT_TEXTS = 3, 4, 2, 5
+#: How much rarer than a word its beginning is that was only ever cut or misspelt; words of one trie.
+RARE, BLOCK_WORDS = 10_000, 4_096
 #: Distinct entries that a task counts before it passes them on; last lines that are sent to every task at once.
 FLUSH, SENT_LINES = 200_000, 100_000
 
@@ -157,36 +158,47 @@ def _scan(docs: DataFrame) -> DataFrame:
 
 
 def cut_words(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """The tokens (column ``token``, distinct) that are unknown and a proper prefix of known words.
+    """The tokens (column ``token``, distinct) that are a proper prefix of known words and unknown beside them.
 
-    ``vocabulary``: token, n. Shards are the words that share their first two letters; in each the known
-    words make one trie, and a token is walked down it.
+    ``vocabulary``: token, n. A word is known that occurs KNOWN times; beside a word it begins, a token is unknown
+    unless it does, too, and is not RARE times rarer. Shards are the words that share their first two
+    letters, in blocks by hash of BLOCK_WORDS words; each block is one trie, and a token is walked down those of its shard.
     """
-    known = vocabulary.where(F.col("n") >= KNOWN).select("token")
+    known = vocabulary.where(F.col("n") >= KNOWN)
     head = lambda c: F.substring(c, 1, 2)
-    side = lambda df, s: df.select(head("token").alias("shard"), F.lit(s).alias("side"), "token")
-    # A token of one letter only needs to know which words begin with it: two letters of each are enough.
-    short = known.where("length(token) > 1").select(F.substring("token", 1, 1).alias("shard"), F.lit(0).alias("side"), head("token").alias("token")).distinct()
-    unknown = tokens.where("token <> ''").join(known, "token", "left_anti")
+    # A token of one letter meets the most frequent word of each two letters that it begins.
+    short = known.where("length(token) > 1").groupBy(head("token").alias("head")).agg(F.max("n").alias("n")).select(F.substring("head", 1, 1).alias("shard"), F.col("head").alias("token"), "n")
+    entries = known.select(head("token").alias("shard"), "token", "n").unionByName(short)
+    blocks = entries.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK_WORDS).cast("int").alias("blocks"))
+    side = lambda df, s, n, block: df.join(blocks, "shard").select("shard", block.alias("block"), F.lit(s).alias("side"), "token", n)
+    asked = tokens.where("token <> ''").select(head("token").alias("shard"), "token")
+    rows = side(entries, 0, F.col("n"), F.pmod(F.xxhash64("token"), "blocks").cast("int")).unionByName(
+        side(asked, 1, F.lit(0).cast("long").alias("n"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    )
 
     def walk(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = []
-        for _, rows in streamed(batches, "shard"):
+        for _, block in groups(batches, "key"):
+            words, sides, counts = (block[c].to_numpy() for c in ("token", "side", "n"))
+            if not (sides == 1).any():
+                continue
             trie = Trie()
-            for r in rows:
-                if r.side == 0:
-                    trie.add(r.token, True)
-                else:
-                    node = trie.find(r.token)
-                    if node is not None and node.children:
-                        out.append(r.token)
-        yield pd.DataFrame({"token": out}, dtype=object)
-
-    return (
-        side(known, 0).unionByName(short).unionByName(side(unknown, 1))
-        .repartition("shard").sortWithinPartitions("shard", "side")
-        .mapInPandas(walk, "token string").distinct()
+            for w, n in zip(words[sides == 0], counts[sides == 0]):
+                trie.add(w, (w, int(n)))
+            out = []
+            for t in words[sides == 1]:
+                node = trie.find(t)
+                most = max((n for w, n in node.below() if w != t), default=0) if node is not None else 0
+                if most:
+                    out.append((t, most))
+            yield pd.DataFrame(out, columns=["token", "most"])
+
+    longer = (
+        rows.select(F.concat_ws("/", "shard", "block").alias("key"), "side", "token", "n")
+        .repartition(tasks(tokens.sparkSession), "key").sortWithinPartitions("key", "side")
+        .mapInPandas(walk, "token string, most long").groupBy("token").agg(F.max("most").alias("most"))
     )
+    own = vocabulary.select("token", "n")
+    return longer.join(own, "token", "left").where((F.coalesce("n", F.lit(0)) < KNOWN) | (F.col("n") * RARE < F.col("most"))).select("token")
 
 
 def going_on(text: str, lines: dict[str, set[int]], known: set[str]) -> set[str]:
@@ -271,22 +283,30 @@ def truncated(docs: DataFrame) -> DataFrame:
     """
     seen = keep(_scan(docs), "endings")
     ends = seen.where("what = 'end'").drop("what", "n", "m")
-    vocabulary = seen.where("what = 'word'").groupBy("token").agg(F.sum("n").alias("n"), F.sum("m").alias("at_end"))
-    openings = seen.where("what = 'opening'").groupBy("opening").agg(F.sum("n").alias("n_open"), F.sum("m").alias("n_done"))
-    closings = closing_notes(docs, ends).withColumn("closing", F.lit(True))
-    doubtful = ends.where("mark <> '' or kind = 'broken character' or (not done and kind not in ('code', 'row', 'link'))")
-    inside = cut_words(doubtful.select("token").distinct(), vocabulary).withColumn("inside", F.lit(True))
-    first = openings.select(F.element_at(F.split("opening", " "), 1).alias("first"), "n_open", "n_done").groupBy("first").agg(
-        F.sum("n_open").alias("n_first"), F.sum("n_done").alias("n_first_done")
+    # Counts by word, by the first two words of a line and by its first word, all in one table.
+    first = lambda c: F.element_at(F.split(c, " "), 1)
+    entry = lambda what, key: F.struct(F.lit(what).alias("what"), key.alias("key"))
+    counted = seen.where("what in ('word', 'opening')").select(
+        F.explode(F.when(F.col("what") == "word", F.array(entry("token", F.col("token")))).otherwise(F.array(entry("opening", F.col("opening")), entry("first", first("opening"))))).alias("e"), "n", "m"
     )
-    joined = (
-        doubtful.withColumn("first", F.element_at(F.split("opening", " "), 1))
-        .join(inside, "token", "left")
-        .join(vocabulary.select("token", F.col("n").alias("n_word"), "at_end"), "token", "left")
-        .join(openings, "opening", "left")
-        .join(first, "first", "left")
-        .join(closings, "line", "left")
+    counts = keep(counted.groupBy("e.what", "e.key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "counts")
+    vocabulary = counts.where("what = 'token'").select(F.col("key").alias("token"), "n")
+    doubtful = keep(
+        ends.where("mark <> '' or kind = 'broken character' or (not done and kind not in ('code', 'row', 'link'))").withColumn("row", F.monotonically_increasing_id()), "doubtful"
     )
+    inside = cut_words(doubtful.select("token").distinct(), vocabulary).select(F.lit("token").alias("what"), F.col("token").alias("key"), F.lit(True).alias("flag"))
+    closings = closing_notes(docs, ends).select(F.lit("line").alias("what"), F.col("line").alias("key"), F.lit(True).alias("flag"))
+    # Only what an ending has is looked up, so that no blank key gathers rows.
+    asked = doubtful.select(
+        "row", F.explode(F.filter(F.array(*[entry(c, F.col(c)) for c in ("token", "opening", "line")], entry("first", first("opening"))), lambda e: e["key"] != "")).alias("e")
+    ).select("row", "e.*")
+    known = asked.join(counts, ["what", "key"], "left").join(inside.unionByName(closings), ["what", "key"], "left")
+    of = lambda what, c, to: F.max(F.when(F.col("what") == what, F.col(c))).alias(to)
+    facts = known.groupBy("row").agg(
+        of("token", "n", "n_word"), of("token", "m", "at_end"), of("token", "flag", "inside"), of("opening", "n", "n_open"), of("opening", "m", "n_done"),
+        of("first", "n", "n_first"), of("first", "m", "n_first_done"), of("line", "flag", "closing"),
+    )
+    joined = doubtful.join(facts, "row", "left")
     inside_word = F.coalesce("inside", F.lit(False))
     often = F.coalesce("n_open", F.lit(0)) >= OPENINGS
     prose_like = (
@@ -315,6 +335,7 @@ def truncated(docs: DataFrame) -> DataFrame:
     limits = [found.select(size, F.lit(True).alias(f"at_{size}")) for size, found in zip(("length", "n_bytes"), field_limits(all_))]
     at_limit = F.coalesce("at_length", F.lit(False)) | F.coalesce("at_n_bytes", F.lit(False))
     found = shown.join(limits[0], "length", "left").join(limits[1], "n_bytes", "left")
+    release(doubtful, counts)
     return found.select("doc_id", "source", F.coalesce("reason", F.when(at_limit & (F.col("mark") == ""), "limit")).alias("reason")).where("reason is not null").distinct()
 
 

@@ -109,6 +109,16 @@ def test_cut_words(spark):
     assert sorted(r["token"] for r in cut_words(asked, known).collect()) == ["fra", "framew", "j"]
 
 
+def test_cut_words_at_any_size(spark, monkeypatch):
+    """A beginning that is RARE times rarer than its word was cut, however often it occurs; blocks of a shard change nothing."""
+    known = spark.createDataFrame([("framework", 900_000), ("framew", 50), ("plan", 500), ("planning", 90_000), ("planet", 3), ("contract", 7), ("contracts", 2)], "token string, n long")
+    asked = spark.createDataFrame([("framew",), ("plan",), ("contr",), ("p",), ("contract",), ("é",)], "token string")
+    want = ["contr", "framew", "p"]
+    assert sorted(r["token"] for r in cut_words(asked, known).collect()) == want
+    monkeypatch.setattr("corpusmill.llm.truncation.BLOCK_WORDS", 1)
+    assert sorted(r["token"] for r in cut_words(asked, known).collect()) == want
+
+
 SENTENCES = ["The quick brown fox jumped over the fence.", "Every morning the baker opened the window.", "A framework contract was signed by the board.", "The window faces the framework of the fence."]
 
 
