@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.canonical import map_pages
 from corpusmill.llm.duplicates import best_representatives
 from corpusmill.llm.names import entity_pairs, link_names
-from corpusmill.llm.packing import pack
+from corpusmill.llm.packing import fill_report, pack
 from corpusmill.llm.scans import clean_scans
 from corpusmill.llm.splitting import split_oversized
 from corpusmill.llm.tokenizer import decode_column, encode_column
@@ -37,12 +37,22 @@ def p8_decoded(spark, d):
 CAPACITY = 4_096
 
 
-@REGISTRY.query("p9_containers")
-def p9_containers(spark, d):
+def _packed(spark, d):
     sizes = keep(encode_column(table(spark, d, "documents"), "doc_id", "text", out="n", count_only=True), "sizes")
     return pack(sizes, "doc_id", "n", CAPACITY)
 
 
+@REGISTRY.query("p9_containers")
+def p9_containers(spark, d):
+    return _packed(spark, d)
+
+
+@REGISTRY.query("p9_fill")
+def p9_fill(spark, d):
+    """How full the containers are."""
+    return fill_report(_packed(spark, d), CAPACITY)
+
+
 def _entities(spark, d):
     pages = table(spark, d, "wiki_page").where("folder = 'entities'")
     return link_names(pages.select(F.col("page_id").alias("page"), "title", "aliases"))
