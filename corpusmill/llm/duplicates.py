@@ -2,9 +2,10 @@
 
 The method: token-level consensus. The values of a field in a group are aligned one after the other to a
 profile of columns of weighted tokens; the heaviest token of each column that has at least half of the
-weight is the consensus, and the value that exists and lies nearest to it represents the group. A profile
-is built in blocks of distinct values, and profiles are aligned to each other in the same way, so that no
-task sees a group whole.
+weight is the consensus, and the value that exists and lies nearest to it represents the group. Only tokens of
+values with half of all weight can become part of it, so all others are left out before values are aligned, and values
+that are equal then are one. Large groups are counted by Spark and aligned in blocks whose profiles are aligned to
+each other in the same way, so that no task sees a group whole.
 
 Records are files of a manifest. Under one root, two are copies of one document if they have the same
 content, or lie in one folder under names that differ only as copies, versions, drafts, formats and
@@ -15,8 +16,8 @@ from __future__ import annotations
 
 import json
 import math
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from itertools import groupby
 
 import pandas as pd
 import regex
@@ -26,11 +27,12 @@ from pyspark.sql import functions as F
 from corpusmill.functions.text import strip
 from corpusmill.llm.canonical import fold
 from corpusmill.llm.graph import components
+from corpusmill.llm.tries import groups
 from corpusmill.operators.changes import current_files
-from corpusmill.session import keep
+from corpusmill.session import keep, release, tasks
 
-#: Distinct values, or profiles, that are aligned in one go; columns that a profile keeps.
-BLOCK_VALUES, MAX_COLUMNS = 256, 256
+#: Distinct values, or profiles, that are aligned in one go.
+BLOCK_VALUES = 256
 #: What stands where no name was given.
 PLACEHOLDERS = ("untitled", "unnamed", "no name", "no title", "none", "null", "nan", "n/a", "na", "unknown", "tbd", "todo", "tba", "xxx", "test", "document", "new document", "unbenannt", "ohne titel", "sans titre", "sin titulo")
 
@@ -65,34 +67,41 @@ def base_name(file: str) -> str:
             return regex.sub(r"[\W_]+", " ", stem).strip() or fold(file)
 
 
-def duplicate_groups(files: DataFrame) -> DataFrame:
-    """path, group of every file that has a duplicate; ``files``: path, hash.
+def with_keys(files: DataFrame) -> DataFrame:
+    """``files`` (path, hash, and any others) with n and c: codes of what files of one name, and of one content, share.
 
-    A blank hash is no content that files could share. Groups are linked over files that share content
-    with one and a name with another. Files without a duplicate give no row.
+    A blank or null hash is no content that files could share.
     """
 
     def names(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            folders, files_ = zip(*(p.rpartition("/")[::2] for p in batch["path"])) if len(batch) else ((), ())
-            batch["name_key"] = [f"{f}/{base_name(n)}" for f, n in zip(folders, files_)]
-            yield batch[["path", "hash", "name_key"]]
+            parts = [p.rpartition("/") for p in batch["path"]]
+            yield batch.assign(n=[f"{folder}/{base_name(name)}" for folder, _, name in parts])
 
     code = lambda *c: F.substring(F.sha2(F.concat_ws("\n", *c), 256), 1, 24)
-    keyed = files.select("path", "hash").mapInPandas(names, "path string, hash string, name_key string").select(
-        "path",
-        code(F.lit("n"), "name_key").alias("n"),
-        F.when(F.col("hash") != "", code(F.lit("c"), F.substring_index("path", "/", 1), "hash")).alias("c"),
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
+    return files.mapInPandas(names, schema + ", n string").withColumn("n", code(F.lit("n"), "n")).withColumn(
+        "c", F.when(F.col("hash") != "", code(F.lit("c"), F.substring_index("path", "/", 1), "hash"))
     )
-    keyed = keep(keyed, "keys")
+
+
+def linked_groups(keyed: DataFrame) -> DataFrame:
+    """path, group of every file that has a duplicate; ``keyed`` is what with_keys gives, written.
+
+    Groups are linked over files that share content with one and a name with another.
+    """
     keys = keyed.select("path", F.explode(F.array_compact(F.array("n", "c"))).alias("key"))
-    shared = keep(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
-    member = keys.join(shared, "key").groupBy("path").agg(F.min("key").alias("a"), F.max("key").alias("b"))
-    member = keep(member, "members")
+    shared = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    member = keep(keys.join(shared, "key").groupBy("path").agg(F.min("key").alias("a"), F.max("key").alias("b")), "members")
     roots = components(member.where("a <> b").select("a", "b"))
     return member.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").select("path", F.coalesce("root", "a").alias("group"))
 
 
+def duplicate_groups(files: DataFrame) -> DataFrame:
+    """path, group of every file that has a duplicate; ``files``: path, hash. Files without a duplicate give no row."""
+    return linked_groups(keep(with_keys(files.select("path", "hash")), "keys"))
+
+
 Profile = list[dict[str, float]]
 
 
@@ -118,12 +127,7 @@ def align(one: Profile, two: Profile) -> Profile:
         else:
             out.append(two[j])
             j += 1
-    out += one[i:] + two[j:]
-    if len(out) > MAX_COLUMNS:
-        # A column of the consensus has half of all weight; what falls away has the least of hundreds.
-        heavy = sorted(range(len(out)), key=lambda k: -sum(out[k].values()))[:MAX_COLUMNS]
-        out = [out[k] for k in sorted(heavy)]
-    return out
+    return out + one[i:] + two[j:]
 
 
 def tokens_of(value: str) -> list[str]:
@@ -145,42 +149,128 @@ def distance(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
+def numbered(tokens: list[str]) -> list[tuple[str, int]]:
+    """Tokens with how many equal ones are before each."""
+    seen: Counter[str] = Counter()
+    out = []
+    for t in tokens:
+        out.append((t, seen[t]))
+        seen[t] += 1
+    return out
+
+
+def reduced(tokens: list[str], often: set[tuple[str, int]]) -> list[str]:
+    return [t for t, k in numbered(tokens) if (t, k) in often]
+
+
+def aligned(values: Iterable[tuple[list[str], float]]) -> Profile:
+    """A profile of weighted lists of tokens, the heaviest first."""
+    profile: Profile = []
+    for tokens, weight in sorted(values, key=lambda x: (-x[1], x[0])):
+        profile = align(profile, [{t: weight} for t in tokens])
+    return profile
+
+
+def agreed(values: list[str], weights: list[float]) -> list[str]:
+    """The consensus of the values of one group."""
+    half = sum(weights) / 2 - 1e-9
+    lists = [tokens_of(v) for v in values]
+    counts: Counter[tuple[str, int]] = Counter()
+    for tokens, w in zip(lists, weights):
+        for t in numbered(tokens):
+            counts[t] += w
+    often = {t for t, w in counts.items() if w >= half}
+    merged: Counter[tuple[str, ...]] = Counter()
+    for tokens, w in zip(lists, weights):
+        merged[tuple(reduced(tokens, often))] += w
+    return consensus(aligned((list(t), w) for t, w in merged.items()), sum(weights))
+
+
 def consensus_values(values: DataFrame) -> DataFrame:
     """group, field, value: for each group and field the existing value nearest to the consensus.
 
     ``values``: group, field, value, weight. Null and blank values have no vote. Ties go to the heavier
     value, then to the first in the alphabet.
     """
+    n_tasks = tasks(values.sparkSession)
     voted = values.where(F.col("value").isNotNull() & (strip(F.col("value")) != "")).groupBy("group", "field", "value").agg(F.sum("weight").alias("weight"))
-    size = voted.groupBy("group", "field").agg(F.count("*").alias("n"), F.sum("weight").alias("total"), F.max_by("value", F.struct("weight")).alias("any"))
+    size = keep(voted.groupBy("group", "field").agg(F.count("*").alias("n"), F.sum("weight").alias("total"), F.max_by("value", F.struct("weight")).alias("any")), "sizes")
     # One value alone is its own consensus.
     alone = size.where("n = 1").select("group", "field", F.col("any").alias("value"))
-    several = keep(voted.join(size.where("n > 1").select("group", "field", "n", "total"), ["group", "field"]), "values")
+    several = lambda where: voted.join(size.where(where).select("group", "field", "n", "total"), ["group", "field"])
+
+    def nearest(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for _, rows in groups(batches, "key"):
+            texts, weights = rows["value"].tolist(), rows["weight"].tolist()
+            middle = agreed(texts, weights)
+            best = min(zip(texts, weights), key=lambda x: (distance(tokens_of(x[0]), middle), -x[1], x[0]))[0]
+            out.append((rows["group"].iat[0], rows["field"].iat[0], best))
+        yield pd.DataFrame(out, columns=["group", "field", "value"])
+
+    schema = "group string, field string, value string"
+    small = (
+        several(f"n > 1 and n <= {BLOCK_VALUES}").select("group", "field", "value", "weight", F.concat_ws("\t", "group", "field").alias("key"))
+        .repartition(n_tasks, "key").sortWithinPartitions("key").mapInPandas(nearest, schema)
+    )
+    found = small.unionByName(alone)
+    most = size.agg(F.max("n")).first()[0] or 0
+    return found.unionByName(_of_large_groups(several(f"n > {BLOCK_VALUES}"), most)) if most > BLOCK_VALUES else found
+
+
+def _of_large_groups(values: DataFrame, most: int) -> DataFrame:
+    """What consensus_values gives for groups of more than one block; ``values``: group, field, value, weight, n, total."""
+    n_tasks = tasks(values.sparkSession)
+    large = keep(values, "values")
+
+    def spread(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(g, f, t, k, w) for g, f, v, w in zip(b["group"], b["field"], b["value"], b["weight"]) for t, k in numbered(tokens_of(v))]
+            yield pd.DataFrame(rows, columns=["group", "field", "token", "k", "weight"])
+
+    counts = large.select("group", "field", "value", "weight").mapInPandas(spread, "group string, field string, token string, k int, weight double")
+    totals = large.select("group", "field", "total").distinct()
+    # Tokens of half the weight are at most twice as many as a value has on average.
+    often = (
+        counts.groupBy("group", "field", "token", "k").agg(F.sum("weight").alias("w")).join(totals, ["group", "field"]).where("2 * w >= total - 1e-9")
+        .groupBy("group", "field").agg(F.collect_list(F.struct("token", "k")).alias("often"))
+    )
+
+    def reduce(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            kept = [json.dumps(reduced(tokens_of(v), {(x["token"], x["k"]) for x in o} if o is not None else set())) for v, o in zip(b["value"], b["often"])]
+            yield b.assign(tokens=kept)[["group", "field", "tokens", "weight", "total"]]
+
+    lists = keep(
+        large.join(often, ["group", "field"], "left").select("group", "field", "value", "weight", "total", "often")
+        .mapInPandas(reduce, "group string, field string, tokens string, weight double, total double")
+        .groupBy("group", "field", "tokens", "total").agg(F.sum("weight").alias("weight")), "reduced",
+    )
     key = F.concat_ws("\t", "group", "field", F.col("block").cast("string"))
     schema = "group string, field string, block long, profile string, total double"
 
-    def merged(batches: Iterable[pd.DataFrame], profile_of: Callable[[tuple], Profile]) -> Iterator[pd.DataFrame]:
-        out = []
-        for _, rows in groupby((r for b in batches for r in b.itertuples(index=False)), key=lambda r: r.key):
-            profile: Profile = []
-            for r in rows:
-                profile = align(profile, profile_of(r))
-            out.append((r.group, r.field, r.block, json.dumps(profile), r.total))
-        yield pd.DataFrame(out, columns=["group", "field", "block", "profile", "total"])
+    def merged(batches: Iterable[pd.DataFrame], of: Callable[[pd.DataFrame], Profile]) -> Iterator[pd.DataFrame]:
+        for _, rows in groups(batches, "key"):
+            yield pd.DataFrame([(*rows.iloc[0][["group", "field", "block"]], json.dumps(of(rows)), rows["total"].iat[0])], columns=["group", "field", "block", "profile", "total"])
 
+    def joined(rows: pd.DataFrame) -> Profile:
+        profile: Profile = []
+        for p in sorted(rows["profile"]):
+            profile = align(profile, json.loads(p))
+        return profile
+
+    n_blocks = max(1, math.ceil(most / BLOCK_VALUES))
     blocks = (
-        several.withColumn("block", F.pmod(F.xxhash64("value"), F.ceil(F.col("n") / BLOCK_VALUES)))
-        .withColumn("key", key).repartition("key").sortWithinPartitions("key", F.desc("weight"), "value")
-        .mapInPandas(lambda batches: merged(batches, lambda r: [{t: float(r.weight)} for t in tokens_of(r.value)]), schema)
+        lists.withColumn("block", F.pmod(F.xxhash64("tokens"), F.lit(n_blocks)))
+        .withColumn("key", key).repartition(n_tasks, "key").sortWithinPartitions("key")
+        .mapInPandas(lambda batches: merged(batches, lambda rows: aligned((json.loads(t), w) for t, w in zip(rows["tokens"], rows["weight"]))), schema)
     )
     # Profiles meet in blocks of as many, until each group has one.
-    most = several.agg(F.max("n")).first()[0] or 0
-    levels = math.ceil(math.log(max(most, 1) / BLOCK_VALUES, BLOCK_VALUES)) if most > BLOCK_VALUES else 0
-    for _ in range(levels):
+    while n_blocks > 1:
+        n_blocks = math.ceil(n_blocks / BLOCK_VALUES)
         blocks = (
             keep(blocks, "profiles").withColumn("block", F.floor(F.col("block") / BLOCK_VALUES))
-            .withColumn("key", key).repartition("key").sortWithinPartitions("key", "profile")
-            .mapInPandas(lambda batches: merged(batches, lambda r: json.loads(r.profile)), schema)
+            .withColumn("key", key).repartition(n_tasks, "key").sortWithinPartitions("key").mapInPandas(lambda batches: merged(batches, joined), schema)
         )
 
     def agree(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,17 +278,16 @@ def consensus_values(values: DataFrame) -> DataFrame:
             b["consensus"] = [consensus(json.loads(p), t) for p, t in zip(b["profile"], b["total"])]
             yield b[["group", "field", "consensus"]]
 
-    agreed = blocks.mapInPandas(agree, "group string, field string, consensus array<string>")
-
     def compare(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b["distance"] = [distance(tokens_of(v), list(c)) for v, c in zip(b["value"], b["consensus"])]
             yield b[["group", "field", "value", "weight", "distance"]]
 
-    near = several.join(agreed, ["group", "field"]).select("group", "field", "value", "weight", "consensus").mapInPandas(
+    middle = blocks.mapInPandas(agree, "group string, field string, consensus array<string>")
+    near = large.join(middle, ["group", "field"]).select("group", "field", "value", "weight", "consensus").mapInPandas(
         compare, "group string, field string, value string, weight double, distance int"
     )
-    return near.groupBy("group", "field").agg(F.min_by("value", F.struct("distance", -F.col("weight"), F.col("value"))).alias("value")).unionByName(alone)
+    return near.groupBy("group", "field").agg(F.min_by("value", F.struct("distance", -F.col("weight"), F.col("value"))).alias("value"))
 
 
 def says_something(name):
@@ -207,55 +296,45 @@ def says_something(name):
     return F.coalesce(s.rlike(r"[\p{L}\p{N}]") & ~s.isin(*PLACEHOLDERS), F.lit(False))
 
 
+FIELDS = ("hash", "relative_path", "display_name")
+#: Marks of a copy in a file's name.
+COPY_MARK = r"(?i)(^|[^\p{L}])(copy|kopie|copie|copia)([^\p{L}]|$)|\(\d{1,3}\)"
+
+
 def best_representatives(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members and records of all groups of duplicates in a manifest feed.
 
-    Members: path, group, keep_path. Records: group, keep_path, hash, relative_path, display_name, n_members,
-    the best value of each field. The member that changed last survives, among those whose last change has
-    a hash, a relative path and a display name that says something; if there are none, among all, the most
-    complete first. Where that leaves a tie, the member whose name is the consensus of its group survives,
-    then the first path. A record takes its fields from the survivor, and those the survivor lacks from the
-    consensus of the group.
+    Members: path, group, keep_path. Records: group, keep_path, hash, relative_path, display_name, n_members.
+
+    A record is voted for field by field: each member has a vote of weight (1 + its fields that say something) times
+    (1 + how late it changed, from 0 for the first of the group to 1 for the last), half of that if its name is that of a copy; the
+    value nearest to the consensus stands in the record, '' for a hash that no member has, null for other fields.
+    The member that changed last survives, among those whose last change has a hash, a relative path and a display
+    name that says something; if there are none, among all, the most complete first. Where that leaves a tie, the member whose
+    fields are those of the record survives, then the first path.
     """
-    files = keep(
-        current_files(events, ("relative_path", "display_name")).select("path", "hash", "at", "row.relative_path", "row.display_name"), "files"
-    )
-    groups = keep(duplicate_groups(files), "groups")
-    full = groups.join(files, "path")
+    state = current_files(events, ("relative_path", "display_name")).select("path", "hash", "at", "row.relative_path", "row.display_name")
+    files = keep(with_keys(state), "files")
     has = lambda c: F.coalesce(strip(F.col(c)) != "", F.lit(False))
     facts = keep(
-        full.select(
+        linked_groups(files).join(files, "path").select(
             "path", "group", "at", F.when(has("hash"), F.col("hash")).alias("hash"), F.when(has("relative_path"), F.col("relative_path")).alias("relative_path"),
             F.when(says_something(F.col("display_name")), F.col("display_name")).alias("display_name"),
         ), "facts",
     )
-    fields = ("relative_path", "display_name")
-    votes = facts.select("group", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])).alias("v")).select(
-        "group", "v.field", "v.value", F.lit(1.0).alias("weight")
-    )
-    agreed = consensus_values(votes)
-    wide = agreed.groupBy("group").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"best_{f}") for f in fields])
-    # A hash is one token: the one that most members have is the consensus, of several the one that changed last.
-    at = F.coalesce("at", F.lit(-(1 << 62)))
-    hashes = facts.where("hash is not null").groupBy("group", "hash").agg(F.count("*").alias("n"), F.max(at).alias("at")).groupBy("group").agg(
-        F.max_by("hash", F.struct("n", "at", "hash")).alias("best_hash")
-    )
-    wide = keep(wide.join(hashes, "group", "full"), "consensus")
-    filled = sum((F.col(c).isNotNull().cast("int") for c in ("hash", *fields)), F.lit(0))
-    score = F.struct(
-        filled.alias("filled"),
-        at.alias("at"),
-        F.coalesce(F.col("display_name") == F.col("best_display_name"), F.lit(False)).alias("agrees"),
-    )
-    ranked = facts.join(wide, "group", "left").withColumn("score", score)
-    top = ranked.groupBy("group").agg(F.max("score").alias("top"), F.count("*").alias("n_members"))
-    survivor = ranked.join(top, "group").where("score = top").groupBy("group").agg(
-        F.min_by(F.struct("path", *[c for f in ("hash", *fields) for c in (f, f"best_{f}")], "n_members"), "path").alias("s")
-    )
-    records = keep(
-        survivor.select(
-            "group", F.col("s.path").alias("keep_path"), F.coalesce("s.hash", "s.best_hash", F.lit("")).alias("hash"),
-            *[F.coalesce(f"s.{f}", f"s.best_{f}").alias(f) for f in fields], "s.n_members",
-        ), "records",
+    release(files)
+    span = facts.groupBy("group").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    filled = sum((F.col(c).isNotNull().cast("int") for c in FIELDS), F.lit(0))
+    late = F.coalesce((F.col("at") - F.col("first")) / F.nullif(F.col("last") - F.col("first"), F.lit(0)), F.lit(0.0))
+    weight = (1 + filled) * (1 + late) * F.when(F.substring_index("path", "/", -1).rlike(COPY_MARK), 0.5).otherwise(1.0)
+    votes = facts.join(span, "group").select("group", weight.alias("weight"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in FIELDS])).alias("v"))
+    best = consensus_values(votes.select("group", "v.field", "v.value", F.round("weight", 6).alias("weight")))
+    wide = best.groupBy("group").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"best_{f}") for f in FIELDS])
+    agrees = sum((F.coalesce(F.col(f) == F.col(f"best_{f}"), F.lit(False)).cast("int") for f in FIELDS), F.lit(0))
+    order = F.struct(-filled, -F.coalesce("at", F.lit(-(1 << 62))), -agrees, F.col("path"))
+    records = (
+        facts.join(wide, "group", "left").groupBy("group")
+        .agg(F.min_by("path", order).alias("keep_path"), F.count("*").alias("n_members"), *[F.max(f"best_{f}").alias(f) for f in FIELDS])
+        .withColumn("hash", F.coalesce("hash", F.lit("")))
     )
-    return groups.join(records.select("group", "keep_path"), "group").select("path", "group", "keep_path"), records
+    return facts.join(records.select("group", "keep_path"), "group").select("path", "group", "keep_path"), records

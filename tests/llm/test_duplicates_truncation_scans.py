@@ -1,6 +1,6 @@
 import pytest
 
-from corpusmill.llm.duplicates import align, base_name, best_representatives, consensus, consensus_values, duplicate_groups
+from corpusmill.llm.duplicates import agreed, align, base_name, best_representatives, consensus, consensus_values, duplicate_groups
 from corpusmill.llm.scans import clean_scans, divisions, misread_words, readings, skeleton
 from corpusmill.llm.truncation import cut_words, ending, field_limits, truncated, truncation_report
 
@@ -58,11 +58,36 @@ def test_consensus_over_levels(spark, monkeypatch):
     assert [(r["group"], r["value"]) for r in got] == [("g", "plan of works")]
 
 
-def test_profiles_stay_small():
-    p = []
-    for i in range(400):
-        p = align(p, [{f"a{i}": 1.0}, {"same": 1.0}, {f"b{i}": 1.0}])
-    assert len(p) <= 256 and consensus(p, 400.0) == ["same"]
+def test_consensus_in_blocks_is_that_of_the_whole(spark, monkeypatch):
+    """A winning token that is light in some blocks isn't lost, and groups of either size give the same."""
+    rows = [("g", "f", f"{'x y z'[2 * (i % 3)]}{i} {'plan' if i % 5 else f'p{i}'} of {i} works", 1.0 + i % 2) for i in range(90)] + [("g", "f", "plan of works", 0.5)]
+    rows += [("h", "f", " ".join(f"w{i}" for i in range(600)) + f" {k}", 1.0) for k in range(12)]  # values of many tokens stay whole
+    df = spark.createDataFrame(rows, "group string, field string, value string, weight double")
+    want = sorted(map(tuple, consensus_values(df).collect()))
+    assert ("g", "f", "plan of works") in want
+    monkeypatch.setattr("corpusmill.llm.duplicates.BLOCK_VALUES", 4)
+    assert sorted(map(tuple, consensus_values(df).collect())) == want
+
+
+def test_only_tokens_of_half_the_weight_agree():
+    assert agreed(["a b c", "a c", "x b c", "a b c d"], [1.0] * 4) == ["a", "b", "c"]
+    assert agreed(["a a b", "a a c", "a d"], [1.0, 1.0, 1.0]) == ["a", "a"]
+    assert agreed(["old name", "new name"], [1.0, 3.0]) == ["new", "name"] and agreed(["p", "q", "r"], [1.0] * 3) == []
+
+
+def test_votes_have_weights(spark):
+    """Recency, completeness and trust each turn a vote that heads alone would decide otherwise."""
+
+    def e(i, path, h, day, rel="r", name="Plan"):
+        return (i, path, "ingested", h, None, f"2024-01-{day:02d}T00:00:00Z", rel, name, 0, "z")
+
+    rows = [e(1, "R/a/Plan.pdf", "1", 1, name="Alpha"), e(2, "R/a/Plan v2.pdf", "2", 9, name="Beta")]  # the later one
+    rows += [e(3, "R/b/Deck.pdf", "3", 2, name="Gamma"), e(4, "R/b/Deck v2.pdf", None, 2, rel=None, name="Delta"), e(5, "R/b/Deck v3.pdf", None, 2, rel=None, name=None)]  # the complete one
+    rows += [e(6, "R/c/Memo.pdf", "6", 2, name="Zeta"), e(7, "R/c/Memo - Copy.pdf", "7", 2, name="Eta")]  # the original
+    rows += [e(8, "R/d/Note.pdf", "8", 1, name="Old"), e(9, "R/d/Note v2.pdf", "9", 2, name="Old"), e(10, "R/d/Note v3.pdf", "10", 3, name="New")]  # the survivor is outvoted
+    _, records = best_representatives(spark.createDataFrame(rows, EVENT))
+    got = {r["keep_path"]: (r["display_name"], r["hash"]) for r in records.collect()}
+    assert got == {"R/a/Plan v2.pdf": ("Beta", "2"), "R/b/Deck.pdf": ("Gamma", "3"), "R/c/Memo.pdf": ("Zeta", "6"), "R/d/Note v3.pdf": ("Old", "10")}
 
 
 def test_survivors(spark):
