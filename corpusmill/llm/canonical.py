@@ -1,30 +1,33 @@
 """Mapping freely entered values to a canonical list (problem 6).
 
 The method: a trie of the reference entries and of the aliases in their descriptions, searched with a
-Levenshtein automaton; all entries within a distance that depends on the length of the entry come back,
-and the nearest decides.
+Levenshtein automaton. Every way in which a value may name an entry is a walk down that trie: as it stands, by its words
+in any order (each word continues where another ended), by abbreviated words that go on to the end of the entry's word, and by the
+beginning of an entry of one word. All entries within a distance that depends on their length come back, and the
+first kind of walk that leads to one entry alone decides.
 
-The reference list is bounded by its nature (a controlled vocabulary), and its size is checked before it
-is sent to the tasks. Values are mapped once for each distinct spelling, so that a spelling which a third
-of all rows share costs one search.
+Values are mapped once for each distinct spelling, so that a spelling which a third of all rows share costs one search.
+A controlled vocabulary is sent to the tasks; a longer list is cut into parts that all values meet.
 """
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterable, Iterator
-from itertools import permutations
+from typing import NamedTuple
 
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.tries import Trie
 from corpusmill.functions.text import strip
+from corpusmill.llm.tries import Automaton, Trie, groups
+from corpusmill.session import tasks
 
-#: Entries of a reference list that may be sent to every task.
-MAX_REFERENCE = 200_000
+#: Entries of a reference list that are sent to every task; longer lists are cut into parts of as many.
+SENT_ENTRIES = 200_000
 
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans("аеорсухіјѕԁһԛԝвкмнтгпАЕОРСУХІЈЅВКМНТαοερικντυχ", "aeopcyxijsdhqwbkmhtrnAEOPCYXIJSBKMHTaoepikvtux")
@@ -48,9 +51,15 @@ def _plain(words: Iterable[str]) -> str:
     return "".join(w.rstrip(".").replace("&", "") for w in words)
 
 
-def _bag(words: Iterable[str]) -> tuple[str, ...]:
-    """The words of a phrase in no order, without those that only link them."""
-    return tuple(sorted(w.rstrip(".") for w in words if w.rstrip(".") not in LINKS))
+class Entry(NamedTuple):
+    value: str
+    length: int
+    alias: bool
+    words: tuple[str, ...]
+
+
+#: Kinds of walks, the first that leads to one entry alone decides.
+LITERAL, TURNED, SHORTENED, BEGUN, NEAR = range(5)
 
 
 class Reference:
@@ -58,32 +67,55 @@ class Reference:
 
     def __init__(self, entries: list[tuple[str, list[str]]]) -> None:
         self.trie = Trie()
-        self.exact: dict[str, set[str]] = {}
-        self.alias: dict[str, set[str]] = {}
-        self.words: list[tuple[str, list[str]]] = []
-        self.bags: dict[tuple[str, ...], set[str]] = {}
-        self.single: list[tuple[str, str]] = []
+        self.cuts: set[int] = set()  # nodes at which a word of an entry ends
+        self.room: dict[int, tuple[int, int]] = {}  # the fewest and the most letters that go on from a node to an end
         for value, aliases in entries:
-            for text, to in [(value, self.exact), *((a, self.alias) for a in aliases)]:
-                words = _words(text)
-                plain = _plain(words)
-                if not plain:
-                    continue
-                to.setdefault(plain, set()).add(value)
-                self.trie.add(plain, (value, len(plain), to is self.alias))
-                self.words.append((value, [w.rstrip(".") for w in words]))
-                self.bags.setdefault(_bag(words), set()).add(value)
-                if len(words) == 1 and to is self.exact:
-                    self.single.append((plain, value))
-
-    def _turned(self, words: list[str]) -> Iterator[str]:
-        bare = [w for w in words if w not in LINKS] or words
-        if len(bare) <= 4:
-            for p in permutations(bare):
-                yield _plain(p)
-        else:
-            for i in range(len(bare)):
-                yield _plain(bare[i:] + bare[:i])
+            for text, alias in [(value, False), *((a, True) for a in aliases)]:
+                words = [w.rstrip(".") for w in _words(text)]
+                for form in dict.fromkeys([tuple(words), tuple(w for w in words if w not in LINKS)]):
+                    if plain := _plain(form):
+                        self.trie.add(plain, Entry(value, len(plain), alias, form))
+                        for i in range(1, len(form) + 1):
+                            self.cuts.add(id(self.trie.find(_plain(form[:i]))))
+        self._measure()
+
+    def _measure(self) -> None:
+        order, stack = [], [self.trie]
+        while stack:
+            node = stack.pop()
+            order.append(node)
+            stack += node.children.values()
+        for node in reversed(order):
+            below = [self.room[id(c)] for c in node.children.values()] + [(-1, -1)] * bool(node.end)
+            self.room[id(node)] = (1 + min(a for a, _ in below), 1 + max(b for _, b in below)) if below else (0, 0)
+
+    def _orders(self, words: list[str], budget: int) -> dict[Entry, int]:
+        """Entries that the words give in any order, each with the edits within words; the trie tells which word may be next."""
+        best: dict[Entry, int] = {}
+        seen: set[tuple] = set()
+        automata: dict[tuple[str, int], Automaton] = {}
+        stack = [(self.trie, tuple(sorted(words)), 0)]
+        while stack:
+            node, left, used = stack.pop()
+            state = (id(node), left, used)
+            if state in seen:
+                continue
+            seen.add(state)
+            if not left:
+                for e in node.end:
+                    if used <= self.bound(e.length) and used < best.get(e, 99):
+                        best[e] = used
+                continue
+            letters = sum(map(len, left))
+            for w in dict.fromkeys(left):
+                k = min(budget - used, 0 if len(w) < 3 else 1 if len(w) < 5 else 2)
+                automaton = automata.get((w, k)) or automata.setdefault((w, k), Automaton(w, k))
+                i = left.index(w)
+                for to, d in node.reached(automaton):
+                    low, high = self.room[id(to)]
+                    if low - (budget - used - d) <= letters - len(w) <= high + (budget - used - d):
+                        stack.append((to, left[:i] + left[i + 1 :], used + d))
+        return best
 
     def _abbreviated(self, words: list[str]) -> set[str]:
         """Entries whose words begin with the given ones, where these end in a full stop."""
@@ -91,53 +123,78 @@ class Reference:
         dots = [w.endswith(".") and len(w) > 3 for w in words]
         if not any(dots):
             return set()
-        return {
-            value
-            for value, full in self.words
-            if len(full) == len(words) and all((f.startswith(s) and f != s) if dot else f == s for f, s, dot in zip(full, short, dots))
-        }
+        nodes = [self.trie]
+        for w, dot in zip(short, dots):
+            reached = [n for n in (node.find(w) for node in nodes) if n is not None]
+            nodes = [m for n in reached for m in (self._ends_of_word(n) if dot else [n])]
+        fits = lambda e: len(e.words) == len(short) and all((f.startswith(s) and f != s) if dot else f == s for f, s, dot in zip(e.words, short, dots))
+        return {e.value for n in nodes for e in n.end if fits(e)}
+
+    def _ends_of_word(self, node: Trie) -> list[Trie]:
+        out, stack = [], list(node.children.values())
+        while stack:
+            at = stack.pop()
+            if id(at) in self.cuts:
+                out.append(at)
+            stack += at.children.values()
+        return out
 
     def _begun(self, plain: str) -> set[str]:
         """Entries of one word that begin with the given letters, six at least."""
-        return {value for full, value in self.single if full.startswith(plain)} if len(plain) >= 6 else set()
+        node = self.trie.find(plain) if len(plain) >= 6 else None
+        return {e.value for e in node.below() if len(e.words) == 1 and not e.alias} if node is not None else set()
+
+    @staticmethod
+    def bound(length: int) -> int:
+        """Edits by the length of the entry: none below 5 letters, 1 below 9, else 2."""
+        return 0 if length < 5 else 1 if length < 9 else 2
+
+    def _near(self, words: list[str], bare: list[str]) -> dict[str, tuple[int, bool]]:
+        best: dict[str, tuple[int, bool]] = {}
+        query = _plain(words)
+        found = [*self.trie.near(query, self.bound(len(query) + 2)), *(self._orders(bare, 2).items() if len(bare) > 1 else ())]
+        for e, d in found:
+            if d <= self.bound(e.length) and (d, e.alias) < best.get(e.value, (99, True)):
+                best[e.value] = (d, e.alias)
+        return best
 
     def all_near(self, text: str) -> list[tuple[str, tuple[int, bool]]]:
         """Every entry within the distance for its length, in any order of words, nearest first.
 
         Each comes with its distance and whether it was an alias that was near.
         """
-        best: dict[str, tuple[int, bool]] = {}
-        words = _words(text)
-        for query in dict.fromkeys([_plain(words), *self._turned(words)]):
-            if not query:
-                continue
-            for (value, length, alias), distance in self.trie.near(query, self.bound(len(query) + 2)):  # of the longest entry in reach
-                if distance <= self.bound(length) and (distance, alias) < best.get(value, (99, True)):
-                    best[value] = (distance, alias)
-        return sorted(best.items(), key=lambda x: (x[1], x[0]))
+        words, bare = self._bare(text)
+        return sorted(self._near(words, bare).items(), key=lambda x: (x[1], x[0])) if words else []
 
     @staticmethod
-    def bound(length: int) -> int:
-        """Edits by the length of the entry: none below 5 letters, 1 below 9, else 2."""
-        return 0 if length < 5 else 1 if length < 9 else 2
+    def _bare(text: str) -> tuple[list[str], list[str]]:
+        """The words of a value, and those that don't only link others, without full stops."""
+        words = _words(text)
+        plain = [w.rstrip(".") for w in words]
+        return words, [w for w in plain if w not in LINKS] or plain
 
-    def best(self, raw: str, field: str) -> str:
-        """The one entry that ``raw`` stands for, or ''."""
-        for text in _readings(raw, field):
-            words = _words(text)
+    def walks(self, raw: str, field: str) -> Iterator[tuple[int, int, bool, set[str]]]:
+        """What each kind of walk leads to, in the order in which they decide: number, distance, alias, entries."""
+        for i, text in enumerate(_readings(raw, field)):
+            words, bare = self._bare(text)
             if not words:
                 continue
-            for query in dict.fromkeys([_plain(words), *self._turned(words)]):
-                for names in (self.exact, self.alias):
-                    if len(found := names.get(query, ())) == 1:
-                        return next(iter(found))
-            for found in (self.bags.get(_bag(words), ()), self._abbreviated(words), self._begun(_plain(words))):
-                if len(found) == 1:
-                    return next(iter(found))
-            near = self.all_near(text)
-            if near and (len(near) == 1 or near[0][1] < near[1][1]):
-                return near[0][0]
-        return ""
+            node = self.trie.find(_plain(words))
+            ends = node.end if node is not None else []
+            turned = self._orders(bare, 0)
+            for kind, found in ((LITERAL, ends), (TURNED, turned)):
+                for alias in (False, True):
+                    yield 10 * i + 2 * kind + alias, 0, alias, {e.value for e in found if e.alias == alias}
+            yield 10 * i + 2 * SHORTENED, 0, False, self._abbreviated(words)
+            yield 10 * i + 2 * BEGUN, 0, False, self._begun(_plain(words))
+            near = self._near(words, bare)
+            if near:
+                first = min(near.values())
+                yield 10 * i + 2 * NEAR, *first, {v for v, k in near.items() if k == first}
+
+    def best(self, raw: str, field: str) -> str:
+        """The one entry that ``raw`` stands for, or ''."""
+        return next((next(iter(found)) for *_, found in self.walks(raw, field) if len(found) == 1), "")
 
 
 def _readings(raw: str, field: str) -> list[str]:
@@ -169,29 +226,64 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     distance is no match. A field without entries maps everything to ''.
     """
     entries = reference.select("field", "value", "description").where("field is not null and value is not null").distinct()
-    n = entries.limit(MAX_REFERENCE + 1).count()
-    if n > MAX_REFERENCE:
-        raise ValueError(f"a reference list of over {MAX_REFERENCE} entries is no controlled vocabulary")
-    rows = entries.orderBy("field", "value").collect()
-    by_field: dict[str, list[tuple[str, list[str]]]] = {}
-    for r in rows:
-        by_field.setdefault(r["field"], []).append((r["value"], split_aliases(r["description"])))
-    sent = values.sparkSession.sparkContext.broadcast(by_field)
     distinct = (
         values.where(F.col("raw_value").isNotNull() & (strip(F.col("raw_value")) != ""))
         .select("field", "raw_value")
         .distinct()
-        .join(F.broadcast(entries.select("field", F.col("value").alias("raw_value")).distinct()), ["field", "raw_value"], "left_anti")
+        .join(entries.select("field", F.col("value").alias("raw_value")).distinct(), ["field", "raw_value"], "left_anti")
     )
+    n = entries.limit(SENT_ENTRIES + 1).count()
+    return _by_list(distinct, entries) if n <= SENT_ENTRIES else _by_parts(distinct, entries, math.ceil(entries.count() / SENT_ENTRIES))
+
+
+def _references(rows: Iterable[tuple[str, str, str | None]]) -> dict[str, Reference]:
+    by_field: dict[str, list[tuple[str, list[str]]]] = {}
+    for field, value, description in sorted(rows, key=lambda r: (r[0], r[1], r[2] or "")):
+        by_field.setdefault(field, []).append((value, split_aliases(description)))
+    return {f: Reference(e) for f, e in by_field.items()}
+
+
+def _by_list(distinct: DataFrame, entries: DataFrame) -> DataFrame:
+    """Every task has the whole list, of at most SENT_ENTRIES."""
+    spark = distinct.sparkSession
+    sent = spark.sparkContext.broadcast([tuple(r) for r in entries.collect()])
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        references = {f: Reference(e) for f, e in sent.value.items()}
-        none = Reference([])
+        references, none = _references(sent.value), Reference([])
         for batch in batches:
             batch["canonical"] = [references.get(f, none).best(v, f) for f, v in zip(batch["field"], batch["raw_value"])]
             yield batch
 
-    return distinct.mapInPandas(run, "field string, raw_value string, canonical string")
+    return distinct.repartition(tasks(spark), "raw_value").mapInPandas(run, "field string, raw_value string, canonical string")
+
+
+def _by_parts(distinct: DataFrame, entries: DataFrame, n_parts: int) -> DataFrame:
+    """Each block of values meets each part of the list, and what the walks lead to in all parts decides."""
+    n_blocks = tasks(distinct.sparkSession)
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    listed = entries.select("field", "value", "description", own("value", n_parts).alias("part"), every(n_blocks).alias("block")).withColumn("side", F.lit(0))
+    asked = distinct.select("field", F.col("raw_value").alias("value"), F.lit(None).cast("string").alias("description"), every(n_parts).alias("part"), own("raw_value", n_blocks).alias("block"))
+    rows = listed.unionByName(asked.withColumn("side", F.lit(1))).withColumn("key", F.concat_ws("/", "part", "block"))
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, block in groups(batches, "key"):
+            here = block[block["side"] == 0]
+            references = _references(zip(here["field"], here["value"], here["description"]))
+            out = []
+            for f, v in block.loc[block["side"] == 1, ["field", "value"]].itertuples(index=False):
+                if f in references:
+                    out += [(f, v, walk, d, alias, e) for walk, d, alias, found in references[f].walks(v, f) for e in found]
+            yield pd.DataFrame(out, columns=["field", "raw_value", "walk", "distance", "alias", "entry"])
+
+    led = (
+        rows.select("key", "side", "field", "value", "description").repartition(n_blocks * n_parts, "key").sortWithinPartitions("key", "side")
+        .mapInPandas(run, "field string, raw_value string, walk int, distance int, alias boolean, entry string")
+        .groupBy("field", "raw_value", "walk", "distance", "alias").agg(F.countDistinct("entry").alias("n"), F.min("entry").alias("entry"))
+        .groupBy("field", "raw_value", "walk").agg(F.min_by(F.struct("n", "entry"), F.struct("distance", "alias")).alias("near"))
+        .where("near.n = 1").groupBy("field", "raw_value").agg(F.min_by("near.entry", "walk").alias("canonical"))
+    )
+    return distinct.join(led, ["field", "raw_value"], "left").select("field", "raw_value", F.coalesce("canonical", F.lit("")).alias("canonical"))
 
 
 def page_values(pages: DataFrame) -> DataFrame:

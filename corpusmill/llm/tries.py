@@ -80,25 +80,28 @@ class Trie:
             yield from node.end
             stack += node.children.values()
 
-    def near(self, query: str, bound: int) -> Iterator[tuple[object, int]]:
-        """The values of all entries within ``bound`` edits, each with its distance."""
-        yield from self.accepted(Automaton(query, bound))
-
-    def accepted(self, automaton: Automaton) -> Iterator[tuple[object, int]]:
+    def reached(self, automaton: Automaton) -> Iterator[tuple[Trie, int]]:
+        """All nodes whose way is within the bound of the query, each with the distance."""
         move, end, bound = automaton.move, automaton.end, automaton.bound
         stack: list[tuple[Trie, State, State | None, str]] = [(self, automaton.start, None, "")]
         while stack:
             node, state, before, last = stack.pop()
-            if node.end and state[-1] & end:
-                d = automaton.distance(state)
-                for v in node.end:
-                    yield v, d
+            if state[-1] & end:
+                yield node, automaton.distance(state)
             for ch, child in node.children.items():
                 new = move(state, ch, before, last)
-                # A transposition may begin with a letter that leads nowhere by itself.
                 if new[-1] or bound and state[-2]:
                     stack.append((child, new, state, ch))
 
+    def near(self, query: str, bound: int) -> Iterator[tuple[object, int]]:
+        """The values of all entries within ``bound`` edits, each with its distance."""
+        yield from self.accepted(Automaton(query, bound))
+
+    def accepted(self, automaton: Automaton) -> Iterator[tuple[object, int]]:
+        for node, d in self.reached(automaton):
+            for v in node.end:
+                yield v, d
+
 
 def within(a: str, b: str, bound: int) -> bool:
     """Whether two texts are at most ``bound`` edits apart."""

@@ -173,6 +173,25 @@ def test_values():
     assert ref.all_near("operaions") == [("operations", (1, False))]
 
 
+def test_any_order_of_any_number_of_words():
+    ref = Reference([("supply-chain-risk", ["global supply chain risk management"]), ("proof", ["proof of value"]), ("law", ["act of parliament"])])
+    for raw in ("chain supply rsk management global", "supply global chain rsk management", "management risk chain supply global", "riskk managment global chain supply"):
+        assert ref.best(raw, "tag") == "supply-chain-risk"
+    assert ref.best("value proof", "tag") == "proof" and ref.best("parliament act", "tag") == "law" and ref.best("parl. act", "tag") == ""
+    assert ref.best("act of parl.", "tag") == "law"
+    assert ref.best(" ".join(f"w{i}" for i in range(40)), "tag") == ""
+
+
+def test_lists_of_any_length(spark, monkeypatch):
+    """A list too long to be sent gives what a short one gives."""
+    vocab = spark.createDataFrame([*VOCAB, ("tag", "sale", None)], "field string, value string, description string")
+    raws = ["Cold Chain", "chain, cold", "salws", "purhaing", "opera.", "operat", "Probe", "opera", "x", "sales", "probes", "SALE", "sals", "contract (main)"]
+    df = spark.createDataFrame([(f, r) for r in raws for f in ("tag", "domain", "nofield")], "field string, raw_value string")
+    want = sorted(map(tuple, map_values(df, vocab).collect()))
+    monkeypatch.setattr("corpusmill.llm.canonical.SENT_ENTRIES", 2)
+    assert sorted(map(tuple, map_values(df, vocab).collect())) == want and len({c for *_, c in want}) > 5
+
+
 def test_map(spark):
     vocab = spark.createDataFrame(VOCAB, "field string, value string, description string")
     rows = [("tag", "Sales"), ("tag", "sales"), ("tag", None), ("tag", " "), ("tag", " sales"), ("nofield", "sales"), ("domain", "contract"), ("tag", "Sales")]
