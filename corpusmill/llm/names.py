@@ -23,8 +23,8 @@ from corpusmill.llm.graph import components
 from corpusmill.llm.tries import Automaton, Trie, groups, within
 from corpusmill.session import keep, release, tasks
 
-#: Letters from which two edits are allowed; entries and queries of a block of a shard; automata that a task keeps.
-LONG, BLOCK_WORDS, KEPT_AUTOMATA = 11, 1_024, 50_000
+#: Letters from which two edits are allowed; entries and queries of a block of a shard.
+LONG, BLOCK_WORDS = 11, 1_024
 #: Pages up to which a word may be a slip of anything; how much rarer than a word its misspelling is.
 FEW, COMMON = 3, 4
 
@@ -90,19 +90,19 @@ def _tagged(tag: str, keys: Column) -> Column:
     return F.transform(keys, lambda k: F.concat(F.lit(tag), k))
 
 
-def entry_shards(word: Column) -> Column:
-    """The shards of a word: those of the whole, where 1 edit is allowed, or of its halves, as of 2 edits one half has 1 at most.
+def whole_shards(word: Column) -> Column:
+    """The shards of a word for 1 edit: texts that are 1 edit apart give the same text when each loses the right letter, or as they are."""
+    return F.array_distinct(_tagged("=", _shortened(word)))
 
-    Texts that are 1 edit apart give the same text when each loses the right letter, or as they are.
-    """
+
+def entry_shards(word: Column) -> Column:
+    """The shards of an entry for 2 edits: those of its halves, as one of them has 1 edit at most."""
     n, half = F.length(word), F.floor(F.length(word) / 2).cast("int")
-    left, right = word.substr(F.lit(1), half), word.substr(half + 1, n)
-    halves = F.concat(_tagged("<", _shortened(left)), _tagged(">", _shortened(right)))
-    return F.array_distinct(F.when(n < LONG, _tagged("=", _shortened(word))).otherwise(halves))
+    return F.array_distinct(F.concat(_tagged("<", _shortened(word.substr(F.lit(1), half))), _tagged(">", _shortened(word.substr(half + 1, n)))))
 
 
 def query_shards(word: Column) -> Column:
-    """The shards in which an entry within the bound has to lie: those of the parts that may be a half of an entry of two letters more or less."""
+    """The shards in which an entry within 2 edits has to lie: those of the parts that may be a half of an entry of two letters more or less."""
     n = F.length(word)
 
     def halves(length: Column) -> Column:
@@ -110,65 +110,93 @@ def query_shards(word: Column) -> Column:
         right = length - left
         head = lambda k: word.substr(F.lit(1), k)
         tail = lambda k: word.substr(n - k + 1, k)
-        both = [F.concat(_tagged(tag, F.concat(F.array(part(k - 1)), _shortened(part(k)), _shortened(part(k + 1))))) for tag, part, k in (("<", head, left), (">", tail, right))]
+        both = [_tagged(tag, F.concat(F.array(part(k - 1)), _shortened(part(k)), _shortened(part(k + 1)))) for tag, part, k in (("<", head, left), (">", tail, right))]
         return F.concat(*both)
 
     lengths = F.filter(F.sequence(n - 2, n + 2), lambda k: k >= LONG)
-    of_halves = F.flatten(F.transform(lengths, halves))
-    of_whole = F.when(n <= LONG, _tagged("=", _shortened(word))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(of_whole, of_halves))
+    return F.array_distinct(F.flatten(F.transform(lengths, halves)))
 
 
-def trie_join(words: DataFrame) -> DataFrame:
-    """Pairs of distinct words within the bound for the length of ``entry``: query, entry, distance.
+def trie_join(entries: DataFrame, queries: DataFrame, edits: int) -> DataFrame:
+    """Pairs of different words, at most ``edits`` (1 or 2) and the bound for the length of ``entry`` apart: query, entry, distance.
 
-    ``words`` has the column ``word``, distinct. Queries have 4 letters at least. A shard is a text that is
-    left of few words when they lose a letter, so shards don't grow with the vocabulary as their number does; one that
-    has much work all the same is cut into blocks of entries and of queries.
+    Both have the column ``word``, distinct; queries have 4 letters at least. A shard is what is left of few words when they
+    lose a letter, so it is the number of shards that grows with the vocabulary, not their size. One that has much
+    work all the same is cut into blocks of entries and of queries.
     """
-    n_tasks = tasks(words.sparkSession)
-    entries = words.where(F.length("word") >= 5).select(F.explode(entry_shards(F.col("word"))).alias("shard"), F.lit(0).alias("side"), "word")
-    queries = words.where(F.length("word") >= 4).select(F.explode(query_shards(F.col("word"))).alias("shard"), F.lit(1).alias("side"), "word")
+    n_tasks = tasks(entries.sparkSession)
+    word = F.col("word")
+    least = 5 if edits == 1 else LONG
+    keys = (whole_shards, whole_shards) if edits == 1 else (entry_shards, query_shards)
+    rows = entries.where(F.length("word") >= least).select(F.explode(keys[0](word)).alias("shard"), F.lit(0).alias("side"), "word").unionByName(
+        queries.where(F.length("word") >= least - edits).select(F.explode(keys[1](word)).alias("shard"), F.lit(1).alias("side"), "word")
+    )
     all_of = Window.partitionBy("shard").orderBy("side").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     counted = (
-        entries.unionByName(queries).repartition(n_tasks, "shard")
+        rows.repartition(n_tasks, "shard")
         .select("*", F.min("word").over(all_of).alias("first"), F.max("word").over(all_of).alias("last"), F.sum("side").over(all_of).alias("n_queries"), F.count("*").over(all_of).alias("n"))
-        .where("first <> last and n_queries between 1 and n - 1").withColumn("n_entries", F.col("n") - F.col("n_queries"))
+        .where("first <> last and n_queries between 1 and n - 1")
+        .select("shard", "side", "word", "n_queries", (F.col("n") - F.col("n_queries")).alias("n_entries"))
     )
-    much = F.col("n_entries") * F.col("n_queries") > BLOCK_WORDS * BLOCK_WORDS
-    light = counted.where(~much).select("shard", "side", "word")
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK_WORDS).cast("int")
-    own = lambda c: F.pmod(F.xxhash64("word"), blocks(c))
-    other = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
-    heavy = counted.where(much)
-    grid = heavy.where("side = 0").select("shard", "side", "word", own("n_entries").alias("i"), other("n_queries").alias("j")).unionByName(
-        heavy.where("side = 1").select("shard", "side", "word", other("n_entries").alias("i"), own("n_queries").alias("j"))
-    )
-    grid = grid.select(F.concat_ws("/", "shard", "i", "j").alias("shard"), "side", "word").repartition(n_tasks, "shard").sortWithinPartitions("shard", "side")
+
+    def pairs(rows: pd.DataFrame) -> list[tuple[str, str, int]]:
+        words, sides = rows["word"].to_numpy(), rows["side"].to_numpy()
+        tries: dict[int, Trie] = {}  # by the bound for the length of an entry
+        for w in words[sides == 0]:
+            tries.setdefault(min(edits, bound(len(w))), Trie()).add(w, w)
+        return [(q, e, d) for q in words[sides == 1] for k, trie in tries.items() for e, d in trie.accepted(automaton(q, k)) if e != q]
 
     def walk(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        heavy: list[pd.DataFrame] = []
+
+        def light() -> Iterator[pd.DataFrame]:
+            for b in batches:
+                much = (b["n_entries"] * b["n_queries"] > BLOCK_WORDS**2).to_numpy()
+                if much.any():
+                    heavy.append(b[much])
+                    b = b[~much]
+                yield b
+
         out: list[tuple[str, str, int]] = []
-        automata: dict[str, Automaton] = {}
-        for shard, rows in groups(batches, "shard"):
-            words_, sides = rows["word"].to_numpy(), rows["side"].to_numpy()
-            tries: dict[int, Trie] = {}  # by the bound for the length of an entry
-            for w in words_[sides == 0]:
-                tries.setdefault(bound(len(w)), Trie()).add(w, w)
-            for q in words_[sides == 1]:
-                for k, trie in tries.items():
-                    automaton = automata.get(f"{k}{q}")
-                    if automaton is None:
-                        if len(automata) > KEPT_AUTOMATA:
-                            automata.clear()
-                        automaton = automata[f"{k}{q}"] = Automaton(q, k)
-                    out += [(q, entry, d) for entry, d in trie.accepted(automaton) if entry != q]
-            if len(out) > 10_000:
+        for _, rows in groups(light(), "shard"):
+            out += pairs(rows)
+            if len(out) > 10_000 or heavy:
                 yield pd.DataFrame(out, columns=["query", "entry", "distance"])
+                for h in heavy:  # rows of shards with much work go through as they are
+                    yield pd.DataFrame({"query": h["word"], "entry": h["shard"], "distance": -1 - h["side"], "n_queries": h["n_queries"], "n_entries": h["n_entries"]})
+                heavy.clear()
                 out = []
         yield pd.DataFrame(out, columns=["query", "entry", "distance"])
+        for h in heavy:
+            yield pd.DataFrame({"query": h["word"], "entry": h["shard"], "distance": -1 - h["side"], "n_queries": h["n_queries"], "n_entries": h["n_entries"]})
+
+    def typed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.reindex(columns=["query", "entry", "distance", "n_queries", "n_entries"])
+
+    found = keep(counted.mapInPandas(lambda b: typed(walk(b)), "query string, entry string, distance int, n_queries long, n_entries long"), "neighbours")
+    near = found.where("distance >= 0").select("query", "entry", "distance")
+    heavy = found.where("distance < 0")
+    if heavy.isEmpty():
+        return near.distinct()
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK_WORDS).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("query"), blocks(c))
+    other = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+    grid = heavy.where("distance = -1").select("entry", F.lit(0).alias("side"), F.col("query").alias("word"), own("n_entries").alias("i"), other("n_queries").alias("j")).unionByName(
+        heavy.where("distance = -2").select("entry", F.lit(1).alias("side"), F.col("query").alias("word"), other("n_entries").alias("i"), own("n_queries").alias("j"))
+    )
 
-    schema = "query string, entry string, distance int"
-    return light.mapInPandas(walk, schema).unionByName(grid.mapInPandas(walk, schema)).groupBy("query", "entry").agg(F.min("distance").alias("distance"))
+    def meet(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, rows in groups(batches, "shard"):
+            yield pd.DataFrame(pairs(rows), columns=["query", "entry", "distance"])
+
+    met = grid.select(F.concat_ws("/", "entry", "i", "j").alias("shard"), "side", "word").repartition(n_tasks, "shard").sortWithinPartitions("shard", "side")
+    return near.unionByName(met.mapInPandas(meet, "query string, entry string, distance int")).distinct()
+
+
+@lru_cache(maxsize=50_000)
+def automaton(query: str, edits: int) -> Automaton:
+    return Automaton(query, edits)
 
 
 def spellings(counts: DataFrame) -> DataFrame:
@@ -176,23 +204,31 @@ def spellings(counts: DataFrame) -> DataFrame:
 
     ``counts``: word, n (pages that use it). A word stands for the most frequent neighbour that is more
     frequent than it, or equally frequent and first in the alphabet; two words that are both frequent
-    (over FEW pages, and not COMMON times rarer) are different words.
+    (over FEW pages, and not COMMON times rarer) are different words. The nearest neighbours decide, so that only
+    words without one at 1 edit are joined for 2.
     """
-    near = trie_join(counts.select("word"))
     n = counts.select(F.col("word").alias("query"), F.col("n").alias("nq"))
     m = counts.select(F.col("word").alias("entry"), F.col("n").alias("ne"))
     better = (F.col("ne") > F.col("nq")) | ((F.col("ne") == F.col("nq")) & (F.col("entry") < F.col("query")))
     unlike = (F.col("nq") > FEW) & (F.col("nq") * COMMON > F.col("ne"))
-    ranked = (
-        near.join(n, "query").join(m, "entry").where(better & ~unlike & ~F.col("query").isin(*GIVEN))
-        .groupBy(F.col("query").alias("word"))
-        .agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), F.col("ne").alias("n"), F.col("entry").alias("canon"))), asc=False), 1, 2).alias("c"))
-    )
+
+    def ranked(near: DataFrame) -> DataFrame:
+        """The two best of the nearest neighbours of each word."""
+        return (
+            near.join(n, "query").join(m, "entry").where(better & ~unlike & ~F.col("query").isin(*GIVEN))
+            .groupBy(F.col("query").alias("word"))
+            .agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), F.col("ne").alias("n"), F.col("entry").alias("canon"))), asc=False), 1, 2).alias("c"))
+        )
+
+    words = counts.select("word")
+    one = keep(ranked(trie_join(words, words, 1)), "near")
+    two = ranked(trie_join(words, words.where(F.length("word") >= LONG - 2).join(one, "word", "left_anti"), 2))
+    found = one.unionByName(two)
     # Equally near to two frequent words it stands for neither; the name around it decides.
     second = F.get("c", F.lit(1))
     torn = F.coalesce((second["d"] == F.col("c")[0]["d"]) & (second["n"] > FEW) & (second["n"] * COMMON >= F.col("c")[0]["n"]), F.lit(False))
-    best = ranked.where(~torn).select("word", F.col("c")[0]["canon"].alias("canon"))
-    to = keep(counts.select("word").join(best, "word", "left").select("word", F.coalesce("canon", "word").alias("canon")), "spellings")
+    best = found.where(~torn).select("word", F.col("c")[0]["canon"].alias("canon"))
+    to = keep(words.join(best, "word", "left").select("word", F.coalesce("canon", "word").alias("canon")), "spellings")
     # A misspelling of a misspelling: each round takes words twice as far, until none moves. Chains end, as each step goes to
     # a more frequent word, or to one before it in the alphabet.
     while True:

@@ -7,7 +7,7 @@ from corpusmill.llm.canonical import Reference, map_pages, map_values, split_ali
 from corpusmill.llm.graph import components
 from pyspark.sql import functions as F
 
-from corpusmill.llm.names import bound, entity_pairs, entry_shards, joined_words, link_names, parse, query_shards, resolve, spellings, trie_join
+from corpusmill.llm.names import bound, entity_pairs, entry_shards, joined_words, link_names, parse, query_shards, resolve, spellings, trie_join, whole_shards
 from corpusmill.llm.tries import Trie, within
 
 
@@ -46,16 +46,21 @@ def test_shards_meet(spark):
             v = spoil(v, rnd)
         assert within(v, w, bound(len(w))) == (osa(v, w) <= bound(len(w)))
         if len(v) >= 4 and osa(v, w) <= bound(len(w)):
-            pairs.append((v, w))
-    df = spark.createDataFrame(pairs, "v string, w string")
-    apart = df.where(~F.arrays_overlap(query_shards(F.col("v")), entry_shards(F.col("w"))))
-    assert len(pairs) > 3000 and apart.collect() == []
+            pairs.append((v, w, osa(v, w)))
+    df = spark.createDataFrame(pairs, "v string, w string, far int")
+    v, w = F.col("v"), F.col("w")
+    one = df.where("far <= 1")
+    assert one.count() > 2000 and one.where(~F.arrays_overlap(whole_shards(v), whole_shards(w))).collect() == []
+    two = df.where("length(w) >= 11")
+    assert two.where("far = 2").count() > 300 and two.where(~F.arrays_overlap(query_shards(v), entry_shards(w))).collect() == []
 
 
 def against_all_pairs(spark, words):
-    got = {(r["query"], r["entry"]): r["distance"] for r in trie_join(spark.createDataFrame([(w,) for w in words], "word string")).collect()}
-    want = {(q, e): osa(q, e) for q in words for e in words if q != e and len(q) >= 4 and len(e) >= 5 and osa(q, e) <= bound(len(e))}
-    assert got == want
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    for k in (1, 2):
+        found = trie_join(df, df, k).collect()
+        want = {(q, e): osa(q, e) for q in words for e in words if q != e and len(q) >= 4 and len(e) >= (5, 11)[k - 1] and osa(q, e) <= min(k, bound(len(e)))}
+        assert {(r["query"], r["entry"]): r["distance"] for r in found} == want and len(found) == len(want)
 
 
 def test_join_against_all_pairs(spark):
