@@ -4,8 +4,8 @@ The merges become a finite-state transducer that reads bytes. Which tokens the m
 is fixed by the last of them, and a token may follow another only if the merges, run on the two together,
 give back the two; so the transducer's state is the set of vocabulary entries that may still be in
 progress, each with the token before it. States and transitions are made when a text first needs them
-(lazy determinisation). A state whose entries all descend from one token emits what came before it, after
-a lookahead of at most the longest entry.
+(lazy determinisation). What comes before the token that all entries of a state descend from is settled and emitted; it is
+looked for whenever LOOKAHEAD bytes are pending, so a pre-token of any length streams through in bounded memory.
 
 Most of a corpus repeats, so a task keeps the ids of the pieces between spaces. A single space before a
 visible character always starts a new pre-token; texts in which white space is less simple are cut by the
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces, states and pairs of tokens that a task keeps; beyond that it starts anew.
 KEPT_PIECES, KEPT_STATES, KEPT_PAIRS = 300_000, 300_000, 1_000_000
+#: Bytes that may be pending before the transducer looks for what is settled.
+LOOKAHEAD = 256
 DEFAULT_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -47,6 +49,7 @@ class Transducer:
         # Trie of the vocabulary: node * 256 + byte -> node.
         self.step: dict[int, int] = {}
         self.token_at: list[int] = [-1]
+        self.depth: list[int] = [0]
         for token, i in ranks.items():
             node = 0
             for b in token:
@@ -54,6 +57,7 @@ class Transducer:
                 if nxt is None:
                     nxt = self.step[node << 8 | b] = len(self.token_at)
                     self.token_at.append(-1)
+                    self.depth.append(self.depth[node] + 1)
                 node = nxt
             self.token_at[node] = i
         # A vocabulary entry that the merges can't build is never emitted.
@@ -121,26 +125,48 @@ class Transducer:
         found = self.moves[state][byte] = (self._state(tuple(going)), done)
         return found
 
-    def encode(self, text: bytes) -> list[int]:
+    def _back(self, pending: list[int], end: int) -> list[int]:
+        """Where the tokens of the first ``end`` pending bytes end, the last first."""
+        out = []
+        while end > 0:
+            out.append(end)
+            end -= len(self.bytes_of[pending[end - 1]])
+        return out
+
+    def _settled(self, state: int, pending: list[int]) -> int:
+        """How many pending bytes have the same tokens, whichever entry in progress goes on."""
+        starts = {len(pending) - self.depth[node] for node, _ in self.items[state]}
+        common = set(self._back(pending, max(starts)))
+        for start in starts:
+            common &= set(self._back(pending, start))
+        return max(common, default=0)
+
+    def stream(self, data: Iterable[int]) -> Iterator[int]:
+        """The ids of bytes as they come, each as soon as it is settled."""
         if len(self.items) > KEPT_STATES:
             self.forget()
         if len(self.pairs) > KEPT_PAIRS:
             self.pairs.clear()
-        state, last = self.start, []
-        for byte in text:
-            move = self.moves[state].get(byte)
+        state, limit = self.start, LOOKAHEAD
+        pending: list[int] = []  # the last token of the text up to each byte
+        moves = self.moves
+        for byte in data:
+            move = moves[state].get(byte)
             if move is None:
                 move = self._move(state, byte)
             state, token = move
-            last.append(token)
-        ids, at = [], len(text)
-        lengths = self.bytes_of
-        while at:
-            t = last[at - 1]
-            ids.append(t)
-            at -= len(lengths[t])
-        ids.reverse()
-        return ids
+            pending.append(token)
+            if len(pending) >= limit:
+                done = self._settled(state, pending)
+                for end in reversed(self._back(pending, done)):
+                    yield pending[end - 1]
+                del pending[:done]
+                limit = len(pending) + LOOKAHEAD
+        for end in reversed(self._back(pending, len(pending))):
+            yield pending[end - 1]
+
+    def encode(self, text: bytes) -> list[int]:
+        return list(self.stream(text))
 
 
 class Encoder:

@@ -48,6 +48,28 @@ def test_lookahead_is_in_the_states(ranks):
     assert len(fst.items) == n  # states are made once
 
 
+def test_ids_come_before_the_text_ends(ranks, monkeypatch):
+    """After LOOKAHEAD bytes and the longest entry, ids are out while the text goes on."""
+    monkeypatch.setattr("corpusmill.llm.tokenizer.LOOKAHEAD", 32)
+    fst = Transducer(ranks)
+    theirs = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    longest = max(map(len, ranks))
+    rnd = random.Random(2)
+    for text in (b"internationalisation" * 60, bytes(rnd.choice(b"abcdeilnorst") for _ in range(3000)), "漢字かな".encode() * 200, b"a" * 2000):
+        fed, out = 0, []
+
+        def source():
+            nonlocal fed
+            for b in text:
+                fed += 1
+                assert fed - sum(len(fst.bytes_of[i]) for i in out) <= 2 * longest + 64
+                yield b
+
+        for i in fst.stream(source()):
+            out.append(i)
+        assert out == theirs.encode_ordinary(text.decode())
+
+
 def test_caches_start_anew(ranks, monkeypatch):
     for name in ("KEPT_PIECES", "KEPT_STATES", "KEPT_PAIRS"):
         monkeypatch.setattr(f"corpusmill.llm.tokenizer.{name}", 5)
