@@ -51,41 +51,62 @@ def _filled(extra: tuple[str, ...]) -> Column:
     return sum((F.col(f"row.{c}").isNotNull().cast("int") for c in extra), F.lit(0))
 
 
-def latest_changes(changes: DataFrame) -> DataFrame:
-    """The last change of each key: key, kind, content, at, row.
+def balances(changes: DataFrame) -> DataFrame:
+    """For each key and content how often it was brought in and consumed, and the last change of either kind.
 
-    ``changes`` is what read_changes gives. Ties that neither instant nor content decides go to the larger
-    content, so that a result never depends on the order of rows.
+    ``changes`` is what read_changes gives; where it has a column ``repeated`` that is true, the change was counted before and
+    only its instant and its row may tell more. Balances of parts of a feed add up (add_balances).
     """
     deleted = F.col("kind") == "deleted"
     last = F.struct("kind", "content", "at", "row")
+    one = F.when(F.col("repeated"), 0).otherwise(1) if "repeated" in changes.columns else F.lit(1)
+    entry = lambda c, brought, consumed, last: F.struct(c.alias("c"), brought.alias("n_brought"), consumed.alias("n_consumed"), last.alias("last"))
+    none = F.lit(0)
     # Each change stands with the content it brought in, and with the one it replaced or removed.
     ends = changes.select(
         "key",
         F.explode(
             F.array_compact(
                 F.array(
-                    F.when(~deleted, F.struct(F.col("content").alias("c"), F.lit(1).alias("brought"), last.alias("last"))),
-                    F.when(deleted, F.struct(F.col("content").alias("c"), F.lit(0).alias("brought"), last.alias("last"))),
-                    F.when(~deleted & F.col("replaced").isNotNull(), F.struct(F.col("replaced").alias("c"), F.lit(0).alias("brought"), F.lit(None).alias("last"))),
+                    F.when(~deleted, entry(F.col("content"), one, none, last)), F.when(deleted, entry(F.col("content"), none, one, last)),
+                    F.when(~deleted & F.col("replaced").isNotNull(), entry(F.col("replaced"), none, one, F.lit(None))),
                 )
             )
         ).alias("e"),
-    ).select("key", "e.*")
-    brought, at = F.col("brought") == 1, F.col("last.at")
-    never, ever = F.lit(-(1 << 62)), F.lit(1 << 62)
-    rank_of = F.struct(F.coalesce(at, never), F.col("last.row.seq"))
-    # An unknown content is never known to have been replaced; each content else is open while more changes
-    # brought it in than consumed it.
-    balance = ends.groupBy("key", "c").agg(
-        F.sum("brought").alias("n_brought"),
-        F.sum(1 - F.col("brought")).alias("n_consumed"),
-        F.max(F.when(brought, at)).alias("brought_at"),
-        F.max_by(F.when(brought, F.col("last")), F.when(brought, rank_of)).alias("open"),
-        F.max_by(F.when(~brought, F.col("last")), F.when(~brought & F.col("last").isNotNull(), rank_of)).alias("gone"),
+    ).select("key", "e.*")
+    gone = F.col("last.kind") == "deleted"
+    return _summed(
+        ends.select("key", "c", "n_brought", "n_consumed", F.when(~gone, F.col("last.at")).alias("brought_at"), F.when(~gone, F.col("last")).alias("open"), F.when(gone, F.col("last")).alias("gone"))
     )
-    # A deletion is not before what it deletes; an open content whose changes all lost their instant has to
-    # be the last, for nothing replaced it.
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    rank_of = lambda c: F.struct(F.coalesce(f"{c}.at", F.lit(-(1 << 62))), F.col(f"{c}.row.seq"))
+    return parts.groupBy("key", "c").agg(
+        F.sum("n_brought").alias("n_brought"),
+        F.sum("n_consumed").alias("n_consumed"),
+        F.max("brought_at").alias("brought_at"),
+        F.max_by("open", F.when(F.col("open").isNotNull(), rank_of("open"))).alias("open"),
+        F.max_by("gone", F.when(F.col("gone").isNotNull(), rank_of("gone"))).alias("gone"),
+    )
+
+
+def add_balances(base: DataFrame, more: DataFrame) -> DataFrame:
+    """The balances of two parts of a feed as one."""
+    return _summed(base.unionByName(more))
+
+
+def identifiers(changes: DataFrame) -> DataFrame:
+    """``changes`` with ``id``: equal for repeats of one change, which may differ below the second."""
+    return changes.withColumn("id", F.md5(F.to_json(F.struct("key", "kind", "content", "replaced", F.floor(F.col("at") / 1_000_000).alias("second")))))
+
+
+def latest_of(balance: DataFrame) -> DataFrame:
+    """The last change of each key: key, kind, content, at, row, from its balances."""
+    # An unknown content is never known to have been replaced; each content else is open while more changes
+    # brought it in than consumed it. A deletion is not before what it deletes; an open content whose changes all lost
+    # their instant has to be the last, for nothing replaced it.
+    never, ever = F.lit(-(1 << 62)), F.lit(1 << 62)
     is_open = F.col("c").isNull() | (F.col("n_brought") > F.col("n_consumed"))
     candidates = balance.select(
         "key",
@@ -109,18 +130,49 @@ def latest_changes(changes: DataFrame) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(rank)).where("rank = 1").select("key", "last.*")
 
 
+def latest_changes(changes: DataFrame) -> DataFrame:
+    """The last change of each key: key, kind, content, at, row.
+
+    ``changes`` is what read_changes gives. Ties that neither instant nor content decides go to the larger
+    content, so that a result never depends on the order of rows.
+    """
+    return latest_of(balances(changes))
+
+
+def merge_changes(seen: DataFrame, base: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A base as ``identifiers`` (id) and balances, merged with more changes: both again, for the whole feed so far.
+
+    Only identifiers and balances are read of what came before, never its changes. Changes that the base has seen add nothing but
+    a more precise instant; changes that are older than what it knows take their place among them.
+    """
+    coded = identifiers(changes)
+    known = coded.join(seen.select("id", F.lit(True).alias("repeated")), "id", "left").withColumn("repeated", F.coalesce("repeated", F.lit(False)))
+    new = known.where("not repeated").select("id")
+    return seen.select("id").unionByName(new).distinct(), add_balances(base, balances(known.drop("id")))
+
+
 def apply_changes(base: DataFrame | None, changes: DataFrame) -> DataFrame:
-    """The state of a table (key, content, at, row) after all changes; deleted keys drop out.
+    """The state of a table after all changes; deleted keys drop out.
 
-    ``base`` has the columns key and content, and any others, which are ignored; keys without a change
-    stay as they are in it, keys with one take the change.
+    Without a base: key, content, at, row. With one (key unique, content, and any other columns): the columns of the base. Keys
+    without a change stay as they are in it; of keys with one, content, ``at`` and what the change carries in ``row`` are taken from it, and
+    columns that no change carries stay, or are null for new keys.
     """
     last = latest_changes(changes)
-    alive = last.where("kind <> 'deleted'").select("key", "content", "at", "row")
     if base is None:
-        return alive
-    kept = base.select("key", "content").join(last.select("key"), "key", "left_anti")
-    return alive.unionByName(kept, allowMissingColumns=True)
+        return last.where("kind <> 'deleted'").select("key", "content", "at", "row")
+    carried = [f.name for f in last.schema["row"].dataType.fields]
+    b, n = base.select(F.struct(*base.columns).alias("old"), F.col("key").alias("k")), last.withColumnRenamed("key", "k2")
+    changed = F.col("k2").isNotNull()
+
+    def value(c: str) -> Column:
+        if c == "key":
+            return F.coalesce("k2", "k")
+        now = F.col(c) if c in ("content", "at") else F.col(f"row.{c}") if c in carried else None
+        return F.col(f"old.{c}") if now is None else F.when(changed, now.cast(base.schema[c].dataType)).otherwise(F.col(f"old.{c}"))
+
+    both = b.join(n, F.col("k") == F.col("k2"), "full_outer").where("kind is null or kind <> 'deleted'")
+    return both.select(*[value(c).alias(c) for c in base.columns])
 
 
 def current_files(events: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:

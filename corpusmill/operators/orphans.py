@@ -1,13 +1,14 @@
 """References to records that do not exist (problem 2).
 
 The method: every key gets an integer from a dictionary, each range of 32,768 integers is one compressed
-bitmap per side and period, orphans are the bits of *references AND NOT parents*, and the bits that
-survive are decoded to keys again. What is shuffled for the comparison are bitmaps of 4 KB at most, not
-references; the references themselves are joined once, with the keys that survived.
+bitmap per side and period (a list, runs or bits, whatever is smallest), orphans are the bits of *references AND NOT
+parents*, and the bits that survive are decoded to keys again. What is shuffled for the comparison are containers of 4 KB at
+most, not references; the references themselves are joined once, with the keys that survived.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,36 +22,57 @@ from corpusmill.session import keep
 BITS = 32_768
 
 
-def _bits(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, dtype=np.uint8)
-
-
-def _positions(bits: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.unpackbits(bits, bitorder="little"))
+def packed(positions: np.ndarray) -> bytes:
+    """Sorted positions below BITS as the smallest of three containers: a list, runs (first, more of it), or a bit for each."""
+    at = positions.astype(np.uint16)
+    first = np.flatnonzero(np.diff(positions, prepend=-2) != 1)
+    more = np.diff(np.append(first, len(at))) - 1
+    if 4 * len(first) < min(2 * len(at), BITS // 8):
+        return b"r" + np.column_stack([at[first], more.astype(np.uint16)]).tobytes()
+    if 2 * len(at) < BITS // 8:
+        return b"a" + at.tobytes()
+    bits = np.zeros(BITS, dtype=np.uint8)
+    bits[positions] = 1
+    return b"b" + np.packbits(bits).tobytes()
+
+
+def unpacked(container: bytes) -> np.ndarray:
+    """A container as one flag for each position."""
+    out = np.zeros(BITS, dtype=bool)
+    kind, body = container[:1], container[1:]
+    if kind == b"b":
+        return np.unpackbits(np.frombuffer(body, dtype=np.uint8)).astype(bool)
+    values = np.frombuffer(body, dtype=np.uint16).astype(np.int64)
+    if kind == b"a":
+        out[values] = True
+    else:
+        for start, more in values.reshape(-1, 2):
+            out[start : start + more + 1] = True
+    return out
+
+
+def _pack(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        b["bits"] = [packed(np.sort(np.asarray(p, dtype=np.int64))) for p in b["positions"]]
+        yield b.drop(columns="positions")
 
 
 def _and_not(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """One range of keys: at most one bitmap for each side and period, so the group is bounded."""
+    """One range of keys: at most one container for each side and period, so the group is bounded."""
     domain, bucket = key
-    none = np.zeros(BITS // 8, dtype=np.uint8)
-    one = lambda side: next((_bits(b) for s, b in zip(rows["side"], rows["bits"]) if s == side), none)
-    known, alive = one("known"), one("alive")
-    born = sorted((p, _bits(b)) for s, p, b in zip(rows["side"], rows["period"], rows["bits"]) if s == "born")
+    none = np.zeros(BITS, dtype=bool)
+    by_side: dict[str, list[tuple[str, bytes]]] = {"reference": [], "known": [], "alive": [], "born": []}
+    for side, period, bits in zip(rows["side"], rows["period"], rows["bits"]):
+        by_side[side].append((period, bits))
+    known, alive = (unpacked(by_side[s][0][1]) if by_side[s] else none for s in ("known", "alive"))
+    born, before = sorted(by_side["born"], reverse=True), none.copy()
     found = []
-    for side, period, raw in zip(rows["side"], rows["period"], rows["bits"]):
-        if side != "reference":
-            continue
-        there = _bits(raw)
-        before = none
-        for p, b in born:
-            if p < period:
-                before = before | b
-        for state, left in (
-            ("missing", there & ~known),
-            ("deleted", there & known & ~alive),
-            ("late", there & alive & ~before if period else none),
-        ):
-            at = _positions(left)
+    for period, bits in sorted(by_side["reference"]):
+        while born and born[-1][0] < period:
+            before |= unpacked(born.pop()[1])
+        there = unpacked(bits)
+        for state, left in (("missing", there & ~known), ("deleted", there & known & ~alive), ("late", there & alive & ~before if period else none)):
+            at = np.flatnonzero(left)
             if len(at):
                 found.append(pd.DataFrame({"domain": domain, "period": period, "id": int(bucket) * BITS + at, "state": state}))
     columns = ["domain", "period", "id", "state"]
@@ -98,9 +120,11 @@ def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
             )
         ).alias("e"),
     )
-    bitmaps = entries.groupBy("domain", F.floor(F.col("id") / BITS).alias("bucket"), F.col("e.side").alias("side"), F.col("e.p").alias("period")).agg(
-        F.expr(f"bitmap_construct_agg(id % {BITS})").alias("bits")
+    # The positions of a range are at most BITS, and each stands once in a side and period.
+    ranges = entries.groupBy("domain", F.floor(F.col("id") / BITS).alias("bucket"), F.col("e.side").alias("side"), F.col("e.p").alias("period")).agg(
+        F.collect_list((F.col("id") % BITS).cast("int")).alias("positions")
     )
+    bitmaps = ranges.mapInPandas(_pack, "domain string, bucket long, side string, period string, bits binary")
     left = bitmaps.groupBy("domain", "bucket").applyInPandas(_and_not, "domain string, period string, id long, state string")
     decoded = left.join(dictionary, ["domain", "id"]).drop("id")
     # Months are too coarse for what is late: those bits are candidates, and instants decide.

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators.changes import apply_changes, current_files, read_changes
+from corpusmill.operators.changes import apply_changes, balances, current_files, identifiers, latest_of, merge_changes, read_changes
 from corpusmill.operators.orphans import orphan_report, page_orphans
 from corpusmill.plans.registry import CORE
 from corpusmill.plans.wiki import key_sql, slug_sql, strip_sql
-from corpusmill.session import table
+from corpusmill.session import keep, table
 
 
 def instant_sql(c: str) -> str:
@@ -62,10 +62,22 @@ def p3_found(spark, d):
     return current_files(table(spark, d, "manifest_event")).select("path", "hash")
 
 
+FIELDS = ("location", "relative_path", "display_name", "doc_type", "chunks")
+
+
 @CORE.query("p3_state")
 def p3_state(spark, d):
-    """The whole rows of the rebuilt table, merged into a base that has none of the paths yet."""
-    events = table(spark, d, "manifest_event")
-    fields = ("location", "relative_path", "display_name", "doc_type", "chunks")
-    state = apply_changes(None, read_changes(events, fields))
+    """The whole rows of the rebuilt table."""
+    state = apply_changes(None, read_changes(table(spark, d, "manifest_event"), FIELDS))
     return state.select(F.col("key").alias("path"), F.coalesce("content", F.lit("")).alias("hash"), "row.*").drop("seq")
+
+
+@CORE.query("p3_merged", f"WITH {STATE_SQL} SELECT path, hash FROM state")
+def p3_merged(spark, d):
+    """The same files when the second half of the feed, by order of arrival, is merged into a base made of the first."""
+    events = table(spark, d, "manifest_event")
+    half = (events.agg(F.max("seq")).first()[0] or 0) // 2
+    first = read_changes(events.where(F.col("seq") <= half), FIELDS)
+    seen, base = keep(identifiers(first).select("id"), "seen"), keep(balances(first), "balances")
+    _, merged = merge_changes(seen, base, read_changes(events.where(F.col("seq") > half), FIELDS))
+    return latest_of(merged).where("kind <> 'deleted'").select(F.col("key").alias("path"), F.coalesce("content", F.lit("")).alias("hash"))

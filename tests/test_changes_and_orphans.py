@@ -3,8 +3,10 @@ from datetime import datetime, timedelta, timezone
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from corpusmill.operators.changes import apply_changes, current_files, read_changes
-from corpusmill.operators.orphans import orphan_references, orphan_report, page_orphans, slug_of
+import numpy as np
+
+from corpusmill.operators.changes import apply_changes, balances, current_files, identifiers, latest_of, merge_changes, read_changes
+from corpusmill.operators.orphans import BITS, orphan_references, orphan_report, packed, page_orphans, slug_of, unpacked
 from pyspark.sql import functions as F
 
 EVENT = "seq long, path string, event string, hash string, previous_hash string, timestamp string"
@@ -72,10 +74,36 @@ def test_nulls_blanks_and_nothing(spark):
 
 
 def test_base_and_clashing_columns(spark):
-    df = spark.createDataFrame([(0, "a", "updated", "h1", "h0", at(1), 9, "x"), (1, "b", "deleted", "k", None, at(1), 9, "y")], EVENT + ", key int, rank string")
-    base = spark.createDataFrame([("a", "h0", 1), ("b", "k", 1), ("c", "z", 1)], "key string, content string, at int")
-    out = apply_changes(base, read_changes(df))
-    assert {(r["key"], r["content"]) for r in out.collect()} == {("a", "h1"), ("c", "z")}
+    df = spark.createDataFrame([(0, "a", "updated", "h1", "h0", at(1), 9, "x"), (1, "b", "deleted", "k", None, at(1), 9, "y"), (2, "n", "ingested", "m", None, at(2), 4, "new")], EVENT + ", key int, rank string")
+    base = spark.createDataFrame([("a", "h0", 1, "old", "own"), ("b", "k", 1, "old", "own"), ("c", "z", 1, "old", "own")], "key string, content string, k int, rank string, other string")
+    out = apply_changes(base, read_changes(df, ("rank",)))
+    assert out.columns == base.columns
+    assert sorted(map(tuple, out.collect())) == [("a", "h1", 1, "x", "own"), ("c", "z", 1, "old", "own"), ("n", "m", None, "new", None)]
+    assert sorted(apply_changes(base, read_changes(df.limit(0), ("rank",))).collect()) == sorted(base.collect())
+    assert [r["key"] for r in apply_changes(base.limit(0), read_changes(df)).orderBy("key").collect()] == ["a", "n"]
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.randoms(use_true_random=False))
+def test_merging_in_parts_is_applying_at_once(spark, rnd):
+    """Whatever part of a feed a base is made of, with repeats and late changes in the rest."""
+    rows = []
+    for k in range(6):
+        content = None
+        for i in range(rnd.randrange(1, 7)):
+            kind = "ingested" if content is None else rnd.choice(["updated", "updated", "deleted"])
+            new = f"h{k}.{rnd.randrange(3)}"
+            when = rnd.choice([at(i), at(i, 7), None])
+            rows.append((f"p{k}", kind, content if kind == "deleted" else new, content if kind == "updated" else None, when))
+            content = None if kind == "deleted" else new
+    rows += rnd.sample(rows, len(rows) // 3)
+    rnd.shuffle(rows)
+    cut = rnd.randrange(len(rows) + 1)
+    first, rest = (read_changes(spark.createDataFrame([(i, *r) for i, r in enumerate(part)], EVENT)) for part in (rows[:cut], rows[cut:]))
+    seen, merged = merge_changes(identifiers(first).select("id"), balances(first), rest)
+    got = {r["key"]: r["content"] for r in latest_of(merged).where("kind <> 'deleted'").collect()}
+    assert got == files(spark, rows)
+    assert seen.count() == identifiers(read_changes(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], EVENT))).select("id").distinct().count()
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -163,3 +191,15 @@ def test_pages(spark):
     assert sorted((r["owner"], r["domain"], r["target"], r["state"]) for r in out.collect()) == [
         (1, "relations", "none", "missing"), (1, "relations", "two", "late"), (1, "sources", "root/a.pdf", "deleted"), (1, "sources", "root/b.pdf", "missing"),
     ]
+
+
+def test_containers():
+    """Each kind of container gives back its positions and is the smallest of the three."""
+    rnd = np.random.default_rng(1)
+    cases = {"a": np.sort(rnd.choice(BITS, 900, replace=False)), "r": np.arange(5, 30_000), "b": np.sort(rnd.choice(BITS, 20_000, replace=False))}
+    for kind, positions in cases.items():
+        raw = packed(positions)
+        assert raw[:1].decode() == kind and len(raw) <= BITS // 8 + 1
+        assert np.flatnonzero(unpacked(raw)).tolist() == positions.tolist()
+    for positions in ([], [0], [BITS - 1], [0, BITS - 1], list(range(BITS))):
+        assert np.flatnonzero(unpacked(packed(np.array(positions, dtype=np.int64)))).tolist() == positions
