@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import keep
+from corpusmill.session import keep, tasks
 
 STATES = ("header", "page", "body", "break")
 #: What scanners read for what was printed.
@@ -37,11 +37,13 @@ HYPHENS = "-‐‑¬­"
 FLUSH, MAX_SENT = 200_000, 400_000
 #: Times that a word has to occur to be known, where letters alone don't tell that another one was misread.
 KNOWN = 5
+#: How much rarer than the word that was meant a slip of the pen is outside PDFs.
+SLIPS = 10_000
 
-_FORM = re.compile(r"^\s*(?:[-–—~•|\[(]*\s*)(?:(?:page|seite|página|pagina|pág\.|pag\.|pg\.?|p\.|s\.|blatt|sheet|folio)\s*[\dlIoOS]{1,4}(?:\s*(?:of|von|de|sur|/|\|)\s*[\dlIoOS]{1,4})?|[\dlIoOS]{1,4}\s*(?:/|of|von|sur)\s*[\dlIoOS]{1,4}|[-–—~•|\[(]+\s*[\dlIoOS]{1,4}\s*[-–—~•|\])]+)\s*$", re.I)
-_BARE = re.compile(r"^\s*\d{1,4}\s*$")
+_FORM = re.compile(r"^\s*(?:[-–—~•|\[(]*\s*)(?:(?:page|seite|página|pagina|pág\.|pag\.|pg\.?|p\.|s\.|blatt|sheet|folio)\s*[\dlIoOS]{1,9}(?:\s*(?:of|von|de|sur|/|\|)\s*[\dlIoOS]{1,9})?|[\dlIoOS]{1,9}\s*(?:/|of|von|sur)\s*[\dlIoOS]{1,9}|[-–—~•|\[(]+\s*[\dlIoOS]{1,9}\s*[-–—~•|\])]+)\s*$", re.I)
+_BARE = re.compile(r"^\s*\d{1,9}\s*$")
 _ROMAN = re.compile(r"^\s*(?=[ivxl])x{0,4}(?:ix|iv|v?i{0,3})\s*$|^\s*(?=[IVXL])X{0,4}(?:IX|IV|V?I{0,3})\s*$")
-_TRAILING = re.compile(r"(?:\s{2,}|\t|\s[|·•–—-]\s*)(?:(?:page|seite|página|pg\.?|p\.|s\.)\s*)?([\dlIoOS]{1,4})\s*$|^\s*(?:(?:page|seite|página|pg\.?|p\.|s\.)\s*)?(\d{1,4})(?:\s{2,}|\t|\s[|·•–—-]\s)\S", re.I)
+_TRAILING = re.compile(r"(?:\s{2,}|\t|\s[|·•–—-]\s*)(?:(?:page|seite|página|pg\.?|p\.|s\.)\s*)?([\dlIoOS]{1,9})\s*$|^\s*(?:(?:page|seite|página|pg\.?|p\.|s\.)\s*)?(\d{1,9})(?:\s{2,}|\t|\s[|·•–—-]\s)\S", re.I)
 _STOP = re.compile(r"[.!?:;…][\"'”’»)\]]*$")
 _LIST = re.compile(r"^\s*(?:[-•*+–]|\d{1,3}[.)])\s|^\s*\|")
 #: Forms that no word is written in: a digit, dagger or bar between letters; vv hardly ever is.
@@ -66,7 +68,7 @@ def code(text: str) -> int:
 
 def clean(token: str) -> str:
     t = token.strip(_EDGE).lower()
-    return t if t and any(ch.isalpha() for ch in t) and len(t) <= 40 else ""
+    return t if any(ch.isalpha() for ch in t) else ""
 
 
 def lines_of(text: str) -> list[str]:
@@ -156,7 +158,7 @@ def _first_pass(chunks: DataFrame) -> DataFrame:
                     pairs.add((joined, hyphened))
                 for i, line in enumerate(lines):
                     bare = line.strip()
-                    if bare and len(bare) <= 100 and not _LIST.match(line) and not _STOP.search(bare) and not bare[0].islower() and (s := skeleton(bare)):
+                    if bare and not _LIST.match(line) and not _STOP.search(bare) and not bare[0].islower() and (s := skeleton(bare)):
                         rows.append(("line", None, None, 0, 0, chunk_id, i, key, code(s)))
             if rows:
                 yield batch_of(rows)
@@ -169,30 +171,50 @@ def _first_pass(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.col("chunk_id").cast("long"), "doc_key", "text", F.coalesce(is_pdf(F.col("doc_key")), F.lit(False)).alias("pdf")).mapInArrow(run, schema)
 
 
+#: Misreadings of which what was read isn't a letter; those that letters alone hardly give by chance.
+_ODD, _SURE = [p for p in MISREAD if not p[0].isalpha()], MISREAD[:12]
+
+
+def _set_right(word: str, pairs: Iterable[tuple[str, str]]) -> set[str]:
+    return {word[:i] + b + word[i + len(a) :] for a, b in pairs for i in range(len(word)) if word.startswith(a, i)}
+
+
 def readings(word: str) -> set[str]:
-    """What may have been printed where ``word`` was read: one or two characters set right."""
-    once = {word[:i] + b + word[i + len(a) :] for a, b in MISREAD for i in range(len(word)) if word.startswith(a, i)}
-    odd = any(not ch.isalpha() and ch not in "-'’" for ch in word)
-    twice = {w[:i] + b + w[i + len(a) :] for w in once for a, b in MISREAD[:12] for i in range(len(w)) if w.startswith(a, i)} if odd or len(word) > 7 else set()
+    """What may have been printed where ``word`` was read: one or two characters set right.
+
+    What isn't a letter has to be among them, so of words with more than two such characters there is no reading.
+    """
+    odd = sum(not ch.isalpha() and ch not in "-'’" for ch in word)
+    if odd > 2:
+        return set()
+    if odd:
+        once = _set_right(word, _ODD)
+        twice = {r for w in once for r in _set_right(w, MISREAD if odd == 1 else _ODD)}
+    else:
+        once = _set_right(word, MISREAD)
+        twice = {r for w in once for r in _set_right(w, _SURE)} if len(word) > 7 else set()
     return {w for w in once | twice if len(w) >= 3 and all(ch.isalpha() or ch in "-'’" for ch in w)}
 
 
 def misread_words(vocabulary: DataFrame) -> DataFrame:
-    """word, meant: words never seen outside PDFs with a known reading that is 20 times as frequent at least.
+    """word, meant: words with a known reading that is 20 times as frequent at least, and SLIPS times outside PDFs.
 
-    ``vocabulary``: word, n, n_native. Where the form itself is none that words have, its most frequent reading that the corpus has
+    Outside PDFs nothing is misread, but people make slips, more of them the larger a corpus is. ``vocabulary``: word, n, n_native. Where the form itself is none that words have, its most frequent reading that the corpus has
     is meant, however rare it is: names don't become frequent as a corpus grows. With vv it has to be the more frequent one.
     """
 
     def spread(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(w, n, r) for w, n in zip(b["word"], b["n"]) if len(w) >= 3 for r in readings(w)]
-            yield pd.DataFrame(rows, columns=["word", "n", "meant"])
+            rows = [(w, n, m, r) for w, n, m in zip(b["word"], b["n"], b["n_native"]) if len(w) >= 3 for r in readings(w)]
+            yield pd.DataFrame(rows, columns=["word", "n", "n_native", "meant"])
 
     # Of words that are frequent themselves only those with a still more frequent reading are left by the join.
+    most = vocabulary.agg(F.max("n_native")).first()[0] or 0
+    doubtful = vocabulary.where(F.col("n_native") * SLIPS <= most).select("word", "n", "n_native")
     return (
-        vocabulary.where("n_native = 0").select("word", "n").mapInPandas(spread, "word string, n long, meant string")
-        .join(vocabulary.select(F.col("word").alias("meant"), F.col("n").alias("n_meant")), "meant")
+        doubtful.repartition(tasks(vocabulary.sparkSession), "word").mapInPandas(spread, "word string, n long, n_native long, meant string")
+        .join(vocabulary.select(F.col("word").alias("meant"), F.col("n").alias("n_meant"), F.col("n_native").alias("m_meant")), "meant")
+        .where(F.col("n_native") * SLIPS <= F.col("m_meant"))
         .where(
             F.col("word").rlike(_IMPOSSIBLE) | (F.col("word").rlike(_UNLIKELY) & (F.col("n_meant") > F.col("n")))
             | ((F.col("n_meant") >= KNOWN) & (F.col("n_meant") >= 20 * F.col("n")))
@@ -436,7 +458,7 @@ def with_lookups(texts: DataFrame, misread: DataFrame, divided: DataFrame) -> Da
 
     def words(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, c) for i, t in zip(b["chunk_id"], b["text"]) for c in {clean(w) for w in t.split()} | {j for _, _, j, _, _ in divisions(lines_of(t))} if c]
+            rows = [(i, c) for i, t in zip(b["chunk_id"], b["text"]) for c in {clean(w) for w in t.split()} | {w for _, _, *both, _ in divisions(lines_of(t)) for w in both} if c]
             yield pd.DataFrame(rows, columns=["chunk_id", "word"])
 
     used = texts.select("chunk_id", "text").mapInPandas(words, "chunk_id long, word string")

@@ -1,7 +1,7 @@
 import pytest
 
 from corpusmill.llm.duplicates import agreed, align, base_name, best_representatives, consensus, consensus_values, duplicate_groups
-from corpusmill.llm.scans import clean_scans, divisions, misread_words, readings, skeleton
+from corpusmill.llm.scans import clean_scans, divisions, misread_words, number_kind, readings, skeleton
 from corpusmill.llm.truncation import cut_words, ending, field_limits, truncated, truncation_report
 
 EVENT = "seq long, path string, event string, hash string, previous_hash string, timestamp string, relative_path string, display_name string, rank int, grp string"
@@ -212,6 +212,18 @@ def test_misread_names(spark):
     assert got == {"ni8agaux": "nibagaux", "madi†huulv": "madithuulv", "lap1ekreal": "laplekreal", "savvikol": "sawikol", "comrnittee": "committee"}
 
 
+def test_slips_outside_of_scans(spark):
+    """A few slips in other documents don't make a word of a misreading; a word that is just rare stays one."""
+    words = [("comrnittee", 50, 3), ("committee", 90_000, 60_000), ("barn", 40, 30), ("bam", 90_000, 60_000), ("x" * 50 + "1y", 2, 0), ("x" * 50 + "ly", 9, 3)]
+    got = {r["word"]: r["meant"] for r in misread_words(spark.createDataFrame(words, "word string, n long, n_native long")).collect()}
+    assert got == {"comrnittee": "committee", "x" * 50 + "1y": "x" * 50 + "ly"}
+
+
+def test_long_titles_and_large_numbers():
+    assert number_kind("Page 123456", True) == "form" and number_kind("12345", True) == "bare"
+    assert skeleton("A tit1e of " + "very " * 30 + "many words") == skeleton("A title of " + "very " * 30 + "many words")
+
+
 def scan(title, lines, page, form="Seite {}"):
     return f"{title}\r\n" + "\r\n".join(lines) + "\r\n" + form.format(page)
 
@@ -245,8 +257,9 @@ def test_scans(spark):
 
 
 def test_scans_with_joined_lookups(spark, monkeypatch):
-    """Tables of words too large to be sent give the same."""
-    df = spark.createDataFrame(chunks(), f"chunk_id long, doc_key string, chunk_index int, text string, meta {META}")
+    """Tables of words too large to be sent give the same, also for a word whose two parts and whole are misread or hyphened."""
+    more = "and then they spoke of a cross-\nb0rder programme once more with the cornmittee and the de-\npartrnental board of it\nat length and at leisure on this day of the new year"
+    df = spark.createDataFrame([*chunks(), (107, "R/scan.pdf", 9, more, None)], f"chunk_id long, doc_key string, chunk_index int, text string, meta {META}")
     want = {r["chunk_id"]: (r["noise"], r["text"]) for r in clean_scans(df).collect()}
     monkeypatch.setattr("corpusmill.llm.scans.MAX_SENT", 0)
     assert {r["chunk_id"]: (r["noise"], r["text"]) for r in clean_scans(df).collect()} == want
