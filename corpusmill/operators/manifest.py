@@ -48,9 +48,23 @@ def is_supported(name: Column) -> Column:
 
 
 def matches_glob(name: Column, pattern: Column) -> Column:
-    """Shell pattern with * and ?; case matters."""
-    quoted = F.regexp_replace(pattern, r"([\\.^$|()\[\]{}+])", r"\\$1")
-    return F.rlike(name, F.concat(F.lit("(?s)^"), F.regexp_replace(F.regexp_replace(quoted, r"\*", ".*"), r"\?", "."), F.lit("$")))
+    """Shell pattern with ``*``, ``?``, ``[a-z]`` and ``[!a-z]``; case matters, and a bracket that is never closed stands for itself."""
+    steps = (
+        (r"([\\.^$|(){}+])", r"\\$1"), (r"\[(?!!?\]?[^\]]*\])", r"\\["), (r"\[!", "[^"),
+        (r"\*(?![^\[\]]*\])", ".*"), (r"\?(?![^\[\]]*\])", "."),
+    )
+    for old, new in steps:
+        pattern = F.regexp_replace(pattern, old, new)
+    return F.rlike(name, F.concat(F.lit("(?s)^"), pattern, F.lit("$")))
+
+
+def to_do(scanned: DataFrame, done: DataFrame, state: DataFrame) -> DataFrame:
+    """path, hash of scanned files that a backfill still has to take: not done, or with another content than the last event says.
+
+    ``scanned``: path, hash. ``done``: path. ``state``: path, hash of the last event, whatever its kind. A file without a hash is never done.
+    """
+    same = state.join(done.select("path").distinct(), "path", "left_semi").select("path", "hash")
+    return scanned.join(same, ["path", "hash"], "left_anti")
 
 
 def diff(scanned: DataFrame, state: DataFrame) -> DataFrame:

@@ -14,9 +14,28 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.frames import groups
+from corpusmill.session import tasks
+
 K1, B, RRF_K = 1.2, 0.75, 60
-#: Query vectors that meet a partition at once.
-BLOCK = 1_024
+#: Queries and rows of a block, and rows that are scored at once.
+QUERIES, ROWS, STEP = 2_048, 32_768, 4_096
+
+
+def meeting(queries: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Each block of queries with each block of rows: block, side (0 for queries), and ``columns``, which both have; sorted by block and side.
+
+    Blocks are drawn by a hash, so they are bounded whatever the tables hold, and nothing is sent by the driver.
+    """
+    n_queries, n_rows = max(1, -(-queries.count() // QUERIES)), max(1, -(-rows.count() // ROWS))
+    own = lambda n: F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sides = queries.select(*columns, F.lit(0).alias("side"), own(n_queries).alias("i"), every(n_rows).alias("j")).unionByName(
+        rows.select(*columns, F.lit(1).alias("side"), every(n_queries).alias("i"), own(n_rows).alias("j"))
+    )
+    n = min(n_queries * n_rows, 10_000)
+    block = F.col("i") * n_rows + F.col("j")
+    return sides.select(block.alias("block"), "side", *columns).repartition(max(n, tasks(rows.sparkSession)), "block").sortWithinPartitions("block", "side")
 
 
 def terms(text: str):
@@ -37,7 +56,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(terms("text"))).alias("term"))
     sized = docs.where("text is not null").select("doc_id", terms("text").alias("t")).withColumn("len", F.size("t"))
-    stats = sized.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    lengths = docs.where("text is not null").select(F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+")).alias("len"))
+    stats = lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("avg_len"))
     # One row per document and word; what no query asks for is dropped at once.
     tf = (
         sized.select("doc_id", "len", F.explode("t").alias("term"))
@@ -45,62 +65,41 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         .groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
     )
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    one = stats.collect()[0]  # two numbers
-    n, avg = one["n_docs"], one["avg_len"] or 1.0
-    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(avg))))
-    scored = (
-        asked.join(tf.join(df, "term").select("term", "doc_id", weight.alias("w")), "term")
-        .groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 5).alias("score"))
-    )
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    weighed = tf.join(df, "term").withColumns({c: stats.select(c).scalar() for c in stats.columns}).select("term", "doc_id", weight.alias("w"))
+    scored = asked.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 5).alias("score"))
     return top(scored, k, "query_id", "doc_id").select("query_id", "doc_id", "score", "rank")
 
 
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, vec_id, score, rank by cosine; ``vectors``: vec_id, embedding; ``queries``: query_id, embedding.
 
-    Null vectors, and those without a direction, take no part. A query meets every vector in blocks of
-    BLOCK queries; each partition passes on its own best k.
+    Null vectors, and those without a direction, take no part. Blocks of queries meet blocks of vectors; each
+    meeting passes on the best k of each query.
     """
-    usable = "embedding is not null and size(embedding) > 0"
-    spark = vectors.sparkSession
-    asked = queries.where(usable).select("query_id", "embedding").orderBy("query_id").toLocalIterator()
-    parts: list[DataFrame] = []
-
-    def block_of(rows: list) -> DataFrame:
-        ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-        q = np.array([r["embedding"] for r in rows], dtype=np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        sent = spark.sparkContext.broadcast((ids, q))
-
-        def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q = sent.value
-            for b in batches:
-                x = np.array(list(b["embedding"]), dtype=np.float64)
-                norms = np.linalg.norm(x, axis=1)
-                keep = norms > 0
-                x, v = x[keep] / norms[keep, None], b["vec_id"].to_numpy()[keep]
-                if not len(v):
-                    continue
-                score = np.round(q @ x.T, 5)
-                # within a batch the k-th best score decides; ties at it all stay
-                cut = np.sort(score, axis=1)[:, -min(k, score.shape[1])]
+    usable = lambda df, key: df.where("embedding is not null and size(embedding) > 0").select(F.col(key).cast("long").alias("id"), "embedding")
+
+    def directions(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        x = np.array(rows["embedding"].tolist(), dtype=np.float64)
+        norms = np.linalg.norm(x, axis=1)
+        sound = norms > 0
+        return rows["id"].to_numpy()[sound], x[sound] / norms[sound, None]
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, rows in groups(batches, "block"):
+            if rows["side"].nunique() < 2:
+                continue
+            (ids, q), (items, x) = (directions(rows[rows["side"] == side]) for side in (0, 1))
+            for at in range(0, len(items) if len(ids) else 0, STEP):
+                score = np.round(q @ x[at : at + STEP].T, 5)
+                # the k-th best score decides; ties at it all stay
+                cut = np.partition(score, score.shape[1] - min(k, score.shape[1]), axis=1)[:, -min(k, score.shape[1])]
                 qi, vi = np.nonzero(score >= cut[:, None])
-                yield pd.DataFrame({"query_id": ids[qi], "vec_id": v[vi], "score": score[qi, vi]})
-
-        return vectors.where(usable).select("vec_id", "embedding").mapInPandas(run, "query_id long, vec_id long, score double")
-
-    held: list = []
-    for row in asked:
-        held.append(row)
-        if len(held) == BLOCK:
-            parts.append(block_of(held))
-            held = []
-    if held or not parts:
-        parts.append(block_of(held) if held else spark.createDataFrame([], "query_id long, vec_id long, score double"))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
+                yield pd.DataFrame({"query_id": ids[qi], "vec_id": items[at + vi], "score": score[qi, vi]})
+
+    met = meeting(usable(queries, "query_id"), usable(vectors, "vec_id"), ["id", "embedding"])
+    scored = met.mapInPandas(run, "query_id long, vec_id long, score double")
     return top(scored, k, "query_id", "vec_id").select("query_id", "vec_id", "score", "rank")
 
 
@@ -111,7 +110,11 @@ def fuse(lexical: DataFrame, vector: DataFrame, k: int = 5) -> DataFrame:
     return top(scored, k, "query_id", "item")
 
 
-def similar(a: str, b: str, least: float = 0.6) -> bool:
+#: Fixed value: the ratio from which names are similar.
+LEAST = 0.6
+
+
+def similar(a: str, b: str, least: float = LEAST) -> bool:
     """Ratcliff-Obershelp ratio of at least ``least``, or an equal first word of over three letters.
 
     The ratio isn't symmetric; ``a`` is the earlier of the two. Cheaper bounds on it are tried first.
@@ -128,37 +131,35 @@ def similar(a: str, b: str, least: float = 0.6) -> bool:
 def similar_names(queries: DataFrame, names: DataFrame) -> DataFrame:
     """query_id, page_id of pages with a name similar to one of a query's; both: page_id, name.
 
-    Queries are sent to the tasks in blocks of BLOCK names, and each block meets every name once. A query
-    isn't compared with itself.
+    Blocks of queries meet blocks of names. Letters that two names have in common bound their similarity from above, and are counted for
+    all names of a block at once; only pairs that this leaves, or whose first words are equal, are compared. A query isn't
+    compared with itself.
     """
-    spark = names.sparkSession
-    asked = queries.select("page_id", "name").orderBy("page_id", "name").toLocalIterator()
-
-    def against(block: list[tuple[int, str]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                out = {
-                    (q, p)
-                    for p, name in zip(b["page_id"], b["name"])
-                    for q, asked_name in sent.value
-                    if q != p and (similar(asked_name, name) if q < p else similar(name, asked_name))
-                }
-                yield pd.DataFrame(sorted(out), columns=["query_id", "page_id"], dtype="int64")
-
-        return names.select("page_id", "name").mapInPandas(run, "query_id long, page_id long")
-
-    parts: list[DataFrame] = []
-    held: list[tuple[int, str]] = []
-    for row in asked:
-        held.append((row["page_id"], row["name"]))
-        if len(held) == BLOCK:
-            parts.append(against(held))
-            held = []
-    if held or not parts:
-        parts.append(against(held))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+
+    def letters(texts: list[str], place: dict[str, int]) -> np.ndarray:
+        out = np.zeros((len(texts), len(place)), dtype=np.int16)
+        for i, t in enumerate(texts):
+            for ch in t:
+                out[i, place[ch]] += 1
+        return out
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, rows in groups(batches, "block"):
+            asked, here = rows[rows["side"] == 0], rows[rows["side"] == 1]
+            texts, pages = here["name"].tolist(), here["page_id"].to_numpy()
+            place = {ch: i for i, ch in enumerate(sorted({ch for t in rows["name"] for ch in t}))}
+            counts, sizes = letters(texts, place), np.array([len(t) for t in texts])
+            heads = np.array([t.split(" ", 1)[0] for t in texts], dtype=object)
+            out = set()
+            for q, name in zip(asked["page_id"], asked["name"]):
+                common = np.minimum(counts, letters([name], place)).sum(axis=1)
+                near = (2 * common >= LEAST * (sizes + len(name)) - 1e-9) | (heads == name.split(" ", 1)[0])
+                for i in np.flatnonzero(near):
+                    p = pages[i]
+                    if q != p and (q, p) not in out and (similar(name, texts[i]) if q < p else similar(texts[i], name)):
+                        out.add((q, p))
+            yield pd.DataFrame(sorted(out), columns=["query_id", "page_id"], dtype="int64")
+
+    columns = ["page_id", "name"]
+    met = meeting(queries.select(F.col("page_id").cast("long"), "name"), names.select(F.col("page_id").cast("long"), "name"), columns)
+    return met.mapInPandas(run, "query_id long, page_id long").distinct()

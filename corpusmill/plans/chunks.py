@@ -180,6 +180,24 @@ def ocr_rows(spark, d):
     return C.image_text_rows(boxes, "l_orderkey", "l_quantity", "l_extendedprice", "text", 12.0)
 
 
+@CORE.query(
+    "ocr_texts",
+    """WITH boxes AS (SELECT l_orderkey AS image, l_extendedprice / 100 AS top, l_quantity AS lft, l_returnflag || l_linestatus || l_linenumber AS text, l_discount * 10 AS score,
+              max(l_extendedprice / 100) OVER (PARTITION BY l_orderkey) AS height FROM lineitem),
+            lines AS (SELECT image, floor(top / greatest(12.0, height / 60.0)) AS r, string_agg(text, ' ' ORDER BY lft, text) AS line FROM boxes WHERE score >= 0.5 AND height >= 80 GROUP BY ALL),
+            texts AS (SELECT image, string_agg(line, chr(10) ORDER BY r) AS text FROM lines GROUP BY image)
+       SELECT image, text FROM texts WHERE length(text) >= 16""",
+)
+def ocr_texts(spark, d):
+    """Order lines as boxes on an image: the price is how far down they are, the quantity how far right, the discount how sure."""
+    lines = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("image"), (F.col("l_extendedprice") / 100).alias("top"), F.col("l_quantity").alias("left"),
+        F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("text"), (F.col("l_discount") * 10).alias("score"),
+    )
+    sizes = lines.groupBy("image").agg(F.max("top").alias("height")).withColumn("width", F.lit(0.0))
+    return C.image_texts(lines.join(sizes, "image"))
+
+
 @CORE.query(
     "table_confidence",
     """WITH t AS (SELECT chunk_id, list_filter(string_split(replace(text, chr(13), ''), chr(10)), lambda x: starts_with(x, '|') AND NOT regexp_matches(x, '^[|: -]+$')) AS r FROM chunk WHERE text IS NOT NULL),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import manifest as M
 from corpusmill.plans.registry import CORE
-from corpusmill.session import table
+from corpusmill.session import keep, table
 
 LATEST = "(SELECT * FROM manifest_event QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC) = 1)"
 KIND = "lower(trim(event))"
@@ -41,9 +42,7 @@ DIFF_SQL = f"""
 
 def _diff(spark, d):
     """What a scan by timestamps sees against what the log by arrival says."""
-    e = events(spark, d)
-    by_time = e.where("timestamp is not null").groupBy("path").agg(F.max_by("hash", F.struct("timestamp", "seq")).alias("hash"))
-    return M.diff(by_time, M.latest_state(e))
+    return M.diff(_scan(spark, d), M.latest_state(events(spark, d)))
 
 
 @CORE.query("manifest_diff", DIFF_SQL)
@@ -102,27 +101,46 @@ def source_roots(spark, d):
     )
 
 
+SCAN_SQL = "SELECT path, hash FROM manifest_event WHERE timestamp IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY timestamp DESC, seq DESC) = 1"
+
+
+def _scan(spark, d):
+    return events(spark, d).where("timestamp is not null").groupBy("path").agg(F.max_by("hash", F.struct("timestamp", "seq")).alias("hash"))
+
+
 @CORE.query(
     "resume_filter",
-    f"""WITH done AS (SELECT DISTINCT path, hash FROM manifest_event WHERE {KIND} = 'ingested')
-        SELECT l.path, l.hash FROM {LATEST} l WHERE {KIND} <> 'deleted'
-        AND NOT EXISTS (SELECT 1 FROM done d WHERE d.path = l.path AND d.hash = l.hash)""",
+    f"""SELECT s.path, s.hash FROM ({SCAN_SQL}) s WHERE NOT (s.path IN (SELECT path FROM manifest_event WHERE {KIND} = 'ingested' AND path IS NOT NULL)
+        AND EXISTS (SELECT 1 FROM {LATEST} l WHERE l.path = s.path AND l.hash = s.hash))""",
 )
 def resume_filter(spark, d):
-    """Living files whose present content wasn't taken in when the file was first seen."""
+    """Scanned files that were never taken in, or whose content isn't that of their last event."""
     e = events(spark, d)
-    done = e.where(M.kind() == "ingested").select("path", "hash").distinct()
-    return M.alive(M.latest_state(e)).select("path", "hash").join(done, ["path", "hash"], "left_anti")
+    return M.to_do(_scan(spark, d), e.where(M.kind() == "ingested").select("path"), M.latest_state(e).select("path", "hash"))
 
 
-@CORE.query(
-    "pick_backfill",
-    f"SELECT path FROM {LATEST} WHERE {KIND} <> 'deleted' AND (contains(path, 'Risk Register') OR contains(path, 'Archive/')) ORDER BY path LIMIT 50",
-)
+def pick(keys, substrings: tuple[str, ...], limit: int):
+    """The first keys that have one of the substrings in them, or of all where none is asked for; a limit of 0 is none."""
+    hit = F.lit(not substrings)
+    for s in substrings:
+        hit = hit | F.col("path").contains(s)
+    found = keys.where(hit).select("path").orderBy("path")
+    return found.limit(limit) if limit else found
+
+
+PICKED = f"SELECT path FROM {LATEST} WHERE {KIND} <> 'deleted' AND (contains(path, 'Risk Register') OR contains(path, 'Archive/'))"
+
+
+@CORE.query("pick_backfill", f"{PICKED} ORDER BY path LIMIT 50")
 def pick_backfill(spark, d):
     """The first 50 living files whose key has one of two names in it (the limit is the feature)."""
-    hit = F.col("path").contains("Risk Register") | F.col("path").contains("Archive/")
-    return M.alive(M.latest_state(events(spark, d))).where(hit).select("path").orderBy("path").limit(50)
+    return pick(M.alive(M.latest_state(events(spark, d))), ("Risk Register", "Archive/"), 50)
+
+
+@CORE.query("pick_all", PICKED)
+def pick_all(spark, d):
+    """All of them: a limit of 0 is none."""
+    return pick(M.alive(M.latest_state(events(spark, d))), ("Risk Register", "Archive/"), 0)
 
 
 @CORE.query(
@@ -145,6 +163,7 @@ def display_names(spark, d):
     return events(spark, d).select("path").distinct().select("path", T.display_name(M.stem(M.file_name(F.col("path")))).alias("display_name"))
 
 
+#: The marks of file names as in operators/manifest.py.
 def _fixpoint(rounds: int = 12) -> str:
     mark = "'(\\s*-?\\s*copy\\b|\\s*\\(\\d+\\)|\\s*[_-]1)\\s*$'"
     sql = "lower(trim(stem))"
@@ -194,9 +213,23 @@ def dedup_versions(spark, d):
 )
 def dedup_proposal(spark, d):
     """Removals by the file that stays and the reason."""
-    v = _variants(spark, d)
-    removals = M.artifact_removals(v).withColumn("reason", F.lit("artifact")).unionByName(M.version_removals(v).withColumn("reason", F.lit("version")))
-    return removals.groupBy("keep", "reason").agg(F.count("*").alias("n_remove"), F.min("remove").alias("first_remove"))
+    return _removals(spark, d).groupBy("keep", "reason").agg(F.count("*").alias("n_remove"), F.min("remove").alias("first_remove"))
+
+
+def _removals(spark, d):
+    v = keep(_variants(spark, d), "variants")
+    return M.artifact_removals(v).withColumn("reason", F.lit("artifact")).unionByName(M.version_removals(v).withColumn("reason", F.lit("version")))
+
+
+@CORE.query(
+    "dedup_removals",
+    f"""WITH {VARIANTS_SQL}, {ARTIFACTS_SQL}, {VERSIONS_SQL}, removals AS (SELECT keep, remove, 'artifact' AS reason FROM artifacts UNION ALL SELECT keep, remove, 'version' FROM versions)
+        SELECT keep, reason, CAST(row_number() OVER (PARTITION BY keep, reason ORDER BY remove) AS INTEGER) AS nth, remove FROM removals""",
+)
+def dedup_removals(spark, d):
+    """The proposal as a list: what to remove for each file that stays, in order of names."""
+    nth = F.row_number().over(Window.partitionBy("keep", "reason").orderBy("remove"))
+    return _removals(spark, d).select("keep", "reason", nth.alias("nth"), "remove")
 
 
 @CORE.query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators import retrieval as R
@@ -60,18 +61,35 @@ def hybrid_rrf(spark, d):
     return R.fuse(lexical, vector, 5).select("query_id", "item", "score", "rank")
 
 
+#: Results asked for by default and at most, how many more are fetched, and pages that only lead to others.
+TOP, MOST, MORE, NAVIGATION = 5, 25, 2, ("index.md", "log.md")
+
+
+def search_depth(top_k: int) -> tuple[int, int]:
+    """How many results come back, and how many hits are fetched for them."""
+    k = max(1, min(int(top_k), MOST))
+    return k, min(k + MORE, MOST)
+
+
 @CORE.query(
     "search_results",
-    "WITH " + BM25.replace("{K}", "7") + """
+    "WITH " + BM25.replace("{K}", "7") + """,
+    placed AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, source, doc_type, text FROM lexical JOIN documents USING (doc_id)
+               WHERE source IS NOT NULL AND doc_type IS NOT NULL AND coalesce(relative_path, '') NOT IN ('index.md', 'log.md'))
     SELECT query_id, rank, '[' || rank || '] ' || source || ' / ' || doc_type || CASE WHEN length(text) > 0 THEN ': ' || regexp_replace(text[1:60], '[^A-Za-z]+', ' ', 'g') ELSE '' END AS line
-    FROM lexical JOIN documents USING (doc_id) WHERE rank <= 5 AND source IS NOT NULL AND doc_type IS NOT NULL""",
+    FROM placed WHERE rank <= 5""",
 )
 def search_results(spark, d):
-    """Hits as lines of text: two more than asked for are fetched, what has no place is dropped, the rest is cut to five."""
-    docs = table(spark, d, "documents").select("doc_id", "source", "doc_type", "text")
+    """Hits as lines of text: two more than asked for are fetched, what has no place or only leads elsewhere is dropped, the rest is cut to five."""
+    k, fetched = search_depth(TOP)
+    docs = table(spark, d, "documents").select("doc_id", "source", "doc_type", "text", "relative_path")
+    placed = _lexical(spark, d, fetched).withColumnRenamed("rank", "hit").join(docs, "doc_id").where("source is not null and doc_type is not null").where(
+        ~F.coalesce("relative_path", F.lit("")).isin(*NAVIGATION)
+    )
+    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("hit"))).where(F.col("rank") <= k)
     head = F.when(F.length("text") > 0, F.concat(F.lit(": "), F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z]+", " "))).otherwise(F.lit(""))
     line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "source", F.lit(" / "), "doc_type", head)
-    return _lexical(spark, d, 7).where("rank <= 5").join(docs, "doc_id").where("source is not null and doc_type is not null").select("query_id", "rank", line.alias("line"))
+    return ranked.select("query_id", "rank", line.alias("line"))
 
 
 @CORE.query("similar_pages")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import search_text as S
@@ -82,8 +83,7 @@ def link_stubs(spark, d):
 )
 def dedup_events(spark, d):
     """The removals of a proposal as deletions for the log, with the content they remove."""
-    v = PM._variants(spark, d)
-    removals = M.artifact_removals(v).withColumn("reason", F.lit("artifact")).unionByName(M.version_removals(v).withColumn("reason", F.lit("version")))
+    removals = PM._removals(spark, d)
     state = M.alive(M.latest_state(PM.events(spark, d))).select("path", "hash", "location")
     return removals.join(state, F.col("remove") == F.col("path")).select("path", F.lit("deleted").alias("event"), "hash", "reason", "keep", "location")
 
@@ -168,3 +168,111 @@ def page_texts(spark, d):
         n(S.without_frontmatter(F.concat(head, "body"))).alias("n_unfenced"),
         n(S.clean_snippet(F.concat(F.lit("@@ -1,4 +1,4 @@\n"), head, "body"))).alias("n_snippet"),
     )
+
+
+# --- writes --------------------------------------------------------------------------------------------
+
+#: Each document is written to the place of the one before it in its folder, as a new version of it.
+WRITES = """order_of AS (SELECT doc_id, text, lag(doc_id) OVER w AS before, 'wiki/' || coalesce(relative_path, '') AS path FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
+      WINDOW w AS (PARTITION BY source, regexp_replace(relative_path, '[^/]*$', '') ORDER BY ingested_at, doc_id)),
+    writes AS (SELECT o.doc_id, o.path, o.text AS content, b.text AS existing FROM order_of o LEFT JOIN documents b ON b.doc_id = o.before)"""
+NOTES = "(?i)supersed|contradict|revis|no longer|replaced by"
+LINES = "(length({0}) - length(replace({0}, chr(10), '')) + 1)"
+REASON = f"""CASE WHEN regexp_matches(path, '(^|/)\\.\\.(/|$)') OR NOT starts_with(path, 'wiki/') THEN 'outside' WHEN regexp_matches(content, '(/Users/|/home/|[A-Za-z]:\\\\|OneDrive/\\S)') THEN 'raw path'
+    WHEN existing IS NOT NULL AND {LINES.format('existing')} >= 4 AND {LINES.format('content')} * 2 < {LINES.format('existing')} AND NOT regexp_matches(content, '{NOTES}') THEN 'truncated' END"""
+
+
+def _writes(spark, d):
+    docs = table(spark, d, "documents").where("text is not null and doc_id is not null")
+    before = Window.partitionBy("source", F.regexp_replace("relative_path", "[^/]*$", "")).orderBy("ingested_at", "doc_id")
+    order = docs.select("doc_id", "source", "relative_path", "ingested_at").select("doc_id", F.lag("doc_id").over(before).alias("before"))
+    old = docs.select(F.col("doc_id").alias("before"), F.col("text").alias("existing"))
+    new = docs.select("doc_id", F.concat(F.lit("wiki/"), F.coalesce("relative_path", F.lit(""))).alias("path"), F.col("text").alias("content"))
+    return new.join(order, "doc_id").join(old, "before", "left").drop("before")
+
+
+@CORE.query("validate_writes", f"WITH {WRITES} SELECT doc_id, coalesce({REASON}, 'ok') AS verdict FROM writes")
+def validate_writes(spark, d):
+    """Whether each text may be written over the one before it in its folder."""
+    return _writes(spark, d).select("doc_id", F.coalesce(W.rejection(F.col("path"), F.col("content"), F.col("existing")), F.lit("ok")).alias("verdict"))
+
+
+ACTIONS = f"""{WRITES}, slugs AS (SELECT DISTINCT {PW.key_sql("regexp_replace(regexp_extract(path, '[^/]*$'), '[.][^.]*$', '')")} AS target FROM writes UNION SELECT DISTINCT {PW.key_sql('slug')} FROM wiki_page WHERE slug IS NOT NULL),
+    asked AS (SELECT doc_id, path, content, existing, {REASON} AS reason, regexp_extract(path, '[^/]*$') AS name FROM writes),
+    linked AS (SELECT doc_id, count(*) FILTER (WHERE t NOT IN (SELECT target FROM slugs)) AS n_unlinked FROM (SELECT doc_id, {PW.key_sql('raw')} AS t FROM (SELECT doc_id, unnest(regexp_extract_all(content, {PW.LINK}, 1)) AS raw FROM writes)) GROUP BY doc_id),
+    actions AS (SELECT a.doc_id, CASE WHEN name = 'index.md' THEN 'dropped' WHEN name = 'log.md' THEN 'appended' WHEN reason IS NOT NULL THEN 'rejected' WHEN existing IS NULL THEN 'written' ELSE 'updated' END AS action,
+                  CASE WHEN name IN ('index.md', 'log.md') THEN NULL ELSE reason END AS reason, coalesce(l.n_unlinked, 0) AS n_unlinked FROM asked a LEFT JOIN linked l ON l.doc_id = a.doc_id)"""
+
+
+def _actions(spark, d):
+    return W.write_actions(_writes(spark, d), PW.pages(spark, d).select("slug"), "doc_id")
+
+
+@CORE.query("write_actions", f"WITH {ACTIONS} SELECT * FROM actions")
+def write_actions(spark, d):
+    """What becomes of each write, and how many links in it lead neither to a page nor to one of the batch."""
+    return _actions(spark, d).select("doc_id", "action", "reason", "n_unlinked")
+
+
+@CORE.query("write_summary", f"WITH {ACTIONS} SELECT action, coalesce(reason, '') AS reason, count(*) AS n_writes FROM actions GROUP BY ALL")
+def write_summary(spark, d):
+    return _actions(spark, d).groupBy("action", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n_writes"))
+
+
+@CORE.query(
+    "merged_aliases",
+    f"""WITH {PW.PAGES}, grouped AS (SELECT {PW.key_sql('title')} AS t, min(slug) AS canonical FROM pages WHERE {PW.key_sql('title')} <> '' GROUP BY 1 HAVING count(*) > 1)
+        SELECT DISTINCT canonical, alias FROM (SELECT g.canonical, {PW.strip_sql('a')} AS alias FROM grouped g JOIN (SELECT title, unnest(aliases) AS a FROM pages) p ON {PW.key_sql('p.title')} = g.t WHERE {PW.key_sql('a')} <> g.t
+          UNION ALL SELECT g.canonical, {PW.strip_sql('p.title')} FROM grouped g JOIN pages p ON {PW.key_sql('p.title')} = g.t) WHERE alias <> ''""",
+)
+def merged_aliases(spark, d):
+    """The names that the first of several pages of one title has after they are merged: the aliases of all, and their titles."""
+    p = PW.pages(spark, d).withColumn("t", W.page_key(F.col("title"))).where("t <> ''")
+    grouped = p.groupBy("t").agg(F.min("slug").alias("canonical"), F.count("*").alias("n")).where("n > 1").select("t", "canonical")
+    aliases = p.select("t", F.explode("aliases").alias("a")).where(W.page_key(F.col("a")) != F.col("t")).select("t", T.strip(F.col("a")).alias("alias"))
+    return grouped.join(aliases.unionByName(p.select("t", T.strip(F.col("title")).alias("alias"))), "t").where("alias <> ''").select("canonical", "alias").distinct()
+
+
+CLEANED = f"""every AS (SELECT * FROM wiki_page QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY rel_path) = 1),
+    doubles AS (SELECT p.page_id, {PW.key_sql('p.slug')} AS target, '[[' || s.slug || ']]' AS text FROM every p JOIN (SELECT {PW.key_sql('title')} AS t, max(slug) AS slug FROM every WHERE folder = 'sources' AND {PW.key_sql('title')} <> '' GROUP BY 1) s
+                ON s.t = {PW.key_sql('p.title')} WHERE p.folder = 'concepts'),
+    pages AS (SELECT * FROM every WHERE NOT (coalesce(tags = ['stub'], false) OR contains(coalesce(body, ''), 'auto-generated stub')) AND page_id NOT IN (SELECT page_id FROM doubles))"""
+
+
+@CORE.query(
+    "cleaned_pages",
+    PW._rewritten("SELECT target, min(text) AS text FROM doubles GROUP BY target UNION ALL SELECT DISTINCT target, NULL FROM links WHERE target NOT IN (SELECT target FROM known) AND target NOT IN (SELECT target FROM doubles)", CLEANED),
+)
+def cleaned_pages(spark, d):
+    """The pages that are left when the clean-up is applied: without stubs and doubles of sources, links led to the source or made plain text."""
+    return PW._hashed(W.cleaned(PW.pages(spark, d)))
+
+
+@CORE.query(
+    "chunk_contexts",
+    """SELECT chunk_id, CASE WHEN len(meta.slides) > 0 THEN 'slides ' || array_to_string(meta.slides, ',') WHEN meta.slide IS NOT NULL THEN 'slide ' || meta.slide
+              WHEN coalesce(meta.heading_path, '') = '' AND meta.page IS NULL THEN 'document'
+              ELSE concat_ws(' · ', nullif(meta.heading_path, ''), 'page ' || meta.page) END AS context FROM chunk""",
+)
+def chunk_contexts(spark, d):
+    """Where in its document a chunk stands, in words."""
+    m = F.col("meta")
+    place = F.concat_ws(" · ", F.nullif(m["heading_path"], F.lit("")), F.concat(F.lit("page "), m["page"].cast("string")))
+    context = F.when(F.size(m["slides"]) > 0, F.concat(F.lit("slides "), F.array_join(m["slides"], ","))).when(m["slide"].isNotNull(), F.concat(F.lit("slide "), m["slide"].cast("string"))).otherwise(
+        F.when(place == "", "document").otherwise(place)
+    )
+    return table(spark, d, "chunk").select("chunk_id", context.alias("context"))
+
+
+DIGEST_CHARS = 20_000
+
+
+@CORE.query(
+    "pages_digest",
+    f"""WITH {PW.PAGES}, lines AS (SELECT folder, slug, page_id, '  [[' || slug || ']] ' || CASE WHEN coalesce(title, '') <> '' THEN title ELSE slug END
+          || CASE WHEN folder = 'entities' AND coalesce(entity_type, '') <> '' THEN ' (' || entity_type || ')' WHEN folder = 'concepts' AND coalesce(domain, '') <> '' THEN ' (' || domain || ')' ELSE '' END AS line FROM pages WHERE slug IS NOT NULL)
+        SELECT slug, line FROM (SELECT *, sum(length(line) + 1) OVER (ORDER BY folder, slug, page_id ROWS UNBOUNDED PRECEDING) AS upto FROM lines) WHERE upto <= {DIGEST_CHARS}""",
+)
+def pages_digest(spark, d):
+    """The list of pages that a prompt has room for (its length is the feature): what fits of the first lines, by folder and slug."""
+    return W.digest(PW.pages(spark, d), DIGEST_CHARS)

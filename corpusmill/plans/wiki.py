@@ -173,7 +173,7 @@ def _case_sql(c: str) -> str:
 
 
 _B1, _B2, _B3 = _title_sql()
-TITLES = f"""words AS (SELECT list(word) AS q FROM (SELECT lower(value) AS word FROM vocab WHERE field IN ('entity_type', 'domain') UNION SELECT 'person' UNION SELECT 'company' UNION SELECT 'client')),
+TITLES = f"""words AS (SELECT list(word) AS q FROM (SELECT lower(value) AS word FROM vocab WHERE field IN ('entity_type', 'domain') UNION SELECT 'person' UNION SELECT 'company' UNION SELECT 'client' UNION SELECT 'tool')),
     t0 AS (SELECT page_id, title, slug, q, {strip_sql("coalesce(title, '')")} AS b0 FROM pages, words),
     t1 AS (SELECT *, {_B1} AS b1 FROM t0), t2 AS (SELECT *, {_B2} AS b2 FROM t1), t3 AS (SELECT *, {_B3} AS b FROM t2),
     titles AS (SELECT page_id, title, CASE WHEN b = '' THEN {_case_sql('slug')}
@@ -183,7 +183,7 @@ TITLES = f"""words AS (SELECT list(word) AS q FROM (SELECT lower(value) AS word
 def _titles(spark, d):
     """Words that qualify a title are entity types and domains, and what people call these."""
     rows = vocab(spark, d).where("field in ('entity_type', 'domain')").select(F.lower("value").alias("v")).distinct().orderBy("v").collect()
-    words = F.array(*[F.lit(r["v"]) for r in rows], F.lit("person"), F.lit("company"), F.lit("client"))
+    words = F.array(*[F.lit(r["v"]) for r in rows], F.lit("person"), F.lit("company"), F.lit("client"), F.lit("tool"))
     return pages(spark, d).select("page_id", "title", W.normal_title(F.col("title"), F.col("slug"), words).alias("normalized"))
 
 
@@ -261,7 +261,7 @@ def unresolved_relations(spark, d):
 def resolved_relations(spark, d):
     """The relations that stay when those to nothing are filtered out."""
     p = pages(spark, d)
-    kinds = F.broadcast(vocab(spark, d).where("field = 'relation'").select(F.col("value").alias("relation")))
+    kinds = (vocab(spark, d).where("field = 'relation'").select(F.col("value").alias("relation")))
     return W.relations(p).join(kinds, "relation", "left_semi").join(W.known_slugs(p), "target", "left_semi").select("page_id", "ord", "relation", "target")
 
 
@@ -364,22 +364,6 @@ def page_excerpts(spark, d):
     return pages(spark, d).where("body is not null").select("page_id", W.excerpt(F.col("body"), 300).alias("excerpt"))
 
 
-@CORE.query(
-    "validate_writes",
-    f"""WITH {PAGES}, w AS (SELECT page_id, body AS old, CASE WHEN page_id % 2 = 0 THEN body[1:200] ELSE body END AS new FROM pages WHERE body IS NOT NULL)
-        SELECT page_id, CASE WHEN regexp_matches(new, '(/Users/|/home/|[A-Za-z]:\\\\|OneDrive/\\S)') THEN 'raw path'
-               WHEN len(string_split({strip_sql('old')}, chr(10))) >= 3 AND length({strip_sql('new')}) * 2 < length({strip_sql('old')}) AND NOT contains(lower(new), 'contradict') THEN 'truncated' ELSE 'ok' END AS verdict FROM w""",
-)
-def validate_writes(spark, d):
-    """New bodies of all pages against the old ones; those of even pages come back cut short."""
-    old, new = T.strip(F.col("old")), T.strip(F.col("new"))
-    w = pages(spark, d).where("body is not null").select(
-        "page_id", F.col("body").alias("old"), F.when(F.col("page_id") % 2 == 0, F.substring("body", 1, 200)).otherwise(F.col("body")).alias("new")
-    )
-    short = (F.size(F.split(old, "\n", -1)) >= 3) & (F.length(new) * 2 < F.length(old)) & ~F.lower("new").contains("contradict")
-    return w.select("page_id", F.when(F.col("new").rlike(W.RAW_PATH), "raw path").when(short, "truncated").otherwise("ok").alias("verdict"))
-
-
 # --- the dashboard ------------------------------------------------------------------------------------
 
 
