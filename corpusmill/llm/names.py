@@ -18,9 +18,10 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.frames import groups
 from corpusmill.llm.canonical import fold
 from corpusmill.llm.graph import components
-from corpusmill.llm.tries import Automaton, Trie, groups, within
+from corpusmill.llm.tries import Automaton, Trie, within
 from corpusmill.session import keep, release, tasks
 
 #: Letters from which two edits are allowed; entries and queries of a block of a shard.
