@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import strip
-from corpusmill.llm.tries import Automaton, Trie, groups
+from corpusmill.functions.frames import groups
+from corpusmill.llm.tries import Automaton, Trie
 from corpusmill.session import tasks
 
 #: Entries of a reference list that are sent to every task; longer lists are cut into parts of as many.
