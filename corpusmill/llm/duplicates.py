@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions.text import strip
 from corpusmill.llm.canonical import fold
 from corpusmill.llm.graph import components
-from corpusmill.functions.frames import groups
+from corpusmill.functions.frames import groups, runs
 from corpusmill.operators.changes import current_files
 from corpusmill.session import keep, release, tasks
 
@@ -201,11 +201,10 @@ def consensus_values(values: DataFrame) -> DataFrame:
 
     def nearest(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
-        for _, rows in groups(batches, "key"):
-            texts, weights = rows["value"].tolist(), rows["weight"].tolist()
+        for _, (group, field, texts, weights) in runs(batches, "key", ["group", "field", "value", "weight"]):
             middle = agreed(texts, weights)
             best = min(zip(texts, weights), key=lambda x: (distance(tokens_of(x[0]), middle), -x[1], x[0]))[0]
-            out.append((rows["group"].iat[0], rows["field"].iat[0], best))
+            out.append((group[0], field[0], best))
         yield pd.DataFrame(out, columns=["group", "field", "value"])
 
     schema = "group string, field string, value string"

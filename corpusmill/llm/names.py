@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.frames import groups
+from corpusmill.functions.frames import runs
 from corpusmill.llm.canonical import fold
 from corpusmill.llm.graph import components
 from corpusmill.llm.tries import Automaton, Trie, within
@@ -140,12 +140,13 @@ def trie_join(entries: DataFrame, queries: DataFrame, edits: int) -> DataFrame:
         .select("shard", "side", "word", "n_queries", (F.col("n") - F.col("n_queries")).alias("n_entries"))
     )
 
-    def pairs(rows: pd.DataFrame) -> list[tuple[str, str, int]]:
-        words, sides = rows["word"].to_numpy(), rows["side"].to_numpy()
+    def pairs(words: list[str], sides: list[int]) -> list[tuple[str, str, int]]:
         tries: dict[int, Trie] = {}  # by the bound for the length of an entry
-        for w in words[sides == 0]:
-            tries.setdefault(min(edits, bound(len(w))), Trie()).add(w, w)
-        return [(q, e, d) for q in words[sides == 1] for k, trie in tries.items() for e, d in trie.accepted(automaton(q, k)) if e != q]
+        for w, side in zip(words, sides):
+            if side == 0:
+                tries.setdefault(min(edits, bound(len(w))), Trie()).add(w, w)
+        asked = [w for w, side in zip(words, sides) if side == 1]
+        return [(q, e, d) for q in asked for k, trie in tries.items() for e, d in trie.accepted(automaton(q, k)) if e != q]
 
     def walk(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         heavy: list[pd.DataFrame] = []
@@ -159,8 +160,8 @@ def trie_join(entries: DataFrame, queries: DataFrame, edits: int) -> DataFrame:
                 yield b
 
         out: list[tuple[str, str, int]] = []
-        for _, rows in groups(light(), "shard"):
-            out += pairs(rows)
+        for _, (words, sides) in runs(light(), "shard", ["word", "side"]):
+            out += pairs(words, sides)
             if len(out) > 10_000 or heavy:
                 yield pd.DataFrame(out, columns=["query", "entry", "distance"])
                 for h in heavy:  # rows of shards with much work go through as they are
@@ -188,8 +189,8 @@ def trie_join(entries: DataFrame, queries: DataFrame, edits: int) -> DataFrame:
     )
 
     def meet(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, rows in groups(batches, "shard"):
-            yield pd.DataFrame(pairs(rows), columns=["query", "entry", "distance"])
+        for _, (words, sides) in runs(batches, "shard", ["word", "side"]):
+            yield pd.DataFrame(pairs(words, sides), columns=["query", "entry", "distance"])
 
     met = grid.select(F.concat_ws("/", "entry", "i", "j").alias("shard"), "side", "word").repartition(n_tasks, "shard").sortWithinPartitions("shard", "side")
     return near.unionByName(met.mapInPandas(meet, "query string, entry string, distance int")).distinct()
@@ -370,8 +371,8 @@ def link_names(pages: DataFrame) -> DataFrame:
 
     def entities(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
-        for a, rows in groups(batches, "anchor"):
-            given_sets = [tuple(x) for x in rows["attributes"]]
+        for a, (sets_,) in runs(batches, "anchor", ["attributes"]):
+            given_sets = [tuple(x) for x in sets_]
             to = resolve(given_sets)
             out += [(a, list(s), " ".join((a, *to[s]))) for s in given_sets]
             if len(out) > 10_000:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.frames import groups
+from corpusmill.functions.frames import runs
 from corpusmill.functions.text import strip
 from corpusmill.llm.scans import code
 from corpusmill.llm.tries import Trie
@@ -178,15 +178,15 @@ def cut_words(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
     def walk(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, block in groups(batches, "key"):
-            words, sides, counts = (block[c].to_numpy() for c in ("token", "side", "n"))
-            if not (sides == 1).any():
+        for _, (words, sides, counts) in runs(batches, "key", ["token", "side", "n"]):
+            if 1 not in sides:
                 continue
             trie = Trie()
-            for w, n in zip(words[sides == 0], counts[sides == 0]):
-                trie.add(w, (w, int(n)))
+            for w, side, n in zip(words, sides, counts):
+                if side == 0:
+                    trie.add(w, (w, n))
             out = []
-            for t in words[sides == 1]:
+            for t in (w for w, side in zip(words, sides) if side == 1):
                 node = trie.find(t)
                 most = max((n for w, n in node.below() if w != t), default=0) if node is not None else 0
                 if most:
