@@ -53,6 +53,8 @@ AROUND = {"the", "mr", "mrs", "ms", "mx", "dr", "prof", "phd", "msc", "mba", "jr
 SHORT = {short: full for full, shorts in NICKNAMES.items() for short in shorts.split() if sum(short in s.split() for s in NICKNAMES.values()) == 1}
 MANY = {short: [full for full, s in NICKNAMES.items() if short in s.split()] for shorts in NICKNAMES.values() for short in shorts.split()}
 GIVEN = set(NICKNAMES)
+#: Short forms that are a beginning of the full form.
+BEGUN = sorted({full[:k] for full in NICKNAMES for k in range(3, len(full))})
 
 _REMARK = regex.compile(r"\s*[\(\[][^)\]]*[\)\]]\s*$")
 _ROLE = regex.compile(r"(?<=\S\s\S.*|\S{4})\s+[-–—]\s+\S.*$")
@@ -354,7 +356,7 @@ def link_names(pages: DataFrame) -> DataFrame:
     # Names without a long word of their own: a short surname, else two given names beside each other.
     kind = (
         F.when((F.length("word") >= 5) & ~given & ~form, 0)
-        .when((F.length("word") >= 3) & ~given & ~form & ~F.col("word").isin(*MANY) & (F.size("words") > 1), 1)
+        .when((F.length("word") >= 3) & ~given & ~form & ~F.col("word").isin(*MANY, *BEGUN) & (of(2) > 1), 1)
         .when((F.length("word") >= 3) & given & (of(3) > 1), 2)
     )
     anchor = (
