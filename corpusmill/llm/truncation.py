@@ -14,6 +14,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +33,7 @@ RARE, BLOCK_WORDS = 10_000, 4_096
 #: Distinct entries that a task counts before it passes them on; last lines that are sent to every task at once.
 FLUSH, SENT_LINES = 200_000, 100_000
 
-MARK = re.compile(r"\s*(?:\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\)|[\[(<]\s*(?:truncated|cut|cut off|gekürzt|tronqué|truncado|continued|more|snip)\s*[\])>]|…|\.{3,})\s*$", re.I)
+MARK = re.compile(r"(?:\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\)|[\[(<]\s*(?:truncated|cut|cut off|gekürzt|tronqué|truncado|continued|more|snip)\s*[\])>]|…|\.{3,})\s*$", re.I)
 DONE = re.compile(r"[.!?:;。！？][\"'”’»)\]*_]*$")
 ITEM = re.compile(r"^\s*(?:[-•*+–]|\d{1,3}[.)])\s")
 HEADING = re.compile(r"^\s*(?:#{1,6}\s|Slide \d+:|\d{1,2}\.\s\S{1,40}(?:\s\S{1,20}){0,4}$)")
@@ -48,12 +49,23 @@ def clean(token: str) -> str:
     return t if LETTERS.fullmatch(t) else ""
 
 
+def mark_of(body: str) -> re.Match | None:
+    """The mark of a cut at the end of a text, which is looked for only where one may begin."""
+    last = body[-1]
+    if last in "])>":
+        begin = max(map(body.rfind, "[(<"))
+        return MARK.match(body, begin) if begin >= 0 else None
+    if last not in "….":
+        return None
+    return MARK.match(body, len(body) - 1 if last == "…" else len(body.rstrip(".")))
+
+
 def ending(text: str) -> dict | None:
     """What the end of a text looks like; None for blank texts."""
     body = text.rstrip()
     if not body:
         return None
-    mark = MARK.search(body)
+    mark = mark_of(body)
     rest = body[: mark.start()].rstrip() if mark else body
     lines = rest.splitlines() or [""]
     last = lines[-1]
@@ -63,7 +75,7 @@ def ending(text: str) -> dict | None:
         kind = "broken character"
     elif body.endswith("```"):
         kind = "code"
-    elif sum(ln.lstrip().startswith("```") for ln in lines) % 2:
+    elif "```" in rest and sum(ln.lstrip().startswith("```") for ln in lines) % 2:
         kind = "open code"
     elif last.lstrip().startswith("|"):
         kind = "row" if last.rstrip().endswith("|") else "open row"
@@ -83,7 +95,7 @@ def ending(text: str) -> dict | None:
     return {
         "mark": (mark.group().strip() if mark else ""),
         "kind": kind,
-        "done": bool(DONE.search(rest)),
+        "done": bool(DONE.search(token)),
         "token": clean(token) if token[-1:].isalpha() else "",
         "opening": " ".join(words[:2]).lower(),
         "n_words": len(words),
@@ -202,10 +214,22 @@ def cut_words(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return longer.join(own, "token", "left").where((F.coalesce("n", F.lit(0)) < KNOWN) | (F.col("n") * RARE < F.col("most"))).select("token")
 
 
-def going_on(text: str, lines: dict[str, set[int]], known: set[str]) -> set[str]:
-    """Those of the ``known`` lines with which a line or sentence begins that goes on; ``lines``: first character -> lengths."""
+def lookout(known: set[str]) -> ahocorasick.Automaton:
+    """Finds texts that have one of the ``known`` lines anywhere, once white space is single blanks."""
+    found = ahocorasick.Automaton()
+    for line in known:
+        found.add_word(line, True)
+    found.make_automaton()
+    return found
+
+
+def going_on(text: str, lines: dict[str, set[int]], known: set[str], anywhere: ahocorasick.Automaton) -> set[str]:
+    """Those of the ``known`` lines (not none) with which a line or sentence begins that goes on; ``lines``: first character -> lengths."""
     found: set[str] = set()
-    for piece in BEGIN.split(text.lower()):
+    lower = text.lower()
+    if next(anywhere.iter(" ".join(lower.split())), None) is None:
+        return found
+    for piece in BEGIN.split(lower):
         bare = piece.lstrip()
         for p in {bare, bare.lstrip("-–•*+#>|\"'“„«( \t")}:
             if lengths := lines.get(p[:1]):
@@ -236,8 +260,9 @@ def closing_notes(docs: DataFrame, ends: DataFrame) -> DataFrame:
             sizes: defaultdict[str, set[int]] = defaultdict(set)
             for line in known:
                 sizes[line[0]].add(len(line))
+            anywhere = lookout(known)
             for batch in batches:
-                rows = [(line, h) for text, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for line in going_on(text, sizes, known)]
+                rows = [(line, h) for text, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for line in going_on(text, sizes, known, anywhere)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["line", "text_hash"])
 
         return texts.mapInArrow(run, "line string, text_hash long")
@@ -247,7 +272,9 @@ def closing_notes(docs: DataFrame, ends: DataFrame) -> DataFrame:
     longer = None
     for i in range(n_passes):
         part = shared.where(F.pmod(F.xxhash64("line"), F.lit(n_passes)) == i)
-        found = hits(context.broadcast({r["line"] for r in part.select("line").collect()}))
+        if not (lines := {r["line"] for r in part.select("line").collect()}):
+            continue
+        found = hits(context.broadcast(lines))
         longer = found if longer is None else longer.unionByName(found)
     if longer is None:
         return shared.select("line")
