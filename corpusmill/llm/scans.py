@@ -15,6 +15,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -44,6 +45,7 @@ _FORM = re.compile(r"^\s*(?:[-–—~•|\[(]*\s*)(?:(?:page|seite|página|pagin
 _BARE = re.compile(r"^\s*\d{1,9}\s*$")
 _ROMAN = re.compile(r"^\s*(?=[ivxl])x{0,4}(?:ix|iv|v?i{0,3})\s*$|^\s*(?=[IVXL])X{0,4}(?:IX|IV|V?I{0,3})\s*$")
 _TRAILING = re.compile(r"(?:\s{2,}|\t|\s[|·•–—-]\s*)(?:(?:page|seite|página|pg\.?|p\.|s\.)\s*)?([\dlIoOS]{1,9})\s*$|^\s*(?:(?:page|seite|página|pg\.?|p\.|s\.)\s*)?(\d{1,9})(?:\s{2,}|\t|\s[|·•–—-]\s)\S", re.I)
+_DIGIT = re.compile(r"\d")
 _STOP = re.compile(r"[.!?:;…][\"'”’»)\]]*$")
 _LIST = re.compile(r"^\s*(?:[-•*+–]|\d{1,3}[.)])\s|^\s*\|")
 #: Forms that no word is written in: a digit, dagger or bar between letters; vv hardly ever is.
@@ -66,6 +68,7 @@ def code(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
+@lru_cache(maxsize=FLUSH)
 def clean(token: str) -> str:
     t = token.strip(_EDGE).lower()
     return t if any(ch.isalpha() for ch in t) else ""
@@ -75,8 +78,11 @@ def lines_of(text: str) -> list[str]:
     return re.split(r"\r\n|\n|\r", text)
 
 
+def squeeze(text: str) -> str:
+    return " ".join(text.split()).lower()
+
+
 def headings(path: str | None) -> set[str]:
-    squeeze = lambda s: re.sub(r"\s+", " ", s).strip().lower()
     return {squeeze(path), *(squeeze(p) for p in path.split(">"))} if path else set()
 
 
@@ -176,7 +182,7 @@ _ODD, _SURE = [p for p in MISREAD if not p[0].isalpha()], MISREAD[:12]
 
 
 def _set_right(word: str, pairs: Iterable[tuple[str, str]]) -> set[str]:
-    return {word[:i] + b + word[i + len(a) :] for a, b in pairs for i in range(len(word)) if word.startswith(a, i)}
+    return {word[:i] + b + word[i + len(a) :] for a, b in pairs if a in word for i in range(len(word)) if word.startswith(a, i)}
 
 
 def readings(word: str) -> set[str]:
@@ -277,7 +283,7 @@ class Layout:
 
 
 def number_kind(line: str, alone: bool) -> str:
-    if not any(ch.isdigit() for ch in line) and len(line.strip()) > 8:
+    if not _DIGIT.search(line) and len(line.strip()) > 8:
         return "none"
     if len(line) <= 60 and _FORM.match(line):
         return "form"
@@ -295,12 +301,13 @@ def features_of(lines: list[str], repeats: dict[int, int], path: str | None) ->
     width = lengths[int(0.9 * (len(lengths) - 1))] if lengths else 0
     titles = headings(path)
     out = []
-    numeric = lambda k: bool(_BARE.match(lines[k]) or _ROMAN.match(lines[k]))
+    numeric = [bool(_BARE.match(lines[i]) or _ROMAN.match(lines[i])) for i in at]
     for k, i in enumerate(at):
         ln = lines[i].rstrip()
-        alone = not any(0 <= m < len(at) and numeric(at[m]) and abs(at[m] - i) == 1 for m in (k - 1, k + 1))
+        above, below = k > 0 and numeric[k - 1] and at[k - 1] == i - 1, k + 1 < len(at) and numeric[k + 1] and at[k + 1] == i + 1
+        alone = not (above or below)
         n = repeats.get(i, 0)
-        heading = re.sub(r"\s+", " ", ln).strip().lower() in titles
+        heading = bool(titles) and squeeze(ln) in titles
         out.append((
             i,
             (
