@@ -127,17 +127,18 @@ def _first_pass(chunks: DataFrame) -> DataFrame:
     types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[str] = Counter()
-        native: Counter[str] = Counter()
+        words: Counter[str] = Counter()  # of PDFs
+        native: Counter[str] = Counter()  # of all others
         pairs: set[tuple[str, str]] = set()
 
         def flush() -> list[tuple]:
             total: Counter[str] = Counter()
             plain: Counter[str] = Counter()
-            for source, to in ((words, total), (native, plain)):
+            for source, to in ((words, (total,)), (native, (total, plain))):
                 for w, n in source.items():
                     if c := clean(w):
-                        to[c] += n
+                        for t in to:
+                            t[c] += n
             rows = [("word", w, None, n, plain[w], None, None, None, None) for w, n in total.items()]
             rows += [("pair", a, b, 1, 0, None, None, None, None) for a, b in pairs]
             words.clear(), native.clear(), pairs.clear()
@@ -151,10 +152,8 @@ def _first_pass(chunks: DataFrame) -> DataFrame:
             for chunk_id, doc, text, pdf in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if not text:
                     continue
-                tokens = text.split()
-                words.update(tokens)
+                (words if pdf else native).update(text.split())
                 if not pdf:
-                    native.update(tokens)
                     continue
                 lines = lines_of(text)
                 inside, all_ = _wrapped(lines)
@@ -168,7 +167,7 @@ def _first_pass(chunks: DataFrame) -> DataFrame:
                         rows.append(("line", None, None, 0, 0, chunk_id, i, key, code(s)))
             if rows:
                 yield batch_of(rows)
-            if len(words) > FLUSH or len(pairs) > FLUSH:
+            if len(words) + len(native) > FLUSH or len(pairs) > FLUSH:
                 yield batch_of(flush())
         if rows := flush():
             yield batch_of(rows)
