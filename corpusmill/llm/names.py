@@ -89,32 +89,44 @@ def _shortened(c: Column) -> Column:
     return F.array_append(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(c.substr(F.lit(1), i - 1), c.substr(i + 1, F.length(c)))), c)
 
 
-def _tagged(tag: str, keys: Column) -> Column:
-    return F.transform(keys, lambda k: F.concat(F.lit(tag), k))
+def _tagged(tag: Column, keys: Column) -> Column:
+    return F.transform(keys, lambda k: F.concat(tag, k))
 
 
 def whole_shards(word: Column) -> Column:
     """The shards of a word for 1 edit: texts that are 1 edit apart give the same text when each loses the right letter, or as they are."""
-    return F.array_distinct(_tagged("=", _shortened(word)))
+    return F.array_distinct(_tagged(F.lit("="), _shortened(word)))
 
 
 def entry_shards(word: Column) -> Column:
-    """The shards of an entry for 2 edits: those of its halves, as one of them has 1 edit at most."""
+    """The shards of an entry for 2 edits: its length with those of its halves, as one of them has 1 edit at most."""
     n, half = F.length(word), F.floor(F.length(word) / 2).cast("int")
-    return F.array_distinct(F.concat(_tagged("<", _shortened(word.substr(F.lit(1), half))), _tagged(">", _shortened(word.substr(half + 1, n)))))
+    sized = lambda side: F.concat(F.lit(side), n.cast("string"), F.lit(" "))
+    return F.array_distinct(F.concat(_tagged(sized("<"), _shortened(word.substr(F.lit(1), half))), _tagged(sized(">"), _shortened(word.substr(half + 1, n)))))
 
 
 def query_shards(word: Column) -> Column:
-    """The shards in which an entry within 2 edits has to lie: those of the parts that may be a half of an entry of two letters more or less."""
+    """The shards in which an entry within 2 edits has to lie, for each length from two letters less to two more.
+
+    A half of the entry is a part of the query that is as long, or a letter shorter or longer. It isn't shorter if the entry
+    is the shorter word, nor longer if the entry is the longer one; where lengths differ by two, both edits are letters that one of them lacks.
+    """
     n = F.length(word)
+    none = F.array().cast("array<string>")
 
     def halves(length: Column) -> Column:
         left = F.floor(length / 2).cast("int")
         right = length - left
         head = lambda k: word.substr(F.lit(1), k)
         tail = lambda k: word.substr(n - k + 1, k)
-        both = [_tagged(tag, F.concat(F.array(part(k - 1)), _shortened(part(k)), _shortened(part(k + 1)))) for tag, part, k in (("<", head, left), (">", tail, right))]
-        return F.concat(*both)
+
+        def keys(side: str, part, k: Column) -> Column:
+            shorter = F.when(length >= n, F.array(part(k - 1))).otherwise(none)
+            alike = F.when(F.abs(length - n) < 2, _shortened(part(k))).otherwise(F.array(part(k)))
+            longer = F.when(length <= n, _shortened(part(k + 1))).otherwise(none)
+            return _tagged(F.concat(F.lit(side), length.cast("string"), F.lit(" ")), F.concat(shorter, alike, longer))
+
+        return F.concat(keys("<", head, left), keys(">", tail, right))
 
     lengths = F.filter(F.sequence(n - 2, n + 2), lambda k: k >= LONG)
     return F.array_distinct(F.flatten(F.transform(lengths, halves)))
