@@ -338,7 +338,7 @@ def link_names(pages: DataFrame) -> DataFrame:
     pages = pages.where("page is not null")
     named = pages.select("page", F.explode(F.concat(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).where(
         "name is not null and trim(name) <> ''"
-    ).distinct()
+    ).repartition(tasks(pages.sparkSession), "page", "name").distinct()
 
     def split(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
